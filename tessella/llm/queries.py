@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .language import op10_language
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op9_warc": op9_warc}
+QUERIES = {"op9_warc": op9_warc, "op10_language": op10_language}
 SQL = {"op9_warc": OP9_SQL}
