@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .extraction import op6_extraction
 from .language import op10_language
+from .secrets import op7_secrets
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op9_warc": op9_warc, "op10_language": op10_language}
+QUERIES = {"op6_extraction": op6_extraction, "op7_secrets": op7_secrets, "op9_warc": op9_warc, "op10_language": op10_language}
 SQL = {"op9_warc": OP9_SQL}
