@@ -187,6 +187,21 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), taken
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan. The matrices are small, and threads of a linear-algebra library may fight Spark's for the cores."""
+    m = len(a)
+    w = np.hstack([a.astype(float), np.eye(m)])
+    for i in range(m):
+        p = i + int(np.abs(w[i:, i]).argmax())
+        if p != i:
+            w[[i, p]] = w[[p, i]]
+        w[i] /= w[i, i]
+        by = w[:, i].copy()
+        by[i] = 0
+        w -= by[:, None] * w[i]
+    return w[:, m:]
+
+
 def cutting_patterns(demand: dict[int, int], capacity: int, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
     """Patterns (how many pieces of each size) and how often to use each, for all of demand.
 
@@ -210,9 +225,9 @@ def cutting_patterns(demand: dict[int, int], capacity: int, rounds: int = 1500)
         rest[gone] = 0
         columns.append(pattern)
         columns += [np.where(np.arange(m) == i, capacity // sizes[i], 0).astype(float) for i in gone[1:]]
-    cost, inverse = np.ones(m), np.linalg.inv(np.array(columns).T)
+    cost, inverse = np.ones(m), _inverse(np.array(columns).T)
     for k in range(rounds):
-        prices = cost @ inverse
+        prices = (cost[:, None] * inverse).sum(axis=0)
         low = int(prices.argmin())
         if prices[low] < -1e-9:  # the size is cut too often: a slack column takes its place
             entering, price = -np.eye(m)[low], 0.0
@@ -221,20 +236,20 @@ def cutting_patterns(demand: dict[int, int], capacity: int, rounds: int = 1500)
             price = 1.0
             if worth <= 1 + 1e-7:
                 break
-        step, have = inverse @ entering, inverse @ want
+        step, have = (inverse * entering).sum(axis=1), (inverse * want).sum(axis=1)
         ratio = np.where(step > 1e-9, np.maximum(have, 0) / np.where(step > 1e-9, step, 1), np.inf)
         if not np.isfinite(out := ratio.min()):
             break
         leaving = int(np.flatnonzero(ratio <= out + 1e-12)[np.argmax(step[ratio <= out + 1e-12])])
         columns[leaving], cost[leaving] = entering, price
         if k % 60 == 59:
-            inverse = np.linalg.inv(np.array(columns).T)
+            inverse = _inverse(np.array(columns).T)
         else:
             row = inverse[leaving] / step[leaving]
-            inverse -= np.outer(step, row)
+            inverse -= step[:, None] * row
             inverse[leaving] = row
     plan, left = [], want.astype(int)
-    counts = np.floor(np.maximum(inverse @ want, 0) + 1e-6).astype(int)
+    counts = np.floor(np.maximum((inverse * want).sum(axis=1), 0) + 1e-6).astype(int)
     for i in np.argsort(-counts):
         a = columns[i].astype(int)
         if cost[i] and (used := a > 0).any():
