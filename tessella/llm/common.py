@@ -68,3 +68,21 @@ def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], ho
     """
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted(df, *spread).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+#: Rows of two 64-bit keys that may be broadcast: some 50 MB.
+SMALL_ROWS = 500_000
+
+
+def without(df: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
+    """df but for the rows whose keys are in gone, a table that is written already.
+
+    keys: the expressions of df, by gone's column names. gone is broadcast if its rows are few.
+    """
+    gone = gone.select(*[F.col(k).alias(f"_gone_{i}") for i, k in enumerate(keys)]).distinct()
+    few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    on = [value.eqNullSafe(F.col(f"_gone_{i}")) for i, value in enumerate(keys.values())]
+    both = on[0]
+    for x in on[1:]:
+        both = both & x
+    return df.join(F.broadcast(gone) if few else gone, both, "left_anti")

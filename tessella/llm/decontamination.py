@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import let, read, without, written
 
 #: Fixed masks over SPAN words: 1 takes the word, 0 ignores it.
 MASKS = ("11011011011", "10110110111", "11110001111")
@@ -99,6 +99,13 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     return out.groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", F.col("best.item_words").alias("item_words"), F.col("best.matched").alias("matched"), (-F.col("best.start")).alias("start"))
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) without those that overlap an item."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    found = written(overlaps(keyed, items, ["doc_id", "_text"]).select("doc_id", "_text").distinct())
+    return without(docs, found, {"doc_id": F.col("doc_id"), "_text": F.xxhash64("text")})
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and item that overlap; documents that aren't there are clean."""
     return overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), ["doc_id"])

@@ -92,17 +92,17 @@ class Classifier:
         return self.names[best], (second - sizes[best]) / second
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with a struct `language`: lang_pred, score (the margin, 0 to 1) and rejected."""
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN, out: str = "language") -> DataFrame:
+    """docs with a struct, named by out: lang_pred, score (the margin, 0 to 1) and rejected."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         judge = Classifier(dictionaries)
         for texts in batches:
-            out = [judge(t) for t in texts]
-            yield pd.DataFrame({"lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "rejected": [x[0] == UNKNOWN or x[1] < margin for x in out]})
+            found = [judge(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "rejected": [x[0] == UNKNOWN or x[1] < margin for x in found]})
 
-    return docs.withColumn("language", run(letters(F.col(text))))
+    return docs.withColumn(out, run(letters(F.col(text))))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,11 +6,12 @@ from .decontamination import op3_decontamination
 from .extraction import op6_extraction
 from .language import op10_language
 from .lines import op2_lines
+from .near import op8_near_duplicates
 from .packing import op5_packing
 from .quality import op4_quality
 from .secrets import op7_secrets
 from .urls import op1_urls
 from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op1_urls": op1_urls, "op2_lines": op2_lines, "op3_decontamination": op3_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_extraction": op6_extraction, "op7_secrets": op7_secrets, "op9_warc": op9_warc, "op10_language": op10_language}
+QUERIES = {"op1_urls": op1_urls, "op2_lines": op2_lines, "op3_decontamination": op3_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_extraction": op6_extraction, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_language": op10_language}
 SQL = {"op9_warc": OP9_SQL}
