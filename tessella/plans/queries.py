@@ -1,6 +1,395 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+The tables stand in for a store: `points` are documents with the embeddings of their ids, and
+`objects` are documents under made-up paths, with the hash of their text as etag.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import ALLOWED_EXTENSIONS, EXTRACTORS, basename, extension, extractor, figure_page, is_blank, object_key, row_range
+from ..operators import answer, cdc, listing, search, tables
+from ..operators.chunking import sentence_chunk_rows, window_chunks
+from ..operators.embedding import embed
+from ..operators.metadata import payload, with_metadata
+
+EXTENSIONS = ["pdf", "CSV", "docx", "doc", "xlsx", "txt", "md", "msg", "ppt", "pptx", "helm", "html", "TXT", ""]
+CHOSEN = ["src1", "src2", "src3"]
+QUESTION = "What do the documents say?"
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _objects(spark: SparkSession, sf: str) -> DataFrame:
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
+    path = F.concat(F.col("source"), F.lit("/Doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return _t(spark, sf, "documents").select("doc_id", "source", "text", path.alias("path"), F.md5("text").alias("etag"))
+
+
+_EXT = "[" + ", ".join(f"'{e}'" for e in EXTENSIONS) + "]"
+_OBJECTS = f"(select doc_id, source, text, source || '/Doc_' || doc_id || '.' || {_EXT}[doc_id % {len(EXTENSIONS)} + 1] as path, md5(text) as etag from documents)"
+_BASE = "regexp_extract(path, '[^/]*$')"
+_SUFFIX = f"lower(regexp_extract({_BASE}, '^.+\\.([^.]+)$', 1))"
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return d.join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+
+
+def _vector(spark: SparkSession, sf: str) -> list[float]:
+    """The question's vector: that of vec_id 0, one row."""
+    return list(_t(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+_POINTS = "(select d.doc_id, d.text, d.source, d.lang, e.embedding from documents d join embeddings e on d.doc_id = e.vec_id)"
+_SCORED = f"(select *, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) as s from {_POINTS})"
+
+
+def _top(where: str = "true", source: str = _SCORED, k: int = 4) -> str:
+    return f"(select *, row_number() over (order by s desc, doc_id) as rank from {source} where {where} order by s desc, doc_id limit {k})"
+
+
+def _hits(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
+    return search.topk(_points(spark, sf), _vector(spark, sf), search.ASK_K, names, id="doc_id")
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("doc_id", "source", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"select doc_id, source, round(s, 6) as score, rank from {_top()}")
+def topk_cosine(spark, sf):
+    return _shown(_hits(spark, sf))
+
+
+@query(f"select doc_id, source, round(s, 6) as score, rank from {_top("source in ('src1', 'src2', 'src3')")}")
+def topk_filtered(spark, sf):
+    return _shown(_hits(spark, sf, CHOSEN))
+
+
+@query(
+    f"""with twice as (select * from {_SCORED} union all select * from {_SCORED}),
+    h as (select *, row_number() over (partition by text, source order by s desc, doc_id) as n from {_top(source="twice")})
+    select doc_id, source, round(s, 6) as score, row_number() over (order by s desc, doc_id) as rank from h where n = 1"""
+)
+def search_dedup(spark, sf):
+    """The limit comes before the dedup, so a point that is stored twice takes two places."""
+    p = _points(spark, sf)
+    return _shown(search.drop_repeats(search.topk(p.unionAll(p), _vector(spark, sf), search.ASK_K, id="doc_id"), "doc_id"))
+
+
+@query(
+    f"""with twice as (select * from {_SCORED} union all select * from {_SCORED}),
+    u as (select text, source, max(s) as s from twice group by text, source)
+    select source, md5(text) as text_md5, round(s, 6) as score from u order by s desc, text limit 4"""
+)
+def search_dedup_first(spark, sf):
+    p = _points(spark, sf)
+    hits = search.topk(p.unionAll(p), _vector(spark, sf), search.ASK_K, unique=True, id="doc_id")
+    return hits.select("source", F.md5("text").alias("text_md5"), F.round("score", 6).alias("score"))
+
+
+_CITED = f"(select rank as index, text, source, '?' as page_number from {_top()})"
+
+
+@query(f"select * from {_CITED}")
+def citations(spark, sf):
+    return answer.citations(_hits(spark, sf)).withColumn("index", F.col("index").cast("long"))
+
+
+_CONTEXT = f"(select string_agg('[' || index || '] ' || text || chr(10) || chr(10), '' order by index) as context from {_CITED})"
+
+
+@query(f"select context from {_CONTEXT}")
+def numbered_context(spark, sf):
+    return answer.numbered_context(answer.citations(_hits(spark, sf)))
+
+
+@query("select '" + answer.PROMPT.replace("'", "''") + f"' || context || chr(10) || 'Question:' || chr(10) || '{QUESTION}' || chr(10) as prompt from {_CONTEXT}")
+def prompt(spark, sf):
+    return numbered_context(spark, sf).select(answer.prompt_for(F.col("context"), QUESTION).alias("prompt"))
+
+
+@query(f"select * from {_CITED} where source in ('src0', 'src5')")
+def citations_post_filter(spark, sf):
+    return answer.only_selected(citations(spark, sf), ["a/src0", "src5"])
+
+
+@query(f"select doc_id, source from {_POINTS} p where not exists (select 1 from (values ('src1'), ('src2'), ('src3')) d(source) where d.source = p.source)")
+def delete_by_source(spark, sf):
+    dead = spark.createDataFrame([(s,) for s in CHOSEN], "source string")
+    return _points(spark, sf).select("doc_id", "source").join(dead, "source", "left_anti")
+
+
+@query(f"select doc_id from {_POINTS} where source = 'src1'")
+def scroll_ids(spark, sf):
+    return _points(spark, sf).where("source = 'src1'").select("doc_id")
+
+
+@query(f"select count(*) as vectors_count, count(distinct source) as sources, max(len(embedding))::bigint as dimension from {_POINTS}")
+def collection_stats(spark, sf):
+    return _points(spark, sf).agg(F.count("*").alias("vectors_count"), F.countDistinct("source").alias("sources"), F.max(F.size("embedding")).cast("long").alias("dimension"))
+
+
+_CHUNKS = r"""(with w as (select doc_id, source, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as words from documents),
+  p as (select *, unnest(range(0, cast(ceil(greatest(len(words) - 550, 0) / 450.0) as bigint) + 1)) as chunk_idx from w where len(words) > 0)
+  select doc_id, source, chunk_idx, array_to_string(words[chunk_idx * 450 + 1 : chunk_idx * 450 + 550], ' ') as text,
+    count(*) over (partition by doc_id) as len from p)"""
+
+
+def _chunks(spark, sf):
+    return window_chunks(_t(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
+@query(f"select doc_id, chunk_idx, text from {_CHUNKS}")
+def chunk_window(spark, sf):
+    return _chunks(spark, sf).select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "text")
+
+
+@query(f"select doc_id, chunk_idx, source || chunk_idx as key, len, 'txt' as file_format from {_CHUNKS}")
+def chunk_meta(spark, sf):
+    named = _chunks(spark, sf).withColumn("file", F.col("source"))
+    rows = with_metadata(named.withColumn("source", F.concat("file", F.lit(".txt"))), ["doc_id"])
+    return rows.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), object_key(F.col("file"), F.col("chunk_idx")).alias("key"), F.col("len").cast("long").alias("len"), "file_format")
+
+
+@query(f"select doc_id, regexp_replace({_BASE}, '[^a-zA-Z0-9]', '', 'g') || doc_id as key from {_OBJECTS}")
+def object_keys(spark, sf):
+    return _objects(spark, sf).select("doc_id", object_key(basename(F.col("path")), F.col("doc_id")).alias("key"))
+
+
+_NUMBERED = "(select doc_id, doc_id || ': ' || replace(text, chr(10), chr(10) || n_chars || ': ') as text, text as plain from documents)"
+
+
+@query(
+    f"""select doc_id, k as numbered, coalesce(try_cast(trim(split_part(l[1], ':', 1)) as integer) || ' - ' || try_cast(trim(split_part(l[-1], ':', 1)) as integer), 'unknown') as row_range
+    from (select doc_id, true as k, string_split(text, chr(10)) as l from {_NUMBERED} union all select doc_id, false, string_split(plain, chr(10)) from {_NUMBERED})"""
+)
+def row_ranges(spark, sf):
+    d = _t(spark, sf, "documents")
+    numbered = F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), F.col("n_chars").cast("string"), F.lit(": "))))
+    both = d.select("doc_id", F.lit(True).alias("numbered"), numbered.alias("text")).unionAll(d.select("doc_id", F.lit(False), "text"))
+    return both.select("doc_id", "numbered", row_range(F.col("text")).alias("row_range"))
+
+
+_ISLANDS = r"""(with l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos
+    from (select doc_id, text || chr(10) || chr(10) || source || ',' || lang as t from documents)),
+  g as (select *, sum(case when regexp_matches(line, '\S') then 0 else 1 end) over (partition by doc_id order by pos) as gap from l),
+  k as (select * from g where regexp_matches(line, '\S'))
+  select doc_id, dense_rank() over (partition by doc_id order by gap) - 1 as table_no, row_number() over (partition by doc_id, gap order by pos) - 1 as row_no, line from k)"""
+
+
+def _islands(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), "source", F.lit(","), "lang").alias("text"))
+    return tables.islands(d, "doc_id")
+
+
+@query(f"select * from {_ISLANDS}")
+def csv_islands(spark, sf):
+    return _islands(spark, sf).select("doc_id", F.col("table_no").cast("long").alias("table_no"), F.col("row_no").cast("long").alias("row_no"), "line")
+
+
+@query(
+    f"""with c as (select doc_id, table_no, row_no, unnest(string_split(line, ',')) as v, unnest(range(len(string_split(line, ',')))) as col_no from {_ISLANDS}),
+    n as (select doc_id, table_no, row_no, col_no, nullif(v, '') as value from c),
+    f as (select doc_id, table_no, col_no from n group by all having count(value) > 0)
+    select n.* from n join f using (doc_id, table_no, col_no)"""
+)
+def drop_null_cols(spark, sf):
+    long = tables.drop_empty_columns(tables.cells(_islands(spark, sf)), ["doc_id", "table_no"])
+    return long.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("table_no", "row_no", "col_no")], "value")
+
+
+@query(r"""select doc_id, source || ',' || case when regexp_matches(text, '[",\r\n]') then '"' || replace(text, '"', '""') || '"' else text end || ',' || coalesce(lang, '') as line from documents""")
+def csv_render(spark, sf):
+    cells = [tables.quoted(F.col(c)) for c in ("source", "text", "lang")]
+    return _t(spark, sf, "documents").select("doc_id", F.concat_ws(",", *cells).alias("line"))
+
+
+@query("select doc_id, n_chars || ': ' || to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) as line from documents")
+def json_lines(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", tables.json_line(F.col("n_chars"), F.struct("doc_id", "lang", "source")).alias("line"))
+
+
+@query("select doc_id, array_to_string([trim(source || ' '), '', trim(' ' || lang)], ' | ') as line from documents")
+def cells_join(spark, sf):
+    cells = F.array(F.concat("source", F.lit(" ")), F.lit(""), F.concat(F.lit(" "), F.col("lang")))
+    return _t(spark, sf, "documents").select("doc_id", tables.joined_cells(cells).alias("line"))
+
+
+@query(
+    r"""with n as (select conv_id, 'Page ' || conv_id || ': ' || count(*) || ' image(s) detected' as note from conversations group by conv_id)
+    select note, coalesce(try_cast(regexp_extract(note, 'Page\s+(\d+)', 1) as integer), -1)::bigint as page_num, 'figure_' || conv_id as table_id from n"""
+)
+def figure_notes(spark, sf):
+    n = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    noted = n.select("conv_id", F.format_string("Page %d: %d image(s) detected", "conv_id", "n").alias("note"))
+    return noted.select("note", figure_page(F.col("note")).cast("long").alias("page_num"), F.concat(F.lit("figure_"), F.col("conv_id").cast("string")).alias("table_id"))
+
+
+_ROUTE = "case " + " ".join(f"when ext = '{k}' then '{v}'" for k, v in EXTRACTORS.items()) + " end"
+
+
+@query(f"select doc_id, base, ext, {_ROUTE} as extractor from (select doc_id, {_BASE} as base, {_SUFFIX} as ext from {_OBJECTS})")
+def route_ext(spark, sf):
+    p = F.col("path")
+    return _objects(spark, sf).select("doc_id", basename(p).alias("base"), extension(p).alias("ext"), extractor(p).alias("extractor"))
+
+
+_ALLOWED = ", ".join(f"'{e}'" for e in ALLOWED_EXTENSIONS)
+
+
+@query(f"select base as filename, 'docs' as bucket, ext || '/' || base as key, 'uploaded' as status from (select {_BASE} as base, {_SUFFIX} as ext from {_OBJECTS}) where ext in ({_ALLOWED})")
+def bulk_upload_plan(spark, sf):
+    return cdc.upload_plan(_objects(spark, sf), "docs", ALLOWED_EXTENSIONS)
+
+
+@query(f"select doc_id, '/documents/minio/' || path as target from {_OBJECTS}")
+def hdfs_paths(spark, sf):
+    return _objects(spark, sf).select("doc_id", F.concat_ws("/", F.lit("/documents"), F.lit("minio"), "path").alias("target"))
+
+
+@query(
+    r"""with t as (select doc_id, text from documents union all select * from (values (-1, ''), (-2, '  '), (-3, chr(10) || chr(9)), (-4, null)) v(doc_id, text))
+    select doc_id from t where regexp_matches(text, '\S')"""
+)
+def nonblank(spark, sf):
+    blank = spark.createDataFrame([(-1, ""), (-2, "  "), (-3, "\n\t"), (-4, None)], "doc_id long, text string")
+    return _t(spark, sf, "documents").select("doc_id", "text").unionAll(blank).where(~is_blank(F.col("text"))).select("doc_id")
+
+
+@query(f"select path, octet_length(encode(text))::bigint as length from (select path, text from {_OBJECTS} union all select * from (values ('x/empty.txt', ''), ('x/_notes.txt', 'n')) v(path, text)) where text <> ''")
+def nonempty_objects(spark, sf):
+    more = spark.createDataFrame([("x/empty.txt", ""), ("x/_notes.txt", "n")], "path string, text string")
+    rows = _objects(spark, sf).select("path", "text").unionAll(more)
+    return rows.select("path", F.octet_length("text").cast("long").alias("length")).where("length > 0")
+
+
+@query(f"select path from {_OBJECTS}")
+def list_documents(spark, sf):
+    keep = spark.createDataFrame([("pdf/.keep",), (".keep",)], "path string")
+    return listing.documents_of(_objects(spark, sf).select("path").unionAll(keep))
+
+
+@query("select source, count(*) as n, 4::bigint as pages from documents group by source order by source limit 5 offset 10")
+def paginate(spark, sf):
+    sources = _t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return listing.page(sources, 3, "source").withColumn("pages", F.lit(listing.total_pages(sources.count())).cast("long"))
+
+
+@query(
+    rf"""with l as (select path, regexp_replace(text, '(\r\n|\n|\r)$', '') as t from {_OBJECTS}), s as (select path, string_split_regex(t, '\r\n|\n|\r')[1:5] as l from l)
+    select path, unnest(range(len(l))) as line_no, trim(unnest(l)) as line from s"""
+)
+def preview_lines(spark, sf):
+    return listing.preview(_objects(spark, sf)).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+_STATE = f"(select path as file_path, case when source = 'src5' then 'old' else etag end as etag from {_OBJECTS} where source <> 'src3')"
+
+
+def _state(spark, sf):
+    o = _objects(spark, sf).where("source <> 'src3'")
+    return o.select(F.col("path").alias("file_path"), F.when(F.col("source") == "src5", "old").otherwise(F.col("etag")).alias("etag"))
+
+
+def _listing(spark, sf):
+    return _objects(spark, sf).select(F.col("path").alias("file_path"), "etag")
+
+
+_CHANGED = f"(select path as file_path, etag from {_OBJECTS} o where not exists (select 1 from {_STATE} s where s.file_path = o.path and s.etag = o.etag))"
+
+
+@query(f"select * from {_CHANGED}")
+def cdc_changed(spark, sf):
+    return cdc.changed(_listing(spark, sf), _state(spark, sf))
+
+
+@query(
+    f"""select file_path, etag from (select *, 0 as gen from {_STATE} union all select *, 1 from {_CHANGED})
+    qualify row_number() over (partition by file_path order by gen desc, etag desc) = 1"""
+)
+def cdc_state(spark, sf):
+    return cdc.next_state(_state(spark, sf), cdc_changed(spark, sf))
+
+
+@query(f"select file_path from {_STATE} where file_path not like 'src1/%' intersect select file_path from {_STATE} where file_path like 'src7/%'")
+def cdc_deleted(spark, sf):
+    now = _listing(spark, sf).where(~F.col("file_path").startswith("src7/"))
+    return cdc.gone(now, _state(spark, sf))
+
+
+_META = f"""(select path as object_key, case when source = 'src2' then 'v2' else etag end as etag, 'new' as seen, timestamp '2024-02-01' as ingested_at from {_OBJECTS} where source in ('src1', 'src2')
+  union all select path, etag, 'known', timestamp '2024-01-01' from {_OBJECTS})"""
+
+
+@query(f"select object_key, etag, seen from {_META} qualify row_number() over (partition by object_key, etag order by ingested_at desc) = 1")
+def meta_upsert(spark, sf):
+    o = _objects(spark, sf)
+    row = lambda df, etag, seen, at: df.select(F.col("path").alias("object_key"), etag.alias("etag"), F.lit(seen).alias("seen"), F.lit(at).cast("timestamp").alias("ingested_at"))
+    new = row(o.where(F.col("source").isin("src1", "src2")), F.when(F.col("source") == "src2", "v2").otherwise(F.col("etag")), "new", "2024-02-01")
+    return cdc.upsert_metadata(row(o, F.col("etag"), "known", "2024-01-01"), new).select("object_key", "etag", "seen")
+
+
+@query(f"select {_BASE} as filename from {_OBJECTS} where source <> 'src4'")
+def upload_skip_existing(spark, sf):
+    files = _objects(spark, sf).select(basename(F.col("path")).alias("filename"), "source")
+    return cdc.skip_present(files.select("filename"), files.where("source = 'src4'"))
+
+
+def _sets(spark, sf):
+    d = _t(spark, sf, "documents")
+    return d.where("lang = 'en'").select("source").distinct(), d.where("source in ('src1', 'src2', 'src21')").select("source").unionAll(spark.createDataFrame([("session",)], "source string"))
+
+
+_A, _B = "select distinct source from documents where lang = 'en'", "(select source from documents where source in ('src1', 'src2', 'src21') union all select 'session')"
+
+
+@query(f"{_A} union select source from {_B}")
+def set_union(spark, sf):
+    return listing.either(*_sets(spark, sf))
+
+
+@query(f"{_A} intersect select source from {_B}")
+def set_intersect(spark, sf):
+    return listing.both(*_sets(spark, sf))
+
+
+@query(f"{_A} except select source from {_B}")
+def set_except(spark, sf):
+    return listing.only_first(*_sets(spark, sf))
+
+
+@query(f"select doc_id, sha256(source || '|' || coalesce(lang, '') || '|' || text) as point_id, to_json({{'text': text, 'source': source, 'lang': lang}}) as payload from {_POINTS}")
+def points_payload(spark, sf):
+    return payload(_points(spark, sf), ["source", "lang"]).select("doc_id", "point_id", "payload")
+
+
+@query()
+def sentence_chunks(spark, sf):
+    """Sentence chunks of all documents; held against the pure function in tests."""
+    return sentence_chunk_rows(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_idx", "n_chunks", "text")
+
+
+@query()
+def embed_hashed(spark, sf):
+    """Hashed vectors of all documents and their nearest word: the vector's length is 1."""
+    return embed(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding", F.round(search.norm(F.col("embedding")), 4).alias("length"))
