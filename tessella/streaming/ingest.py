@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import VectorTable
 from ..plans.ingest import points_of
+from ..sources.objects import SCHEMA
 
 
 def ingest_stream(spark: SparkSession, folder: str, table: VectorTable, checkpoint: str, **options) -> StreamingQuery:
@@ -20,7 +21,7 @@ def ingest_stream(spark: SparkSession, folder: str, table: VectorTable, checkpoi
     def land(batch: DataFrame, _: int) -> None:
         table.upsert(points_of(batch.select("path", F.col("length"), "content"), **options))
 
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(folder)
     return files.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
