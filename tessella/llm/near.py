@@ -154,16 +154,16 @@ def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> Data
     return both.where(common * (1 + similarity) >= similarity * (F.size("g_a") + F.size("g_b")) - 1e-9).select("a", "b", "n_a", "n_b")
 
 
-def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int = COLUMNS) -> np.ndarray:
     """How many hashes each of x shares with each of y."""
     words, place = np.unique(np.concatenate([*x, *y]), return_inverse=True)
     cuts = np.cumsum([len(v) for v in (*x, *y)])[:-1]
-    rows = np.split(place, cuts)
+    rows = [np.sort(r) for r in np.split(place, cuts)]
     out = np.zeros((len(x), len(y)), dtype=np.float64)
-    for low in range(0, len(words), COLUMNS):
-        part = np.zeros((len(rows), min(COLUMNS, len(words) - low)), dtype=np.float32)
+    for low in range(0, len(words), columns):
+        part = np.zeros((len(rows), min(columns, len(words) - low)), dtype=np.float32)
         for i, r in enumerate(rows):
-            part[i, r[np.searchsorted(r, low) : np.searchsorted(r, low + COLUMNS)] - low] = 1
+            part[i, r[np.searchsorted(r, low) : np.searchsorted(r, low + columns)] - low] = 1
         out += part[: len(x)] @ part[len(x) :].T
     return out
 
