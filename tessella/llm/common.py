@@ -58,7 +58,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def salted(df: DataFrame, *by: str) -> DataFrame:
     """df with a salt drawn from its own columns, for the large side of lookup()."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    return df.withColumn("_tessella_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
 
 
 def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "left") -> DataFrame:
@@ -66,8 +66,8 @@ def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], ho
 
     spread: columns of df that tell the rows of a key apart.
     """
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted(df, *spread).join(copies, [*on, "_salt"], how).drop("_salt")
+    copies = small.withColumn("_tessella_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted(df, *spread).join(copies, [*on, "_tessella_salt"], how).drop("_tessella_salt")
 
 
 #: Rows of two 64-bit keys that may be broadcast: some 50 MB.
@@ -79,9 +79,9 @@ def without(df: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
 
     keys: the expressions of df, by gone's column names. gone is broadcast if its rows are few.
     """
-    gone = gone.select(*[F.col(k).alias(f"_gone_{i}") for i, k in enumerate(keys)]).distinct()
+    gone = gone.select(*[F.col(k).alias(f"_tessella_gone_{i}") for i, k in enumerate(keys)]).distinct()
     few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    on = [value.eqNullSafe(F.col(f"_gone_{i}")) for i, value in enumerate(keys.values())]
+    on = [value.eqNullSafe(F.col(f"_tessella_gone_{i}")) for i, value in enumerate(keys.values())]
     both = on[0]
     for x in on[1:]:
         both = both & x

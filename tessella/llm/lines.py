@@ -68,19 +68,19 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with edited text, lines_removed and chunks_removed."""
-    drops = repeated_chunks(docs).groupBy("doc_id", "_text").agg(F.collect_list(F.struct("first", "last")).alias("_drops"))
-    drops = drops.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "_drops")
-    own = docs.withColumn("_text", F.xxhash64("text"))
-    joined = own.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left").drop("_doc", "_hash", "_text")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("_drops", lambda d: i.between(d["first"], d["last"])))
-    count = F.aggregate("_drops", F.lit(0), lambda a, d: a + d["last"] - d["first"] + 1)
+    drops = repeated_chunks(docs).groupBy("doc_id", "_text").agg(F.collect_list(F.struct("first", "last")).alias("_tessella_drops"))
+    drops = drops.select(F.col("doc_id").alias("_tessella_doc"), F.col("_text").alias("_tessella_hash"), "_tessella_drops")
+    own = docs.withColumn("_tessella_text", F.xxhash64("text"))
+    joined = own.join(drops, F.col("doc_id").eqNullSafe(F.col("_tessella_doc")) & (F.col("_tessella_text") == F.col("_tessella_hash")), "left").drop("_tessella_doc", "_tessella_hash", "_tessella_text")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("_tessella_drops", lambda d: i.between(d["first"], d["last"])))
+    count = F.aggregate("_tessella_drops", F.lit(0), lambda a, d: a + d["last"] - d["first"] + 1)
     return joined.withColumns(
         {
-            "text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+            "text": F.when(F.col("_tessella_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
             "lines_removed": F.coalesce(count, F.lit(0)).cast("long"),
-            "chunks_removed": F.coalesce(F.size("_drops"), F.lit(0)).cast("long"),
+            "chunks_removed": F.coalesce(F.size("_tessella_drops"), F.lit(0)).cast("long"),
         }
-    ).drop("_drops")
+    ).drop("_tessella_drops")
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
