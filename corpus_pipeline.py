@@ -16,8 +16,8 @@ from tessella.llm.common import read, written
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear. The dictionaries are learned from the labelled rows of docs."""
-    judged = language.classify(docs, language.learn(docs.select("text", "lang")), out="_language")
-    return judged.where(~F.col("_language.rejected")).select(*docs.columns)
+    judged = language.classify(docs, language.learn(docs.select("text", "lang")), out="_tessella_language")
+    return judged.where(~F.col("_tessella_language.rejected")).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
