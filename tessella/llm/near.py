@@ -185,7 +185,7 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def grid(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """For groups (root, cid, n, grams): rows (a, null, documents that are similar to a) and rows (a, b, null) of a spanning forest."""
+    """For groups (root, cid, n, grams): rows (a, a, documents that are similar to a) and rows (a, b, -1) of a spanning forest."""
 
     def cell(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
@@ -195,7 +195,7 @@ def grid(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
         sets = lambda part: [np.asarray(g) for g in part["grams"]]
         gx, gy = sets(first), sets(second)
         if not gx or not gy:
-            return pd.DataFrame({"a": [], "b": [], "links": []})
+            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
         sx, sy = np.array([len(g) for g in gx]), np.array([len(g) for g in gy])
         links = _common(gx, gy) * (1 + similarity) >= similarity * (sx[:, None] + sy) - 1e-9
         cx, cy, nx, ny = first["cid"].to_numpy(), second["cid"].to_numpy(), first["n"].to_numpy(), second["n"].to_numpy()
@@ -207,8 +207,8 @@ def grid(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
             square = np.zeros((len(ids), len(ids)), dtype=bool)
             square[: len(cx), len(cx) :] = links
             square[len(cx) :, : len(cx)] = links.T
-        edges = _forest(square)
-        return pd.DataFrame({"a": [*ids, *(ids[i] for i, _ in edges)], "b": [*[None] * len(ids), *(ids[j] for _, j in edges)], "links": [*counts, *[None] * len(edges)]}).astype({"a": "int64", "b": "Int64", "links": "Int64"})
+        edges = np.array(_forest(square), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": np.concatenate([ids, ids[edges[:, 0]]]), "b": np.concatenate([ids, ids[edges[:, 1]]]), "links": np.concatenate([counts, np.full(len(edges), -1)]).astype(np.int64)})
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -232,8 +232,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     similar = written(similar_pairs(pairs, grams, similarity))
     covered = written(grid(groups.join(grams, "cid"), similarity))
     counts = similar.select(F.col("a").alias("cid"), F.col("n_b").alias("links")).unionByName(similar.select(F.col("b").alias("cid"), F.col("n_a").alias("links")))
-    counts = counts.unionByName(covered.where("b is null").select(F.col("a").alias("cid"), "links")).groupBy("cid").agg(F.sum("links").alias("links"))
-    linked = components(similar.select("a", "b").unionByName(covered.where("b is not null").select("a", "b")))
+    counts = counts.unionByName(covered.where("links >= 0").select(F.col("a").alias("cid"), "links")).groupBy("cid").agg(F.sum("links").alias("links"))
+    linked = components(similar.select("a", "b").unionByName(covered.where("links < 0").select("a", "b")))
     table = classes.select("cid", "n", "first").join(counts, "cid", "left").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     table = written(table)
     least = table.groupBy("root").agg(F.min("first").alias("class_id"))
