@@ -126,7 +126,8 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long, ids binary"
+#: doc_id travels as a string: pandas holds longs beside nulls as floats, which round large ones.
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long, ids binary"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = False) -> DataFrame:
@@ -142,11 +143,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity].tobytes()
                         kind = -(-len(piece) // (4 * grain))
-                        out.append((None if pd.isna(doc_id) else int(doc_id), start, len(piece) // 4, zlib.crc32(piece), len(ids), kind, part, met[kind], piece if with_ids else None))
+                        out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), len(ids), kind, part, met[kind], piece if with_ids else None))
                         met[kind] += 1
                 yield _piece_frame(out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, PIECES)
 
 
 def _slices(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[slice]:
@@ -161,9 +162,7 @@ def _slices(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[slice]:
 
 
 def _piece_frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -318,7 +317,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int =
     fields = [x for x in PIECES.split(", ") if x.split()[0] not in ("class", "part", "rank")]
     placed = ranked.select(*[x.split()[0] for x in fields], "class", "rank").mapInPandas(place, ", ".join([*fields, "sequence_id long", "slot long"]))
     upto = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.withColumn("offset", F.coalesce(F.sum("length").over(upto), F.lit(0)).cast("long")).drop("slot")
+    out = placed.withColumns({"doc_id": F.col("doc_id").cast("long"), "offset": F.coalesce(F.sum("length").over(upto), F.lit(0)).cast("long")}).drop("slot")
     return out if with_ids else out.drop("ids")
 
 
