@@ -18,7 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lookup, read, written
@@ -83,12 +83,12 @@ def grow(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
         nodes = here.groupBy(*node).agg(F.count("*").alias("branches"), *_counts())
         varies = nodes.select(*node, ((F.col("branches") >= LEAST_BRANCHES) & (F.col("n") < PAGES_EACH * F.col("branches"))).alias("varies"))
         label = F.when(F.col("varies"), shape_of(F.col("segment"))).otherwise(F.col("segment")).alias("branch")
-        branches = here.join(varies, node).select(*node, "varies", "n", "labelled", "bad", label).groupBy(*node, "branch").agg(*_counts())
-        both = branches.join(nodes.select(*node, F.col("labelled").alias("all_labelled"), F.col("bad").alias("all_bad")), node)
+        branches = lookup(here, varies, node, ["segment"], "inner").select(*node, "n", "labelled", "bad", label).groupBy(*node, "branch").agg(*_counts())
+        both = lookup(branches, nodes.select(*node, F.col("n").alias("all_n"), F.col("labelled").alias("all_labelled"), F.col("bad").alias("all_bad")), node, ["branch"], "inner")
         others, share = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") / F.col("all_labelled")
         error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / others))
         gap = F.abs(F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / others)
-        alone = F.col("n") == F.sum("n").over(Window.partitionBy(*node))
+        alone = F.col("n") == F.col("all_n")
         alike = F.when((F.col("labelled") == 0) | (others == 0), ~alone).otherwise(gap <= SAME * error)
         names = both.withColumn("name", F.when(alike, F.lit("*")).otherwise(F.col("branch"))).select(*node, "branch", "name")
         rows = lookup(rows, varies, node, ["key"]).withColumn("branch", label)
