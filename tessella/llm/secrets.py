@@ -36,8 +36,9 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]
 
 #: Characters after a sensitive word in which a candidate may begin, and those of context on either side.
 REACH, AROUND = 48, 400
-#: Added bytes per character from which a candidate is new. Random hex adds 0.5, base64 0.75.
+#: Added bytes per character from which a candidate is new (random hex adds 0.5, base64 0.75), without the bytes that any addition costs.
 NOVELTY = 0.6
+OVERHEAD = 4
 
 #: Identifiers that code is full of.
 IDENTIFIERS = (
@@ -70,7 +71,7 @@ class Novelty:
     def __call__(self, text: str, start: int, end: int) -> float:
         around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).encode()
         own = text[start:end].encode()
-        return (len(self.coder.compress(around + b" " + own)) - len(self.coder.compress(around))) / len(own)
+        return (len(self.coder.compress(around + b" " + own)) - len(self.coder.compress(around)) - OVERHEAD) / len(own)
 
     def spans(self, text: str, base: list[tuple[int, int, int]], least: float = NOVELTY) -> list[tuple[int, int, int, float]]:
         low = text.lower()
