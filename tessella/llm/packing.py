@@ -47,9 +47,21 @@ BATCH_CHARS = 16_000_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _plain(upto: int = 0x250) -> str:
-    """A class of the characters that all libraries split alike: Latin without odd spaces and controls."""
-    return "".join(re.escape(chr(i)) for i in [9, 10, 13, *range(32, 127), *range(0xA1, upto)] if unicodedata.category(chr(i)) != "Cf")
+def _plain() -> str:
+    """A class of the characters that all libraries split alike.
+
+    Those are letters, marks, numbers, punctuation and symbols of the basic plane whose class
+    is the same in Unicode 3.2 and now, with the space, tab and line ends.
+    """
+    old, runs = unicodedata.ucd_3_2_0, [[9, 10], [13, 13], [32, 32]]
+    for i in range(33, 0xFFFE):
+        kind = unicodedata.category(chr(i))
+        if kind[0] in "LMNPS" and old.category(chr(i)) == kind:
+            if runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+    return "".join(f"\\u{x:04x}-\\u{y:04x}" for x, y in runs)
 
 
 class ByteLevelBPE:

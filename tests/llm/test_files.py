@@ -118,6 +118,17 @@ def test_ids_equal_the_library():
             assert ids.tolist() == [*bpe.whole.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_ids_equal_the_library_in_any_script():
+    bpe, draw = packing.ByteLevelBPE(packing.default_tokenizer()), np.random.default_rng(4)
+    texts = []
+    for _ in range(400):
+        low = int(draw.integers(33, 0xD000))
+        texts.append("".join(chr(int(c)) if draw.random() < 0.8 else draw.choice([" ", "\n", "a", "1", "'s "]) for c in draw.integers(low, low + 300, size=40)))
+    assert sum("  " not in t and bool(bpe.plain.fullmatch(t)) for t in texts) > 100
+    for t, ids in zip(texts, bpe(texts), strict=True):
+        assert ids.tolist() == [*bpe.whole.encode(t, add_special_tokens=False).ids, 0]
+
+
 def _check(plan, demand, capacity):
     got = Counter()
     for pattern, times in plan:
