@@ -78,10 +78,11 @@ class VectorTable:
         points = self._read(self._points(), POINTS)
         return points.join(dead, "object_key", "left").where(F.col("dead").isNull() | (F.col("batch_id") >= F.col("dead"))).drop("dead").select(points.columns)
 
-    def upsert(self, points: DataFrame, replace: bool = True) -> int:
+    def upsert(self, points: DataFrame, replace: bool = True, keys: DataFrame | None = None) -> int:
         """Append points (columns of POINTS but for point_id and batch_id; those that lack are null).
 
-        replace: earlier points of the same object keys go. Vectors of another dimension fail the write.
+        replace: earlier points of the same object keys go, or of keys (object_key) if given, which
+        also has the files that no longer give a point. Vectors of another dimension fail the write.
         """
         self.ensure()
         batch = self.next_batch()
@@ -96,8 +97,9 @@ class VectorTable:
         own = own.withColumns({"point_id": unique, "batch_id": F.lit(batch)}).select(*[F.col(c).cast(kinds[c]).alias(c) for c in fields])
         own.write.mode("append").parquet(self._points())
         if replace:
-            written = self.spark.read.schema(POINTS).parquet(self._points()).where(F.col("batch_id") == batch)
-            written.select("object_key", "batch_id").distinct().write.mode("append").parquet(f"{self.path}/tombstones")
+            if keys is None:
+                keys = self.spark.read.schema(POINTS).parquet(self._points()).where(F.col("batch_id") == batch)
+            keys.select("object_key", F.lit(batch).alias("batch_id")).distinct().write.mode("append").parquet(f"{self.path}/tombstones")
         return batch
 
     def delete(self, names: list[str]) -> dict:
@@ -109,8 +111,9 @@ class VectorTable:
             return {"deleted": list(names), "errors": [], "message": f"Deleted {len(names)} file(s)."}
         table = self.spark.createDataFrame([(n,) for n in names], "name string")
         keys = self.live().select("object_key", "source").distinct()
-        hit = keys.join(table, (F.col("object_key") == F.col("name")) | (~F.col("name").contains("/") & (F.col("source") == F.col("name"))), "left_semi")
-        dead = hit.select("object_key").distinct().withColumn("batch_id", F.lit(self.next_batch()))
+        whole = keys.join(table, F.col("object_key") == F.col("name"), "left_semi")
+        by_base = keys.join(table.where(~F.col("name").contains("/")), F.col("source") == F.col("name"), "left_semi")
+        dead = whole.unionAll(by_base).select("object_key").distinct().withColumn("batch_id", F.lit(self.next_batch()))
         dead.write.mode("append").parquet(f"{self.path}/tombstones")
         return {"deleted": list(names), "errors": [], "message": f"Deleted {len(names)} file(s)."}
 

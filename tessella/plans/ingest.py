@@ -30,7 +30,7 @@ def points_of(objects: DataFrame, make: Callable = HashedWords, size: int = CHUN
 def ingest(spark: SparkSession, folder: str, table: VectorTable, **options) -> dict:
     """Read a folder, replace its files' points and return counts and dead letters."""
     objects = read_objects(spark, folder)
-    table.upsert(points_of(objects, **options))
+    table.upsert(points_of(objects, **options), keys=objects.select(F.col("path").alias("object_key")))
     failed = extract(objects).where("unit_kind = 'error'").select("object_key", "text")
     return {"points": table.stats()["vectors_count"], "failed": [r.asDict() for r in failed.limit(1000).collect()]}
 

@@ -19,7 +19,7 @@ def ingest_stream(spark: SparkSession, folder: str, table: VectorTable, checkpoi
     """
 
     def land(batch: DataFrame, _: int) -> None:
-        table.upsert(points_of(batch.select("path", F.col("length"), "content"), **options))
+        table.upsert(points_of(batch.select("path", "length", "content"), **options), keys=batch.select(F.col("path").alias("object_key")))
 
     files = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(folder)
     return files.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

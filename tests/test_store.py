@@ -44,6 +44,9 @@ def test_ingest_is_idempotent_and_delete_undoes_it(spark, files, tmp_path):
     assert table.stats()["vectors_count"] == first["points"] - 1
     ingest(spark, str(files), table, **options)
     assert table.stats()["vectors_count"] == first["points"]
+    (files / "cats.txt").write_text("")
+    ingest(spark, str(files), table, **options)
+    assert table.live().where("source = 'cats.txt'").count() == 0 and table.live().where("source = 'dogs.txt'").count() == 1
     assert table.reset().stats()["vectors_count"] == 0
 
 
