@@ -15,7 +15,8 @@ def ingest_stream(spark: SparkSession, folder: str, table: VectorTable, checkpoi
     """New files under folder become points; each batch replaces the points of its files.
 
     A batch that is tried again writes the same point ids and buries the earlier try, so the
-    table ends the same. Stops when all files that are there are read.
+    table ends the same. Stops when all files that are there are read. The file stream leaves
+    out empty and hidden files; plans.ingest.ingest reads those too.
     """
 
     def land(batch: DataFrame, _: int) -> None:
