@@ -80,7 +80,7 @@ def without(df: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
     keys: the expressions of df, by gone's column names. gone is broadcast if its rows are few.
     """
     gone = gone.select(*[F.col(k).alias(f"_tessella_gone_{i}") for i, k in enumerate(keys)]).distinct()
-    few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    few = gone.count() <= SMALL_ROWS
     on = [value.eqNullSafe(F.col(f"_tessella_gone_{i}")) for i, value in enumerate(keys.values())]
     both = on[0]
     for x in on[1:]:

@@ -211,7 +211,7 @@ def grid(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
         return pd.DataFrame({"a": np.concatenate([ids, ids[edges[:, 0]]]), "b": np.concatenate([ids, ids[edges[:, 1]]]), "links": np.concatenate([counts, np.full(len(edges), -1)]).astype(np.int64)})
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = lookup(groups, sizes, ["root"], ["cid"], "inner").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cid", "n", "grams")
     return cells.groupBy("root", "x", "y").applyInPandas(cell, "a long, b long, links long")
