@@ -41,7 +41,7 @@ CAPACITY = 1024
 GRAIN = 4
 END = 0
 #: Characters of text that are encoded together.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 5_000_000
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
