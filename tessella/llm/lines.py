@@ -1,23 +1,30 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over content-defined chunks of lines and whole repeated runs.
 
 A text's lines are hashed; a rolling hash over WIDTH line hashes ends a chunk where it falls
 on one residue of EVERY, so a passage is cut alike wherever it stands. A line of LONG_WORDS or
 more words is a chunk of its own. Chunks of several lines, and long lines, that occur again
 anywhere are removed but for their first occurrence (least doc_id, then text, then line).
 
-Hashes only propose: chunks are also grouped by their bytes, and a hash whose chunks are not
-all equal removes nothing. Both groupings combine before they shuffle, so neither a frequent
-chunk nor a group of copies gathers in one task; what a chunk decides reaches its occurrences
-through a salted join.
+A repeated run of RUN_WORDS or more words, from one line with words to another, goes whole,
+wherever chunks end: from each line the fewest lines onwards, and the fewest lines back, that
+have so many words are spans too, and those spans that lie in a run cover all its lines. Where
+an occurrence overlaps the first one in the same text, only the lines beyond that go.
+
+Hashes only propose: spans are also grouped by the SHA-256 of their bytes, and a hash whose
+spans are not all equal removes nothing. Both groupings combine before they shuffle, so neither
+a frequent span nor a group of copies gathers in one task; what a span decides reaches its
+occurrences through a salted join.
 
 Cases: a null text stays null, an empty one empty; rows that repeat both doc_id and text are one
-occurrence and are edited alike; chunks without a letter or digit are left alone; a text whose
-lines all go becomes empty; very long texts are cut like others; other columns pass through
+occurrence and are edited alike; spans without a letter or digit are left alone, as are blank
+lines before and after a run; a text whose lines all go becomes empty; very long texts are cut like others; other columns pass through
 unless they bear the names that this adds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +33,7 @@ from .common import let, lookup, read, written
 WIDTH = 2
 EVERY = 2
 LONG_WORDS = 50
+RUN_WORDS = 50
 
 
 def _lines(text: Column) -> Column:
@@ -55,21 +63,72 @@ def chunk_bounds(text: Column, width: int = WIDTH, every: int = EVERY, words: in
     return let(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), _long(x, words).alias("long"))), bounds)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, first, last of chunks to remove; _text is the hash of the text."""
-    found = docs.select("doc_id", F.xxhash64("text").alias("_text"), _lines(F.col("text")).alias("lines"), F.inline(chunk_bounds(F.col("text"))))
-    found = found.withColumn("bytes", F.array_join(F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n")).where(F.col("bytes").rlike(r"[\p{L}\p{N}]"))
-    places = written(found.select("doc_id", "_text", "first", "last", "hash").distinct())
-    equal = found.groupBy("hash", "bytes").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts = 1 and n > 1").select("hash")
+def run_bounds(text: Column, words: int = RUN_WORDS) -> Column:
+    """array<struct<first, last>> of the spans that cover any run of so many words; lines count from 0."""
+    counted = F.transform(_lines(text), lambda x, i: F.struct(i.alias("at"), F.size(F.array_remove(F.split(x, " "), "")).alias("n")))
+
+    def reach(own: Column, k: Column) -> Column:
+        """The line at which the words from the k-th on are enough; null if they never are."""
+
+        def within(n: int) -> Column:
+            start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"))
+            add = lambda a, x: F.when(a["n"] >= words, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), x["at"].alias("at")))
+            return F.aggregate(F.slice(own, k + 1, n), start, add, lambda a: F.when(a["n"] >= words, a["at"]))
+
+        return F.coalesce(within(min(6, words)), within(words))  # few lines do mostly
+
+    # a span as one number, as arrays of numbers are made distinct in linear time
+    span = lambda first, last: F.shiftleft(first.cast("long"), 32) + last
+
+    def spans(own: Column) -> Column:
+        onwards = F.transform(own, lambda x, k: span(x["at"], reach(own, k)))
+        back = let(F.reverse(own), lambda turned: F.transform(turned, lambda x, k: span(reach(turned, k), x["at"])))
+        # blank lines after a line that is enough by itself
+        gaps = F.transform(own, lambda x, k: F.when((x["n"] >= words) & (F.get(own, k + 1)["at"] > x["at"] + 1), span(x["at"], F.get(own, k + 1)["at"])))
+        return F.array_compact(F.array_distinct(F.concat(onwards, back, gaps)))
+
+    found = let(F.filter(counted, lambda x: x["n"] > 0), spans)
+    return F.transform(found, lambda s: F.struct(F.shiftright(s, 32).cast("int").alias("first"), s.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("last")))
+
+
+def chunks_and_runs(text: Column) -> Column:
+    return F.concat(F.transform(chunk_bounds(text), lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"))), run_bounds(text))
+
+
+def repeated_spans(docs: DataFrame, bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
+    """doc_id, _text, first, last of spans to remove; _text is the hash of the text."""
+
+    def compared(lines: Column) -> Column:
+        piece = lambda s: F.array_join(F.slice(lines, s["first"] + 1, s["last"] - s["first"] + 1), "\n")
+        return F.transform(bounds(F.col("text")), lambda s: let(piece(s), lambda b: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(b).alias("hash"), F.when(b.rlike(r"[\p{L}\p{N}]"), F.unhex(F.sha2(b, 256))).alias("bytes"))))
+
+    found = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.inline(let(_lines(F.col("text")), compared))).where("bytes is not null")
+    places = written(found.distinct())
+    equal = places.groupBy("hash", "bytes").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts = 1 and n > 1").select("hash")
     firsts = places.groupBy("hash").agg(F.min(F.struct("doc_id", "_text", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("hash", "kept").join(equal, "hash", "left_semi")
-    hit = lookup(places, firsts, ["hash"], ["doc_id", "_text", "first"], "inner")
-    return hit.where(~F.struct("doc_id", "_text", "first").eqNullSafe(F.col("kept"))).select("doc_id", "_text", "first", "last")
+    hit = lookup(places.drop("bytes"), firsts, ["hash"], ["doc_id", "_text", "first"], "inner")
+    again = hit.where(~F.struct("doc_id", "_text", "first").eqNullSafe(F.col("kept")))
+    own = F.struct("doc_id", "_text").eqNullSafe(F.struct("kept.doc_id", "kept._text"))
+    beyond = F.when(own, F.greatest(F.col("first"), F.col("kept.first") + F.col("last") - F.col("first") + 1)).otherwise(F.col("first"))
+    return again.select("doc_id", "_text", beyond.alias("first"), "last")
+
+
+def _merged(spans: Column) -> Column:
+    """Disjoint spans in order that cover the same lines."""
+
+    def add(done: Column, s: Column) -> Column:
+        top = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))
+        touches = (F.size(done) > 0) & (s["first"] <= top["last"] + 1)
+        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first:int,last:int>>"), add)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with edited text, lines_removed and chunks_removed."""
-    drops = repeated_chunks(docs).groupBy("doc_id", "_text").agg(F.collect_list(F.struct("first", "last")).alias("_tessella_drops"))
-    drops = drops.select(F.col("doc_id").alias("_tessella_doc"), F.col("_text").alias("_tessella_hash"), "_tessella_drops")
+def remove_repeats(docs: DataFrame, bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
+    """docs (doc_id, text, ...) with edited text, lines_removed and chunks_removed (spans, which may overlap)."""
+    drops = repeated_spans(docs, bounds).groupBy("doc_id", "_text").agg(F.collect_list(F.struct("first", "last")).alias("drops"))
+    drops = drops.select(F.col("doc_id").alias("_tessella_doc"), F.col("_text").alias("_tessella_hash"), _merged(F.col("drops")).alias("_tessella_drops"), F.size("drops").alias("_tessella_spans"))
     own = docs.withColumn("_tessella_text", F.xxhash64("text"))
     joined = own.join(drops, F.col("doc_id").eqNullSafe(F.col("_tessella_doc")) & (F.col("_tessella_text") == F.col("_tessella_hash")), "left").drop("_tessella_doc", "_tessella_hash", "_tessella_text")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("_tessella_drops", lambda d: i.between(d["first"], d["last"])))
@@ -78,10 +137,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         {
             "text": F.when(F.col("_tessella_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
             "lines_removed": F.coalesce(count, F.lit(0)).cast("long"),
-            "chunks_removed": F.coalesce(F.size("_tessella_drops"), F.lit(0)).cast("long"),
+            "chunks_removed": F.coalesce(F.col("_tessella_spans"), F.lit(0)).cast("long"),
         }
-    ).drop("_tessella_drops")
+    ).drop("_tessella_drops", "_tessella_spans")
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), chunks_and_runs)
