@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is the hash of the words that a fixed mask takes from a stretch of SPAN words; words at
-its other places may differ. Seeds of the test items and of the documents are joined. A hit
-lays an item along a document; the overlap counts if somewhere in it WINDOW words in a row
+A seed is the hash of the words that a fixed mask takes from a stretch of words; words at its
+other places may differ. Wherever two of SPAN words in a row differ, some mask fits between
+them, so no overlap is without a seed. Seeds of the test items and of the documents are joined.
+A hit lays an item along a document; the overlap counts if somewhere in it WINDOW words in a row
 agree but for at most SUBSTITUTIONS. Of a run of hits along one line only the first is
 verified, as all lie on the same overlap.
 
@@ -10,8 +11,8 @@ The test side is a stated query set. It is cut into segments of bounded length a
 blocks of bounded size; each block is broadcast, and more blocks mean more passes over the
 documents, which are never shuffled. What is shuffled are verified hits.
 
-Words are runs of letters and digits in lower case. Cases: null texts and texts of fewer than
-SPAN words, on either side, have no hits; equal rows of documents give one row a pair; several
+Words are runs of letters and digits in lower case. Cases: null texts and items of fewer
+than SPAN words have no hits; equal rows of documents give one row a pair; several
 overlaps of a pair give the one with most words, then the first; an empty side gives no rows;
 other columns pass as `keys` name them.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import let, read, without, written
 
-#: Fixed masks over SPAN words: 1 takes the word, 0 ignores it.
-MASKS = ("11011011011", "10110110111", "11110001111")
+#: Fixed masks: 1 takes the word, 0 ignores it. Of SPAN words, any SUBSTITUTIONS leave one of them whole at some place.
+MASKS = ("1101111", "111100011", "1100011011")
 SPAN = 11
 WINDOW = 13
 SUBSTITUTIONS = 2
@@ -34,6 +35,7 @@ SUBSTITUTIONS = 2
 SEGMENT = 128
 BLOCK_SEGMENTS = 8192
 
+_LEAST = min(map(len, MASKS))
 _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 
 
@@ -43,7 +45,8 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seed(hashes: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(hashes, at + o) for o in _OFFSETS[mask]])
+    """Null where the mask reaches beyond the words."""
+    return F.when(at + len(MASKS[mask]) <= F.size(hashes), F.xxhash64(F.lit(mask), *[F.get(hashes, at + o) for o in _OFFSETS[mask]]))
 
 
 def _seeds(hashes: Column, at: Column) -> Column:
@@ -81,14 +84,14 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """keys, item_id, item_words, matched, start: verified overlaps of documents (keys, text) with items (item_id, text)."""
     parts = segments(items)
     blocks = max(1, math.ceil(parts.count() / BLOCK_SEGMENTS))
-    hashed = docs.select(*keys, word_hashes(F.col("text")).alias("h")).where(F.size("h") >= SPAN)
-    at = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("at"))
-    own = at.select("*", F.inline(_seeds(F.col("h"), F.col("at"))))
+    hashed = docs.select(*keys, word_hashes(F.col("text")).alias("h")).where(F.size("h") >= _LEAST)
+    at = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - _LEAST)).alias("at"))
+    own = at.select("*", F.inline(_seeds(F.col("h"), F.col("at")))).where("seed is not null")
     out = None
     for block in range(blocks):
         part = parts if blocks == 1 else parts.where(F.pmod("segment", F.lit(blocks)) == block)
-        placed = part.select("segment", "item_hashes", F.explode(F.sequence(F.lit(0), F.size("item_hashes") - SPAN)).alias("item_at"))
-        seeds = placed.select("segment", "item_hashes", "item_at", F.inline(_seeds(F.col("item_hashes"), F.col("item_at")))).select("segment", "item_at", "mask", "seed", _before(F.col("item_hashes"), F.col("item_at")).alias("item_before"))
+        placed = part.select("segment", "item_hashes", F.explode(F.sequence(F.lit(0), F.size("item_hashes") - _LEAST)).alias("item_at"))
+        seeds = placed.select("segment", "item_hashes", "item_at", F.inline(_seeds(F.col("item_hashes"), F.col("item_at")))).select("segment", "item_at", "mask", "seed", _before(F.col("item_hashes"), F.col("item_at")).alias("item_before")).where("seed is not null")
         hits = own.join(F.broadcast(seeds), ["mask", "seed"])
         first = hits.where(F.col("item_before").isNull() | ~F.col("item_before").eqNullSafe(_before(F.col("h"), F.col("at"))))
         laid = first.join(F.broadcast(part), "segment").withColumn("diagonal", F.col("at") - F.col("item_at"))
