@@ -4,16 +4,16 @@ Paths grow into templates segment by segment. At each node (host and template so
 next segments are looked at together: if nearly each page has its own, the segment is
 variable and only its shape stays ({n}, {h} or {w} with the file extension). Branches whose
 share of bad labels doesn't differ from that of their siblings, by a z-test, are merged into
-one, `*`. A template's purity is its share of good labels, smoothed towards its host's, and
+one, `*`. Segments that all pages of a node share stay as
+they are, however many. A template's purity is its share of good labels, smoothed towards its host's, and
 that towards the share overall; templates below the least purity are blocked.
 
 Counts are taken by (host, template, segment) and only then by node, and what a node decides
 is looked up by its pages through salted joins, so a hot host is spread over tasks.
 
 Cases: a null url, or one without `://`, has an empty host and path, and is judged as a host
-of its own; a page without label counts as unlabelled; repeated rows count each time; segments
-beyond the deepest level end the template as `**`; an empty table gives no rows; other columns
-are ignored.
+of its own; a page without label counts as unlabelled; repeated rows count each time; paths of
+any depth grow to their last segment; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from .common import lookup, read, written
 #: The listed rules, host and path prefix.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-LEVELS = 6
 #: A segment varies if a node has at least this many, with fewer pages each than PAGES_EACH.
 LEAST_BRANCHES = 8
 PAGES_EACH = 3
@@ -70,15 +69,33 @@ def _counts() -> list[Column]:
     return [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
 
 
-def grow(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _along(rows: DataFrame) -> DataFrame:
+    """rows with the segments that all pages of a node share next moved to the template.
+
+    A lone branch keeps its segment, so level by level would give the same; but a level is grown
+    only where paths part, however deep they are.
+    """
+    node = ["host", "template"]
+    ends = rows.groupBy(*node).agg(F.min("segments").alias("lo"), F.max("segments").alias("hi"))
+    same = F.array_position(F.transform("lo", lambda x, i: F.get("hi", i).eqNullSafe(x)), False)
+    shared = F.when(same > 0, F.slice("lo", 1, (same - 1).cast("int"))).otherwise(F.col("lo"))
+    found = lookup(rows, ends.select(*node, shared.alias("shared")), node, ["key"])
+    left = F.slice("segments", F.size("shared") + 1, F.size("segments"))
+    return found.withColumns({"template": F.concat_ws("/", "template", "shared"), "segments": left}).drop("shared")
+
+
+def grow(pages: DataFrame) -> DataFrame:
     """pages (key, host, path, label: 1 bad, 0 good, null) with `template`."""
     segments = F.filter(F.split("path", "/"), lambda _, i: i > 0)
     rows = written(pages.withColumns({"segments": segments, "template": F.lit("")}))
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
     node = ["host", "template"]
-    for level in range(min(levels, deepest)):
-        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
-        here = rows.where(F.col("segment").isNotNull()).groupBy(*node, "segment").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    ended = F.size("segments") == 0
+    done, rows = rows.where(ended), rows.where(~ended)
+    while not rows.isEmpty():  # only pages whose paths still have a segment
+        rows = written(_along(rows))
+        done, rows = done.unionByName(rows.where(ended)), rows.where(~ended)
+        rows = rows.withColumn("segment", F.get("segments", F.lit(0)))
+        here = rows.groupBy(*node, "segment").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
         here = written(here)
         nodes = here.groupBy(*node).agg(F.count("*").alias("branches"), *_counts())
         varies = nodes.select(*node, ((F.col("branches") >= LEAST_BRANCHES) & (F.col("n") < PAGES_EACH * F.col("branches"))).alias("varies"))
@@ -93,8 +110,10 @@ def grow(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
         names = both.withColumn("name", F.when(alike, F.lit("*")).otherwise(F.col("branch"))).select(*node, "branch", "name")
         rows = lookup(rows, varies, node, ["key"]).withColumn("branch", label)
         rows = lookup(rows, names, [*node, "branch"], ["key"])
-        rows = written(rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name"))).drop("segment", "varies", "branch", "name"))
-    return rows.withColumn("template", F.when(F.size("segments") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+        rows = rows.withColumns({"template": F.concat_ws("/", "template", "name"), "segments": F.slice("segments", 2, F.size("segments"))}).drop("segment", "varies", "branch", "name")
+        rows = written(rows)
+        done, rows = done.unionByName(rows.where(ended)), rows.where(~ended)
+    return done.drop("segments")
 
 
 def purity(rows: DataFrame) -> DataFrame:
