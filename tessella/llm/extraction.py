@@ -8,6 +8,12 @@ neighbours, good if they differ at equal distance. Where a page marks its articl
 or main elements with text), only what is inside can be good, neighbours are those inside,
 and blocks with no decided neighbour are good.
 
+A class that says what a page has (`has-sidebar`, `with-comments`) marks nothing. An article
+suspends the marks of classes, ids and roles on what holds it, as layouts bear such names
+(`header-fixed`), but not those of navigation, asides, footers, forms and comments. Of a
+page's articles those within the fewest marks count, of those with a block that pass one finds
+good if there are any, so teasers in a marked box beside the article stay out.
+
 Cases: null or empty html, or a page without good blocks, gives an empty text; broken markup
 is read as far as it goes (an end tag closes the nearest open element of its name, an
 unclosed one ends with what holds it); repeated rows are read alike; very long pages are read
@@ -61,29 +67,34 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HAS = frozenset("has with no without".split())
+#: Words of a mark that an article inside doesn't suspend.
+KEPT = frozenset("nav navbar navigation menu aside footer form comment comments disqus respond replies reply".split())
 
 
 class Block:
-    __slots__ = ("bad", "inside", "label", "linked", "tag", "text")
+    __slots__ = ("bad", "inside", "label", "linked", "suspended", "tag", "text")
 
-    def __init__(self, text: str, linked: int, tag: str, bad: bool, inside: bool):
-        self.text, self.linked, self.tag, self.bad, self.inside, self.label = text, linked, tag, bad, inside, None
+    def __init__(self, text: str, linked: int, tag: str, bad: bool, inside: bool, suspended: int):
+        self.text, self.linked, self.tag, self.bad, self.inside, self.suspended, self.label = text, linked, tag, bad, inside, suspended, None
 
 
-def _marked(attributes: str) -> bool:
+def _marks(attributes: str) -> set[str]:
+    found = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if any(w in MARKS for w in _WORD.findall(_HUMPS.sub(" ", value).lower())):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = _WORD.findall(_HUMPS.sub(" ", name).lower())
+            if len(words) < 2 or words[0] not in _HAS:
+                found.update(w for w in words if w in MARKS)
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; blocks without text are left out."""
     out: list[Block] = []
     parts: list[str] = []
-    linked = links = bad = inside = breaks = 0
-    stack: list[tuple[str, int, int]] = []  # name, whether it is bad, whether it is an article
+    linked = links = bad = inside = breaks = suspended = 0
+    stack: list[tuple[str, int, int, int, bool]] = []  # name, whether it is bad, whether it is an article, marks it suspends, whether an article suspends it
     tag, at, end = "", 0, len(page)
 
     def flush() -> None:
@@ -91,15 +102,15 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, linked, tag, bad > 0, inside > 0))
+                out.append(Block(text, linked, tag, bad > 0, inside > 0, suspended))
             parts = []
         linked = 0
 
     def pop(upto: int) -> None:
-        nonlocal bad, inside
+        nonlocal bad, inside, suspended
         while len(stack) > upto:
-            _, b, i = stack.pop()
-            bad, inside = bad - b, inside - i
+            _, b, i, s, _ = stack.pop()
+            bad, inside, suspended = bad - b + s, inside - i, suspended - s
 
     def text(upto: int) -> None:
         nonlocal linked, breaks
@@ -153,11 +164,14 @@ def blocks(page: str) -> list[Block]:
             if stray is not None:  # left open before the article
                 pop(stray)
         article = name in ("article", "main")
-        marked = name not in ("html", "body", "main") and _marked(m[3]) if m[3] else False
-        skip = (name in SKIPPED) or (name == "header" and not inside) or (marked and not (article and not inside and "comment" not in m[3].lower()))
+        marks = _marks(m[3]) if m[3] and name not in ("html", "body", "main") else set()
+        hard = (name in SKIPPED) or (name == "header" and not inside)
+        skip = hard or (bool(marks) and not (article and not inside and "comment" not in m[3].lower()))
         if block or skip:
-            stack.append((name, int(skip), int(article)))
-            bad, inside = bad + skip, inside + article
+            # all marks that are still in force, or none if one of them stays
+            free = bad if article and not skip and bad + suspended == sum(x[4] for x in stack) else 0
+            stack.append((name, int(skip), int(article), free, skip and not hard and not marks & KEPT))
+            bad, inside, suspended = bad + skip - free, inside + article, suspended + free
             if block:
                 tag = name
     flush()
@@ -179,6 +193,10 @@ def _decide(b: Block) -> bool | None:
 
 
 def main_blocks(found: list[Block]) -> list[str]:
+    articles = [b for b in found if b.inside and not b.bad]
+    least = min((b.suspended for b in [b for b in articles if _decide(b)] or articles), default=0)
+    for b in found:
+        b.bad = b.bad or b.suspended > least
     marked = any(b.inside and not b.bad for b in found)
     seen = [b for b in found if b.inside and not b.bad] if marked else found
     labels = [_decide(b) for b in seen]
