@@ -1,16 +1,17 @@
 """Quality rules: fixed rules, and divergence from what the language looks like.
 
 Per language, two reference histograms are counted over all documents: classes of characters,
-and the most frequent short words with all other words as one bin. A document whose own
+and the most frequent words with all other words as one bin. A document whose own
 histogram lies further than a limit from its language's, by Jensen-Shannon distance (the
 root of the divergence to base 2, from 0 to 1), is not kept. Short documents have noisy
 histograms, so each comparison needs a least length.
 
-A document of no language, or of one beyond the MOST_LANGUAGES most frequent, is compared to
-the histograms of all documents together.
+A document without a language, or of one with fewer than LEAST_REFERENCE_WORDS words in all, is
+compared to the histograms of all documents together.
 
 Cases: a null text has no words, so it fails the base rules; very long texts are read whole;
-repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+repeated rows are judged alike; any string is a language; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, read, written
+from .common import let, lookup, read, written
 
 #: Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,17 +28,17 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 
-#: Histogram bounds: languages with a reference of their own, words in it, letters of a word.
-MOST_LANGUAGES = 256
+#: Words of a reference, and words that a language must have for a reference of its own.
 COMMON = 50
-LETTERS = 4
+LEAST_REFERENCE_WORDS = 10_000
+#: References that may be broadcast: some 10 MB.
+MOST_BROADCAST = 10_000
 #: Distances beyond these reject; lengths below these don't compare.
 MOST_CHARS_DISTANCE = 0.28
 MOST_WORDS_DISTANCE = 0.37
 LEAST_CHARS_COMPARED = 300
 LEAST_WORDS_COMPARED = 100
 
-ALL = "*"
 _CLASSES = (r"\p{Lu}+", r"\p{N}+", r"[\p{P}\p{S}]+")
 _PLAIN = r"[\p{Ll}\x20\x09-\x0D]+"
 
@@ -66,8 +67,9 @@ def class_counts(n: Column, word_chars: Column, marked: Column) -> Column:
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window which the text has twice or more.
 
-    Most texts repeat no window; those that do are looked at more closely: hash and place of
-    a window share a long, and sorted, equal windows are neighbours.
+    Most texts repeat no window; those that do are looked at more closely: the high bits of a
+    window's hash and its place share a long, and sorted, equal windows are neighbours. What
+    that finds is sorted again by hash and words, so only equal words count.
     """
 
     def covered(h: Column) -> Column:
@@ -81,7 +83,11 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
             def cover(room: Column) -> Column:
                 high = let(F.lit((1 << 63) - 1).bitwiseAND(-room), lambda mask: F.sort_array(F.transform(w, lambda x, i: x.bitwiseAND(mask).bitwiseOR(i.cast("long")))))
                 twice = lambda s: F.filter(s, lambda x, i: (x.bitwiseXOR(F.get(s, i + 1)) < room) | (x.bitwiseXOR(F.get(s, i - 1)) < room))
-                places = F.sort_array(F.transform(let(high, twice), lambda x: x.bitwiseAND(room - 1)))
+                close = F.transform(let(high, twice), lambda x: x.bitwiseAND(room - 1).cast("int"))
+                whole = F.sort_array(F.transform(close, lambda i: F.struct(F.get(w, i).alias("h"), F.slice(words, i + 1, window).alias("words"), i.cast("long").alias("i"))))
+                like = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["words"] == y["words"]), F.lit(False))
+                equal = let(whole, lambda s: F.filter(s, lambda x, i: like(x, F.get(s, i + 1)) | like(x, F.get(s, i - 1))))
+                places = F.sort_array(F.transform(equal, lambda x: x["i"]))
                 start = F.struct(F.lit(-window).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
                 step = lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(window).cast("long"), x - a["last"])).alias("n"))
                 return F.aggregate(places, start, step, lambda a: a["n"])
@@ -94,7 +100,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts of the base rules, base_failed, class counts and hashes of the short words."""
+    """doc_id, lang, the counts of the base rules, base_failed, class counts and hashes of the words."""
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     repeats = let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.size(h) - F.size(F.array_distinct(h)))
     split = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumns({"words": words_of(F.col("text")), "marked": F.regexp_replace("text", _PLAIN, ""), "n_chars": F.char_length("text")})
@@ -108,36 +114,38 @@ def features(docs: DataFrame) -> DataFrame:
         (F.char_length("marked") - _without(F.col("marked"), SYMBOLS)).cast("long").alias("n_symbols"),
         repeats.cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.transform(F.filter("words", lambda w: F.char_length(w) <= LETTERS), lambda w: F.xxhash64(w)).alias("short"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("classes", class_counts(F.col("n_chars"), F.col("word_chars"), F.col("marked"))).drop("marked")
 
 
-def references(found: DataFrame) -> DataFrame:
-    """(ref_lang, hashes, shares, others, ref_classes) from features: at most MOST_LANGUAGES + 1 rows of bounded size."""
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(6)]
-    per_lang = found.groupBy("lang").agg(F.sum("n_words").alias("n"), F.count("*").alias("docs"), *sums).orderBy(F.desc("docs"), F.col("lang")).limit(MOST_LANGUAGES)
-    per_word = found.select("lang", F.explode("short").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("k"))
-    first = Window.partitionBy("lang").orderBy(F.desc("k"), "word")
-    top = per_word.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= COMMON).drop("rank")
-    totals = [r.asDict() for r in per_lang.collect()]
-    counts: dict = {}
-    for r in top.join(F.broadcast(found.sparkSession.createDataFrame([(t["lang"],) for t in totals], "l string")), F.col("lang").eqNullSafe(F.col("l"))).collect():
-        counts.setdefault(r["lang"], {})[r["word"]] = r["k"]
-    pooled: dict = {"n": 0, **{f"c{i}": 0.0 for i in range(6)}}
-    together: dict = {}
-    for t in totals:
-        for k in pooled:
-            pooled[k] += t[k] or 0
-        for w, k in counts.get(t["lang"], {}).items():
-            together[w] = together.get(w, 0) + k
-    rows = []
-    for lang, t, own in [*((t["lang"], t, counts.get(t["lang"], {})) for t in totals if t["lang"] is not None), (ALL, pooled, together)]:
-        best = sorted(own.items(), key=lambda x: (-x[1], x[0]))[:COMMON]
-        n, chars = float(t["n"] or 1), sum(t[f"c{i}"] or 0 for i in range(6)) or 1.0
-        rows.append((lang, [w for w, _ in best], [k / n for _, k in best], 1 - sum(k for _, k in best) / n, [(t[f"c{i}"] or 0) / chars for i in range(6)]))
-    return found.sparkSession.createDataFrame(rows, "ref_lang string, hashes array<long>, shares array<double>, others double, ref_classes array<double>")
+def _reference(top: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
+    """on, hashes, shares, others, ref_classes: top has a row a word with its count k, totals the sums."""
+    best = top.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "word"))).alias("best"))
+    chars = F.greatest(sum((F.col(f"c{i}") for i in range(6)), F.lit(0.0)), F.lit(1.0))
+    both = totals.join(best, on, "left").withColumn("best", F.coalesce("best", F.expr("cast(array() as array<struct<k:bigint,word:bigint>>)")))
+    shares = F.transform("best", lambda x: -x["k"] / F.col("n"))
+    return both.select(
+        *on,
+        F.transform("best", lambda x: x["word"]).alias("hashes"),
+        shares.alias("shares"),
+        (1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)).alias("others"),
+        F.array(*[F.col(f"c{i}") / chars for i in range(6)]).alias("ref_classes"),
+    )
+
+
+def references(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From features: (lang, hashes, shares, others, ref_classes), and the same in one row for all languages together."""
+    sums = [F.sum("n_words").cast("double").alias("n"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(6)]]
+    again = [F.sum(c).alias(c) for c in ("n", *[f"c{i}" for i in range(6)])]
+    per_lang = written(found.groupBy("lang").agg(*sums))
+    per_word = written(found.select("lang", F.explode("hashed").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("k")))
+    enough = per_lang.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_REFERENCE_WORDS))
+    first = Window.partitionBy("lang").orderBy(F.desc("k"), "word")  # each partition passes COMMON rows a language on
+    top = per_word.where("lang is not null").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= COMMON).drop("rank")
+    together = per_word.groupBy("word").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "word").limit(COMMON).withColumn("pool", F.lit(0))
+    return _reference(top, enough, ["lang"]), _reference(together, per_lang.agg(*again).withColumn("pool", F.lit(0)), ["pool"]).drop("pool")
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -158,10 +166,10 @@ def classes_distance(counts: Column, reference: Column) -> Column:
     return let(counts, against)
 
 
-def words_distance(n_words: Column, short: Column, hashes: Column, shares: Column, others: Column) -> Column:
+def words_distance(n_words: Column, words: Column, hashes: Column, shares: Column, others: Column) -> Column:
     """Bins that the document lacks add half their share times ln 2 each."""
     n = F.greatest(n_words, F.lit(1)).cast("double")
-    common = F.sort_array(F.filter(short, lambda x: F.array_contains(hashes, x)))
+    common = F.sort_array(F.filter(words, lambda x: F.array_contains(hashes, x)))
 
     def against(c: Column) -> Column:
         def over(found: Column) -> Column:
@@ -189,13 +197,17 @@ def judge(docs: DataFrame) -> DataFrame:
     The features are written once; references and distances are read from them.
     """
     found = written(features(docs))
-    reference = references(found)
-    known = [r["ref_lang"] for r in reference.select("ref_lang").collect()]
-    found = found.withColumn("ref_lang", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ALL))).join(F.broadcast(reference), "ref_lang", "left")
+    own, pool = references(found)
+    own = written(own)
+    found = found.join(F.broadcast(own), "lang", "left") if own.count() <= MOST_BROADCAST else lookup(found, own, ["lang"], ["doc_id"])
+    pooled = pool.first()
+    for c in pool.columns:
+        kind = pool.schema[c].dataType
+        found = found.withColumn(c, F.coalesce(F.col(c), F.lit(pooled[c] if pooled[c] is not None else None).cast(kind)))
     found = found.withColumns(
         {
             "chars_distance": F.when(F.col("n_chars") >= LEAST_CHARS_COMPARED, classes_distance(F.col("classes"), F.col("ref_classes"))),
-            "words_distance": F.when(F.col("n_words") >= LEAST_WORDS_COMPARED, words_distance(F.col("n_words"), F.col("short"), F.col("hashes"), F.col("shares"), F.col("others"))),
+            "words_distance": F.when(F.col("n_words") >= LEAST_WORDS_COMPARED, words_distance(F.col("n_words"), F.col("hashed"), F.col("hashes"), F.col("shares"), F.col("others"))),
         }
     )
     far = F.coalesce(F.col("chars_distance") > MOST_CHARS_DISTANCE, F.lit(False)) | F.coalesce(F.col("words_distance") > MOST_WORDS_DISTANCE, F.lit(False))
