@@ -1,12 +1,16 @@
 """HTML extraction by two passes over a page's blocks.
 
-A block is the text between block-level tags. Pass one decides: blocks in menus, headers,
-footers, sidebars, notices, adverts, forms and comments (by element, role, class or id) and
-blocks of links are bad; long blocks, and middling ones with enough stop words, are good;
-the others are undecided. Pass two gives an undecided block the label of its nearest decided
-neighbours, good if they differ at equal distance. Where a page marks its article (article
-or main elements with text), only what is inside can be good, neighbours are those inside,
-and blocks with no decided neighbour are good.
+A block is the text between block-level tags. Pass one looks at each alone: blocks in menus,
+headers, footers, sidebars, notices, adverts, forms and comments (by element, role, class or
+id) are bad; so are blocks of links, but for a paragraph, which may be one link; long or
+middling blocks that are dense in stop words are good; the others (headings, short ones, link
+paragraphs, long ones that hardly have a stop word) are undecided. A page whose blocks as a
+whole have next to no stop words is in a language without a list here; there length alone
+makes good. Pass two gives an undecided block the label of its nearest decided neighbours, good
+if they differ at equal distance; a heading that of the next decided block, as it belongs to
+what follows. Both passes run inside articles too: where a page marks its article (article or
+main elements with text), only what is inside can be good, neighbours are those inside, and
+blocks with no decided neighbour are good.
 
 A class that says what a page has (`has-sidebar`, `with-comments`) marks nothing. An article
 suspends the marks of classes, ids and roles on what holds it, as layouts bear such names
@@ -15,14 +19,17 @@ page's articles those within the fewest marks count, of those with a block that
 good if there are any, so teasers in a marked box beside the article stay out.
 
 Cases: null or empty html, or a page without good blocks, gives an empty text; broken markup
-is read as far as it goes (an end tag closes the nearest open element of its name, an
-unclosed one ends with what holds it); repeated rows are read alike; very long pages are read
-whole; other columns pass through untouched.
+is read as far as it goes (an end tag closes the nearest open element of its name, one without
+such an element nothing; an unclosed one ends with what holds it; a tag or comment that never
+ends, nothing after it being closed, is text or a comment to the end); repeated rows are read
+alike; very long pages are read whole, in time linear in them; other columns pass through, but
+for one named main_text, which is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,10 +37,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 #: HTML element names by what they mean here.
-RAW = frozenset("script style template noscript svg math iframe object textarea title canvas audio video".split())
+RAW = frozenset("script style template noscript svg iframe object textarea title canvas audio video".split())
 SKIPPED = frozenset("nav aside footer form button select dialog menu head fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -60,11 +67,13 @@ STOP_WORDS = frozenset(
 )
 LONG, SHORT = 140, 70
 LINKS = 0.5
-STOPS = 0.1
+#: Least shares of stop words: in a middling block, in a long one, and on a page whose language is listed.
+STOPS, STOPS_LONG, STOPS_PAGE = 0.1, 0.03, 0.01
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 _HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HAS = frozenset("has with no without".split())
@@ -73,10 +82,12 @@ KEPT = frozenset("nav navbar navigation menu aside footer form comment comments
 
 
 class Block:
-    __slots__ = ("bad", "inside", "label", "linked", "suspended", "tag", "text")
+    __slots__ = ("bad", "inside", "linked", "stops", "suspended", "tag", "text", "words")
 
     def __init__(self, text: str, linked: int, tag: str, bad: bool, inside: bool, suspended: int):
-        self.text, self.linked, self.tag, self.bad, self.inside, self.suspended, self.label = text, linked, tag, bad, inside, suspended, None
+        self.text, self.linked, self.tag, self.bad, self.inside, self.suspended = text, linked, tag, bad, inside, suspended
+        words = () if bad else _LETTERS.findall(text.lower())
+        self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words)
 
 
 def _marks(attributes: str) -> set[str]:
@@ -93,9 +104,11 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; blocks without text are left out."""
     out: list[Block] = []
     parts: list[str] = []
-    linked = links = bad = inside = breaks = suspended = 0
-    stack: list[tuple[str, int, int, int, bool]] = []  # name, whether it is bad, whether it is an article, marks it suspends, whether an article suspends it
+    linked = links = bad = inside = breaks = suspended = stray = free = 0
+    stack: list[tuple[str, int, int, int, int, int]] = []  # name, whether it is bad, an article, marks it suspends, whether it is a head, menu or header, whether an article suspends it
+    opened: Counter = Counter()
     tag, at, end = "", 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends beyond
 
     def flush() -> None:
         nonlocal linked, parts
@@ -106,11 +119,12 @@ def blocks(page: str) -> list[Block]:
             parts = []
         linked = 0
 
-    def pop(upto: int) -> None:
-        nonlocal bad, inside, suspended
-        while len(stack) > upto:
-            _, b, i, s, _ = stack.pop()
-            bad, inside, suspended = bad - b + s, inside - i, suspended - s
+    def pop() -> str:
+        nonlocal bad, inside, suspended, stray, free
+        name, b, i, s, h, f = stack.pop()
+        opened[name] -= 1
+        bad, inside, suspended, stray, free = bad - b + s, inside - i, suspended - s, stray - h, free - f
+        return name
 
     def text(upto: int) -> None:
         nonlocal linked, breaks
@@ -123,13 +137,16 @@ def blocks(page: str) -> list[Block]:
                     linked += len(_SPACE.sub(" ", unescape(part)).strip())
 
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last else None
         if m is None:
-            text(end)
+            stop = page.find("<!--", at)
+            text(end if stop < 0 else stop)
             break
         text(m.start())
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW and not closing:
@@ -151,82 +168,83 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if found is not None:
-                pop(found)
+            if opened[name]:
+                while pop() != name:
+                    pass
             if block:
                 tag = stack[-1][0] if stack else ""
             continue
         if block and stack and stack[-1][0] == "p":
-            pop(len(stack) - 1)
-        if name in ("article", "main"):
-            stray = next((i for i, x in enumerate(stack) if x[1] and x[0] in ("head", "nav", "header")), None)
-            if stray is not None:  # left open before the article
-                pop(stray)
+            pop()
         article = name in ("article", "main")
+        while article and stray:  # left open before the article
+            pop()
         marks = _marks(m[3]) if m[3] and name not in ("html", "body", "main") else set()
         hard = (name in SKIPPED) or (name == "header" and not inside)
         skip = hard or (bool(marks) and not (article and not inside and "comment" not in m[3].lower()))
         if block or skip:
             # all marks that are still in force, or none if one of them stays
-            free = bad if article and not skip and bad + suspended == sum(x[4] for x in stack) else 0
-            stack.append((name, int(skip), int(article), free, skip and not hard and not marks & KEPT))
-            bad, inside, suspended = bad + skip - free, inside + article, suspended + free
+            frees = bad if article and not skip and bad + suspended == free else 0
+            may = int(skip and not hard and not marks & KEPT)
+            head = int(skip and name in ("head", "nav", "header"))
+            stack.append((name, int(skip), int(article), frees, head, may))
+            opened[name] += 1
+            bad, inside, suspended, stray, free = bad + skip - frees, inside + article, suspended + frees, stray + head, free + may
             if block:
                 tag = name
     flush()
     return out
 
 
-def _decide(b: Block) -> bool | None:
-    """Pass one: good, bad or undecided."""
+def _decide(b: Block, listed: bool = True) -> bool | None:
+    """Pass one: good, bad or undecided. listed: whether stop words tell anything in the page's language."""
     if b.bad:
         return False
     if b.linked / len(b.text) > LINKS:
-        return False
+        return None if b.tag == "p" else False
     if b.tag in HEADINGS or len(b.text) < SHORT:
         return None
-    if len(b.text) >= LONG:
-        return True
-    words = b.text.lower().split()
-    return True if sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) >= STOPS * len(words) else None
+    least = STOPS_LONG if len(b.text) >= LONG else STOPS
+    if listed:
+        return True if b.stops >= least * b.words else None
+    return True if len(b.text) >= LONG else None
 
 
-def main_blocks(found: list[Block]) -> list[str]:
-    articles = [b for b in found if b.inside and not b.bad]
-    least = min((b.suspended for b in [b for b in articles if _decide(b)] or articles), default=0)
-    for b in found:
-        b.bad = b.bad or b.suspended > least
-    marked = any(b.inside and not b.bad for b in found)
-    seen = [b for b in found if b.inside and not b.bad] if marked else found
-    labels = [_decide(b) for b in seen]
+def _inherit(seen: list[Block], labels: list[bool | None], alone: bool) -> list[bool]:
+    """Pass two. alone: the label of blocks without a decided neighbour."""
     far = len(seen) + 1
-    before, after = [(far, None)] * len(seen), [(far, None)] * len(seen)
+    before, after = [(far, alone)] * len(seen), [(far, alone)] * len(seen)
     for near, order in ((before, range(len(seen))), (after, range(len(seen) - 1, -1, -1))):
-        away, last = far, None
+        away, last = far, alone
         for i in order:
             away += 1
             if labels[i] is not None:
                 away, last = 0, labels[i]
-            near[i] = (away if last is not None else far, last)
+            near[i] = (min(away, far), last)
     out = []
-    for i, b in enumerate(seen):
-        label = labels[i]
+    for b, label, (x, left), (y, right) in zip(seen, labels, before, after, strict=True):
         if label is None:
-            (x, left), (y, right) = before[i], after[i]
-            if left is None and right is None:
-                label = marked
-            elif x == y:
-                label = bool(left) or bool(right)
+            if b.tag in HEADINGS and y < far:
+                label = right
             else:
-                label = bool(left if x < y else right)
-            if marked and not b.linked:  # short lines of an article are its own
-                label = True
-        if label:
-            out.append(b.text)
+                label = left or right if x == y else left if x < y else right
+        out.append(label)
     return out
 
 
+def main_blocks(found: list[Block]) -> list[str]:
+    stops, words = sum(b.stops for b in found), sum(b.words for b in found)
+    listed = stops >= STOPS_PAGE * words
+    articles = [b for b in found if b.inside and not b.bad]
+    least = min((b.suspended for b in [b for b in articles if _decide(b, listed)] or articles), default=0)
+    for b in found:
+        b.bad = b.bad or b.suspended > least
+    marked = any(b.inside and not b.bad for b in found)
+    seen = [b for b in found if b.inside and not b.bad] if marked else found
+    labels = _inherit(seen, [_decide(b, listed) for b in seen], marked)
+    return [b.text for b, label in zip(seen, labels, strict=True) if label]
+
+
 def extract(page: str | None) -> str:
     return "\n".join(main_blocks(blocks(page))) if page else ""
 
@@ -234,6 +252,8 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `main_text`."""
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for found in batches:
