@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, lookup, read, without, written
+from .common import SMALL_ROWS, lookup, read, small_batches, without, written
 from .components import components
 
 WORDS = 5
@@ -108,6 +108,8 @@ def hashed_words(docs: DataFrame, *keep: str) -> DataFrame:
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, cid and bands (null without words)."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<bigint>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         signer = Signer(bands, rows)
@@ -134,6 +136,8 @@ def few_pairs(members: DataFrame) -> DataFrame:
 def class_grams(docs: DataFrame, wanted: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
     """(cid, n, grams) of wanted classes (cid, n, first: a doc_id that has it)."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<bigint>")
     def to_grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -26,6 +26,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,13 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, small_batches, written
 
 CAPACITY = 1024
 GRAIN = 4
 END = 0
 #: Characters of text that are encoded together.
-BATCH_CHARS = 5_000_000
+BATCH_CHARS = 2_000_000
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -70,18 +71,23 @@ class ByteLevelBPE:
     No word reaches past a space that follows other than a space. So where no two spaces
     meet, the strings between spaces are encoded on their own: each different string of a
     batch once, all of them in one call, and a text's ids are gathered from theirs. That is
-    for plain Latin texts; all others are left to the library itself. Special tokens' strings
-    are ordinary text.
+    for texts without rare characters; others are left to the library itself, which is loaded
+    when the first of them comes. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         self.plain = re.compile(f"[{_plain()}]*")
         self.ranked = self._ranked(path)
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def _ranked(self, path: str):
         """The same vocabulary as ranks, if the file's merges stand in the order of their ids."""
         with open(path, encoding="utf-8") as f:
@@ -131,6 +137,12 @@ class ByteLevelBPE:
         return np.split(out, ends[at[1:-1] + np.arange(len(first) - 1)])
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ByteLevelBPE:
+    """One for all tasks of a worker process."""
+    return ByteLevelBPE(path)
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The byte of each character of a byte-level vocabulary: printable bytes stand for themselves, the others follow 255."""
     own = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -146,7 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
     """A row per piece of each document of (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ByteLevelBPE(tokenizer)
+        encode = encoder(tokenizer)
         part, met = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for own in _slices([t or "" for t in batch["text"]]):
@@ -306,6 +318,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int =
     """The pieces of (doc_id, text) with sequence_id and offset."""
     if capacity % grain:
         raise ValueError("capacity must be a multiple of grain")
+    small_batches(docs.sparkSession)
     cut = written(pieces(docs, tokenizer, capacity, grain, with_ids))
     counts = cut.groupBy("class", "part").agg(F.count("*").alias("n"))
     demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
