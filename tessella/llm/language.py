@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 UNKNOWN = "und"
 #: Bounds of what is learned: rows drawn a language, characters of each, bytes of a dictionary.
@@ -35,8 +35,8 @@ MARGIN = 0.003
 
 
 def letters(text: Column) -> Column:
-    """Letters in lower case; whatever stands between them is one space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " "))
+    """Letters in lower case, with their marks; whatever stands between them is one space. Empty if there is no letter."""
+    return F.when(text.rlike(r"\p{L}"), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))).otherwise("")
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -95,6 +95,8 @@ class Classifier:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN, out: str = "language") -> DataFrame:
     """docs with a struct, named by out: lang_pred, score (the margin, 0 to 1) and rejected."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         judge = Classifier(dictionaries)

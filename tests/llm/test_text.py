@@ -148,3 +148,14 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     one = sorted(map(tuple, decontamination.overlaps(docs, table, ["doc_id"]).select("doc_id", "item_id").collect()))
     monkeypatch.setattr(decontamination, "BLOCK_SEGMENTS", 4)
     assert sorted(map(tuple, decontamination.overlaps(docs, table, ["doc_id"]).select("doc_id", "item_id").collect())) == one == [(k, k) for k in range(6)]
+
+
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(1, "́̈ ́"), (2, "123 !"), (3, "der fluss ist still und das licht ist offen"), (4, None)]
+    known = {"de": b"der fluss und das licht ist still", "en": b"the river and the light is quiet"}
+    got = {r["doc_id"]: r["language"] for r in language.classify(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und", "und", "de", "und"] and got[1]["rejected"]
+
+
+def test_secrets_columns_stand_as_stated(spark, sf):
+    assert secrets.op7_secrets(spark, sf).columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
