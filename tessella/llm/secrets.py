@@ -1,27 +1,33 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
-The patterns give the base spans. Beyond them, a long string of letters and digits that
-follows a sensitive word is a candidate. Its novelty is the number of bytes that it adds to
-the compressed text around it, per character, where the compressor already knows a
-dictionary of common identifiers: a name that the code uses elsewhere costs little, a key
-costs nearly its whole entropy. Novel candidates are reported too.
+The patterns give the base spans. Beyond them, a long string of letters and digits in a
+sensitive context is a candidate: its statement (a line, or a sentence of one) or the one before
+has a sensitive word, or the one before is itself a candidate in such a context and nothing
+else, as the lines of a key are. Its novelty is the number of bytes that it adds to the
+compressed code around it, per character, where the compressor knows a dictionary of common
+identifiers and all identifiers of the whole text: a name that the text has elsewhere costs
+little, a key nearly its whole entropy. Novel candidates are reported too.
 
 Cases: a null or empty text has no spans; spans of one start stand in the order of KINDS;
-candidates that touch a base span are left out; repeated rows are scanned alike; long texts
-are scanned whole; other columns pass through untouched.
+candidates that touch a base span are left out; a string that the text has twice is known to it;
+repeated rows are scanned alike; long texts are scanned whole; other columns pass through, but
+for one named secrets, which is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 #: Kinds in the order that breaks ties of start.
 KINDS = ("assign", "access", "hex", "novel")
@@ -32,12 +38,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so this is a run of 16 or more
 _SENSITIVE = re.compile(r"(?i:auth|bearer|credential|private|secret|token|passw|pwd|api.?key|access.?key|signature|session)", re.A)
 _WORDS = ("auth", "bearer", "credential", "private", "secret", "token", "passw", "pwd", "key", "signature", "session")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
-
-#: Characters after a sensitive word in which a candidate may begin, and those of context on either side.
-REACH, AROUND = 48, 400
-#: Added bytes per character from which a candidate is new (random hex adds 0.5, base64 0.75), without the bytes that any addition costs.
-NOVELTY = 0.6
+_STATEMENT = re.compile(r"[^\n]*?(?:[.;!?](?=\s)|\n|\Z)")
+#: A string with a piece of twelve letters and digits, one of each at least: paths, dates, versions and names of words have shorter ones.
+_PIECE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12}"
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*?{_PIECE})[A-Za-z0-9+/_-]{{16,}}={{0,2}}")
+_IDENTIFIER = re.compile(r"[A-Za-z0-9+/_-]{3,}")
+
+#: Characters on either side that are compressed with a candidate; what lies further off counts through its identifiers.
+AROUND = 400
+#: Added bytes per character from which a candidate is new (random hex adds 0.5 to 0.8, base64 0.75 to 0.9), without the bytes that any addition costs.
+NOVELTY = 0.55
 OVERHEAD = 4
 
 #: Identifiers that code is full of.
@@ -63,37 +73,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-class Novelty:
-    def __init__(self, identifiers: bytes = IDENTIFIERS, level: int = 9):
-        known = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.coder = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+class _Known:
+    """Marginal compressed bytes of a string, for one text."""
 
-    def __call__(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).encode()
-        own = text[start:end].encode()
+    def __init__(self, text: str, identifiers: bytes, level: int):
+        names = Counter(_IDENTIFIER.findall(text))
+        known = " ".join(n for n, k in names.items() if k > 1 or not _CANDIDATE.fullmatch(n))
+        dictionary = zstandard.ZstdCompressionDict(identifiers + b" " + known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.text = text
+        self.coder = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def __call__(self, start: int, end: int) -> float:
+        around = (self.text[max(0, start - AROUND) : start] + " " + self.text[end : end + AROUND]).encode()
+        own = self.text[start:end].encode()
         return (len(self.coder.compress(around + b" " + own)) - len(self.coder.compress(around)) - OVERHEAD) / len(own)
 
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings in a sensitive context."""
+    out, sensitive = [], False
+    for s in _STATEMENT.finditer(text):
+        if s.end() == s.start():
+            break
+        if s[0].isspace():
+            continue
+        here = _SENSITIVE.search(text, s.start(), s.end()) is not None
+        found = [m.span() for m in _CANDIDATE.finditer(text, s.start(), s.end())] if here or sensitive else []
+        out += found
+        alone = len(found) == 1 and text[s.start() : s.end()].strip() == text[slice(*found[0])]
+        sensitive = here or (sensitive and alone)
+    return out
+
+
+class Novelty:
+    def __init__(self, identifiers: bytes = IDENTIFIERS, level: int = 9):
+        self.identifiers, self.level = identifiers, level
+
     def spans(self, text: str, base: list[tuple[int, int, int]], least: float = NOVELTY) -> list[tuple[int, int, int, float]]:
+        """(start, rank of the kind, end, novelty) of the candidates that no base span touches."""
         low = text.lower()
         if not any(w in low for w in _WORDS):
             return []
-        out, done = [], 0
-        for word in _SENSITIVE.finditer(text):
-            for m in _CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + REACH + 16)):
-                whole = _CANDIDATE.match(text, m.start())
-                if whole is None or m.start() > word.end() + REACH:
-                    break
-                done = whole.end()
-                if any(s < whole.end() and whole.start() < e for s, _, e in base):
-                    continue
-                if (new := self(text, whole.start(), whole.end())) >= least:
-                    out.append((whole.start(), 3, whole.end(), new))
-        return out
+        ends = list(accumulate((e for _, _, e in base), max))
+        touched = lambda s, e: (i := bisect_left(ends, s + 1)) < len(base) and base[i][0] < e
+        found = [(s, e) for s, e in candidates(text) if not touched(s, e)]
+        if not found:
+            return []
+        novelty = _Known(text, self.identifiers, self.level)
+        return [(s, 3, e, new) for s, e in found if (new := novelty(s, e)) >= least]
 
 
 def find_secrets(docs: DataFrame, text: str = "text", least: float = NOVELTY) -> DataFrame:
     """docs with `secrets`: array of (kind, start, end, novelty), sorted; code points, end exclusive."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<struct<kind:string,start:long,end:long,novelty:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         novelty = Novelty()
@@ -118,7 +152,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[count(k).alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(F.filter("secrets", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
         _joined(F.col("secrets")).alias("spans"),
+        count("novel").alias("n_novel"),
     )
