@@ -70,18 +70,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def salted(df: DataFrame, *by: str) -> DataFrame:
-    """df with a salt drawn from its own columns, for the large side of lookup()."""
-    return df.withColumn("_tessella_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+#: A key is hot from this many rows on, and from this part of all rows, so there are at most so many hot keys.
+LEAST_HOT, MOST_HOT = 256, 2000
 
 
-def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "left") -> DataFrame:
+def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "left", n: str | None = None) -> DataFrame:
     """Join df with small, which has a row a key; rows of one key are dealt over SALTS tasks.
 
-    spread: columns of df that tell the rows of a key apart.
+    spread: columns of df that tell the rows of a key apart. n: a column of small with the number
+    of df's rows of the key; then only hot keys, of which there are at most MOST_HOT, are dealt
+    out, and small should be a written table, as it is read twice.
     """
-    copies = small.withColumn("_tessella_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted(df, *spread).join(copies, [*on, "_tessella_salt"], how).drop("_tessella_salt")
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if n is None:
+        copies, dealt = small.withColumn("_tessella_salt", F.explode(every)), df.withColumn("_tessella_salt", salt)
+    else:
+        total = small.agg(F.sum(n)).first()[0] or 0
+        hot = F.col(n) >= max(LEAST_HOT, total / MOST_HOT)
+        copies = small.withColumn("_tessella_salt", F.explode(F.when(hot, every).otherwise(F.array(F.lit(0)))))
+        keys = small.where(hot).select(*on, F.lit(True).alias("_tessella_hot"))
+        dealt = df.join(F.broadcast(keys), on, "left").withColumn("_tessella_salt", F.when(F.col("_tessella_hot"), salt).otherwise(F.lit(0))).drop("_tessella_hot")
+    return dealt.join(copies, [*on, "_tessella_salt"], how).drop("_tessella_salt")
 
 
 #: Rows of two 64-bit keys that may be broadcast: some 50 MB.

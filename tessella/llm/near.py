@@ -6,11 +6,14 @@ from the similarity and the target recall: a pair as similar as the threshold ag
 band with that probability. Signatures are shuffled on their band hashes.
 
 A band hash that few classes share yields its pairs; they are verified on full n-gram sets.
-One that many share would yield a square of pairs. Such classes are grouped by the components
-of the crowded band hashes, and a group is verified as a grid: its members are dealt into
-blocks of bounded size, each pair of blocks is a task of its own that multiplies the blocks'
-membership matrices, and only counts and a spanning forest of the verified links leave it.
-The grid compares all members of a group, so what it covers is exact.
+One that many share would yield a square of pairs. Such classes are grouped and a group is
+verified as a grid: its members are dealt into blocks of bounded size, each pair of blocks is a
+task of its own that multiplies the blocks' membership matrices, and only counts and a
+spanning forest of the verified links leave it. A group is a component of the crowded band hashes,
+so that classes which share many of them are compared once. Where common passages chain
+components beyond GROUP classes, each crowded band hash is a group of its own, in which pairs that
+share a lesser crowded hash are passed over, as they are counted there. Either way a link is a
+pair of classes that share a band hash and are similar on their full sets, and counts once.
 
 Result: for each document the class of texts it is linked with, directly or through others
 (the least doc_id there), and to how many documents it is similar: copies of its own text and
@@ -40,6 +43,8 @@ RECALL = 0.9999
 ROWS = 5
 #: Classes that may share a band hash before their pairs are left to the grid.
 CROWD = 4
+#: Classes of a component that is verified as one group.
+GROUP = 4096
 #: Members of a block of the grid, and columns of a matrix.
 BLOCK = 256
 COLUMNS = 8192
@@ -122,8 +127,8 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def shared_bands(classes: DataFrame) -> DataFrame:
     """(band, cid, k, low): the classes of each band hash that k > 1 of them share; low is the least."""
     rows = classes.select("cid", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("k"), F.min("cid").alias("low")).where("k > 1")
-    return lookup(rows, shared, ["band"], ["cid"], "inner")
+    shared = written(rows.groupBy("band").agg(F.count("*").alias("k"), F.min("cid").alias("low")).where("k > 1"))
+    return lookup(rows, shared, ["band"], ["cid"], "inner", "k")
 
 
 def few_pairs(members: DataFrame) -> DataFrame:
@@ -189,7 +194,13 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def grid(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """For groups (root, cid, n, grams): rows (a, a, documents that are similar to a) and rows (a, b, -1) of a spanning forest."""
+    """For groups (root, band, cid, n, bands, grams): rows (a, a, documents that are similar to a) and rows (a, b, -1) of a spanning forest.
+
+    Where band is null, pairs need a common one of bands; else only pairs count that have no common one below it.
+    Without the columns band and bands all pairs of a group count.
+    """
+    if "bands" not in groups.columns:
+        groups = groups.withColumns({"band": F.lit(None).cast("long"), "bands": F.lit(None).cast("array<long>")})
 
     def cell(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
@@ -202,6 +213,11 @@ def grid(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
             return pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
         sx, sy = np.array([len(g) for g in gx]), np.array([len(g) for g in gy])
         links = _common(gx, gy) * (1 + similarity) >= similarity * (sx[:, None] + sy) - 1e-9
+        if first["bands"].iloc[0] is not None:
+            band = first["band"].iloc[0]
+            whole = pd.isna(band)
+            seen = lambda part: [np.unique(b if whole else b[b < band]) for b in map(np.asarray, part["bands"])]
+            links &= (_common(seen(first), seen(second)) > 0) == whole
         cx, cy, nx, ny = first["cid"].to_numpy(), second["cid"].to_numpy(), first["n"].to_numpy(), second["n"].to_numpy()
         if x == y:
             np.fill_diagonal(links, False)
@@ -214,35 +230,44 @@ def grid(groups: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
         edges = np.array(_forest(square), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": np.concatenate([ids, ids[edges[:, 0]]]), "b": np.concatenate([ids, ids[edges[:, 1]]]), "links": np.concatenate([counts, np.full(len(edges), -1)]).astype(np.int64)})
 
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = lookup(groups, sizes, ["root"], ["cid"], "inner").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    sizes = written(groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("size")))
+    dealt = lookup(groups, sizes, ["root"], ["cid"], "inner", "size").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cid", "n", "grams")
-    return cells.groupBy("root", "x", "y").applyInPandas(cell, "a long, b long, links long")
+    cells = cells.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cid", "n", "band", "bands", "grams")
+    return cells.groupBy("root", "band", "x", "y").applyInPandas(cell, "a long, b long, links long")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, group: int = GROUP) -> DataFrame:
     """doc_id, class_id, n_copies (documents of the same words), n_links and _cid for documents (doc_id, text)."""
     own = written(signed(docs, bands_for(similarity, recall, rows), rows))
     classes = written(own.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")))
     members = written(shared_bands(classes))
     crowds = components(members.where(F.col("k") > CROWD).select(F.col("cid").alias("a"), F.col("low").alias("b")))
     groups = written(crowds.unionByName(crowds.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "cid"))
-    root = lambda x: groups.select(F.col("cid").alias(x), F.col("root").alias(f"root_{x}"))
-    pairs = few_pairs(members).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    pairs = written(pairs.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b"))
+    sizes = written(groups.groupBy("root").agg(F.count("*").alias("size")))
+    groups = written(lookup(groups, sizes, ["root"], ["cid"], "inner", "size"))
+    # the classes of large components, with their crowded band hashes
+    large = groups.where(F.col("size") > group).select("cid")
+    crowded = members.where(F.col("k") > CROWD).select("cid", "band", "k").join(large, "cid", "left_semi")
+    apart = written(crowded.groupBy("cid").agg(F.sort_array(F.collect_list("band")).alias("bands")))
+    side = lambda x: groups.select(F.col("cid").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}")).join(apart.select(F.col("cid").alias(x), F.col("bands").alias(f"bands_{x}")), x, "left")
+    pairs = few_pairs(members).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    met = F.when(F.col("size_a") > group, F.arrays_overlap("bands_a", "bands_b")).otherwise(F.lit(True))
+    pairs = written(pairs.where(~F.coalesce((F.col("root_a") == F.col("root_b")) & met, F.lit(False))).select("a", "b"))
     met = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(groups.select("cid")).distinct()
     grams = written(class_grams(docs, written(classes.select("cid", "n", "first").join(met, "cid"))))
     similar = written(similar_pairs(pairs, grams, similarity))
-    covered = written(grid(groups.join(grams, "cid"), similarity))
+    of_class = classes.select("cid", "bands").join(groups.where(F.col("size") <= group).select("cid", "root"), "cid").select("root", F.lit(None).cast("long").alias("band"), "cid", "bands")
+    of_band = crowded.join(apart, "cid").select(F.col("band").alias("root"), "band", "cid", "bands")
+    covered = written(grid(of_class.unionByName(of_band).join(grams, "cid"), similarity))
     counts = similar.select(F.col("a").alias("cid"), F.col("n_b").alias("links")).unionByName(similar.select(F.col("b").alias("cid"), F.col("n_a").alias("links")))
     counts = counts.unionByName(covered.where("links >= 0").select(F.col("a").alias("cid"), "links")).groupBy("cid").agg(F.sum("links").alias("links"))
     linked = components(similar.select("a", "b").unionByName(covered.where("links < 0").select("a", "b")))
     table = classes.select("cid", "n", "first").join(counts, "cid", "left").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     table = written(table)
     least = table.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = table.join(least, "root").select("cid", "n", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = lookup(own.select("doc_id", "cid"), named, ["cid"], ["doc_id"])
+    named = lookup(table, least, ["root"], ["cid"], "inner").select("cid", "n", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    out = lookup(own.select("doc_id", "cid"), written(named), ["cid"], ["doc_id"], n="n")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_links"), F.col("cid").alias("_cid"))
 
 

@@ -65,6 +65,27 @@ def test_equals_brute_force(spark, rows):
     assert got == brute(rows)
 
 
+def test_large_components_are_verified_by_band(spark, rows):
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), group=8).collect()}
+    assert got == brute(rows)
+
+
+def test_passages_that_chain_a_component(spark):
+    """Texts of two passages each, in a ring: every passage is a crowd of its own, all are one component."""
+    parts = [prose(600 + k, 60) for k in range(6)]
+    draw, out = random.Random(3), []
+    for k in range(6):
+        for _ in range(6):
+            words = (parts[k] + " " + parts[(k + 1) % 6]).split(" ")
+            words[draw.randrange(len(words))] = f"edit{draw.randrange(10**6)}"
+            out.append(" ".join(words))
+    rows = list(enumerate(out))
+    want = brute(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (4, 4096):
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.near_classes(frame, group=group).collect()} == want
+
+
 def test_grid_of_small_blocks(spark, rows):
     texts = {i: t for i, t in rows[:67]}
     data = [(0, i, 1, near.grams(np.array([hash(w) for w in re.split(r"[\W_]+", t.lower()) if w])).view(np.int64).tolist()) for i, t in texts.items()]
