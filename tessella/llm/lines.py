@@ -40,6 +40,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _part(array: Column, first: Column, last: Column) -> Column:
+    """The elements from first to last. F.slice() copies the whole array each time, which is quadratic when it is done for every line."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(array, i))
+
+
 def _long(line: Column, words: int) -> Column:
     return (F.char_length(line) >= 2 * words - 1) & (F.size(F.filter(F.split(line, " "), lambda w: w != "")) >= words)
 
@@ -56,7 +61,7 @@ def chunk_bounds(text: Column, width: int = WIDTH, every: int = EVERY, words: in
         def chunks(ends: Column) -> Column:
             spans = F.transform(ends, lambda last, k: F.struct(F.coalesce(F.get(ends, k - 1) + 1, F.lit(0)).alias("first"), last.alias("last")))
             wanted = F.filter(spans, lambda c: (c["last"] > c["first"]) | alone(c["first"]))
-            return F.transform(wanted, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(F.transform(F.slice(lines, c["first"] + 1, c["last"] - c["first"] + 1), lambda x: x["h"])).alias("hash")))
+            return F.transform(wanted, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(F.transform(_part(lines, c["first"], c["last"]), lambda x: x["h"])).alias("hash")))
 
         return let(ends, chunks)
 
@@ -73,7 +78,7 @@ def run_bounds(text: Column, words: int = RUN_WORDS) -> Column:
         def within(n: int) -> Column:
             start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"))
             add = lambda a, x: F.when(a["n"] >= words, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), x["at"].alias("at")))
-            return F.aggregate(F.slice(own, k + 1, n), start, add, lambda a: F.when(a["n"] >= words, a["at"]))
+            return F.aggregate(_part(own, k, F.least(k + n, F.size(own)) - 1), start, add, lambda a: F.when(a["n"] >= words, a["at"]))
 
         return F.coalesce(within(min(6, words)), within(words))  # few lines do mostly
 
@@ -99,10 +104,11 @@ def repeated_spans(docs: DataFrame, bounds: Callable[[Column], Column] = chunk_b
     """doc_id, _text, first, last of spans to remove; _text is the hash of the text."""
 
     def compared(lines: Column) -> Column:
-        piece = lambda s: F.array_join(F.slice(lines, s["first"] + 1, s["last"] - s["first"] + 1), "\n")
+        piece = lambda s: F.array_join(_part(lines, s["first"], s["last"]), "\n")
         return F.transform(bounds(F.col("text")), lambda s: let(piece(s), lambda b: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(b).alias("hash"), F.when(b.rlike(r"[\p{L}\p{N}]"), F.unhex(F.sha2(b, 256))).alias("bytes"))))
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.inline(let(_lines(F.col("text")), compared))).where("bytes is not null")
+    named = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")  # a column of its own first: beside inline() it would be computed, and the text carried, for each span
+    found = named.select("doc_id", "_text", F.inline(let(_lines(F.col("text")), compared))).where("bytes is not null")
     places = written(found.distinct())
     equal = places.groupBy("hash", "bytes").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts = 1 and n > 1").select("hash")
     firsts = places.groupBy("hash").agg(F.min(F.struct("doc_id", "_text", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("hash", "kept").join(equal, "hash", "left_semi")
@@ -113,33 +119,28 @@ def repeated_spans(docs: DataFrame, bounds: Callable[[Column], Column] = chunk_b
     return again.select("doc_id", "_text", beyond.alias("first"), "last")
 
 
-def _merged(spans: Column) -> Column:
-    """Disjoint spans in order that cover the same lines."""
-
-    def add(done: Column, s: Column) -> Column:
-        top = F.try_element_at(done, F.lit(-1))
-        wider = F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))
-        touches = (F.size(done) > 0) & (s["first"] <= top["last"] + 1)
-        return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first:int,last:int>>"), add)
+def _kept(lines: Column, drops: Column) -> Column:
+    """The lines beyond all drops, in time linear in both."""
+    left = lambda x, k: F.greatest(x["first"], F.coalesce(F.get(drops, k - 1)["last"] + 1, F.lit(0)))  # noqa: E731  most of what the one before covers is left out
+    covered = F.flatten(F.transform(drops, lambda x, k: F.when(left(x, k) <= x["last"], F.sequence(left(x, k), x["last"])).otherwise(F.array().cast("array<int>"))))
+    return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda i: F.get(lines, i))
 
 
 def remove_repeats(docs: DataFrame, bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
     """docs (doc_id, text, ...) with edited text, lines_removed and chunks_removed (spans, which may overlap)."""
-    drops = repeated_spans(docs, bounds).groupBy("doc_id", "_text").agg(F.collect_list(F.struct("first", "last")).alias("drops"))
-    drops = drops.select(F.col("doc_id").alias("_tessella_doc"), F.col("_text").alias("_tessella_hash"), _merged(F.col("drops")).alias("_tessella_drops"), F.size("drops").alias("_tessella_spans"))
+    drops = repeated_spans(docs, bounds).groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("drops"))
+    drops = drops.select(F.col("doc_id").alias("_tessella_doc"), F.col("_text").alias("_tessella_hash"), F.col("drops").alias("_tessella_drops"))
     own = docs.withColumn("_tessella_text", F.xxhash64("text"))
     joined = own.join(drops, F.col("doc_id").eqNullSafe(F.col("_tessella_doc")) & (F.col("_tessella_text") == F.col("_tessella_hash")), "left").drop("_tessella_doc", "_tessella_hash", "_tessella_text")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists("_tessella_drops", lambda d: i.between(d["first"], d["last"])))
-    count = F.aggregate("_tessella_drops", F.lit(0), lambda a, d: a + d["last"] - d["first"] + 1)
+    edited = let(F.split("text", "\n"), lambda x: let(_kept(x, F.col("_tessella_drops")), lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(x) - F.size(k)).cast("long").alias("n"))))
+    joined = joined.withColumn("_tessella_edit", F.when(F.col("_tessella_drops").isNotNull(), edited))
     return joined.withColumns(
         {
-            "text": F.when(F.col("_tessella_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-            "lines_removed": F.coalesce(count, F.lit(0)).cast("long"),
-            "chunks_removed": F.coalesce(F.col("_tessella_spans"), F.lit(0)).cast("long"),
+            "text": F.when(F.col("_tessella_drops").isNull(), F.col("text")).otherwise(F.col("_tessella_edit.text")),
+            "lines_removed": F.coalesce("_tessella_edit.n", F.lit(0).cast("long")),
+            "chunks_removed": F.when(F.col("_tessella_drops").isNull(), 0).otherwise(F.size("_tessella_drops")).cast("long"),
         }
-    ).drop("_tessella_drops", "_tessella_spans")
+    ).drop("_tessella_drops", "_tessella_edit")
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
