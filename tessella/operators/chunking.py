@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,6 @@ def window_chunks(units: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
 
 
 _SENTENCE = re.compile(r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]")
-_SENTENCE_END = re.compile(r"(?<=[.!?。？！])\s+")
 
 
 def count_words(text: str) -> int:
@@ -46,10 +48,10 @@ def split_text(text: str, size: int, count: Callable[[str], int]) -> list[str]:
     if count(text) <= size:
         return [text]
     for cut in (
-        lambda t: [x for x in re.split(r"(?<=\n\n\n)", t) if x],
-        lambda t: [x for x in re.split(r"(?<=[.!?。？！])(?=\s)", t) if x],
+        lambda t: [x for x in _PARAGRAPH.split(t) if x],
+        lambda t: [x for x in _STOP.split(t) if x],
         _SENTENCE.findall,
-        lambda t: re.findall(r"\S+\s*|\s+", t),
+        _SPACED.findall,
         list,
     ):
         parts = cut(text)
@@ -58,20 +60,87 @@ def split_text(text: str, size: int, count: Callable[[str], int]) -> list[str]:
     return [text]
 
 
+_PARAGRAPH = re.compile(r"(?<=\n\n\n)")
+_STOP = re.compile(r"(?<=[.!?。？！])(?=\s)")
+_SPACED = re.compile(r"\S+\s*|\s+")
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """0 for white space, 1 for a mark, 2 for a letter or digit, as count_words has them, by code point."""
+    out = np.ones(sys.maxunicode + 1, dtype=np.uint8)
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        if c.isalnum() or c == "_":
+            out[i] = 2
+        elif c.isspace():
+            out[i] = 0
+    return out
+
+
+class _Counted:
+    """count_words of any part of a text in constant time, after one pass over it."""
+
+    def __init__(self, text: str):
+        kind = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        self.inside = kind == 2
+        opens = self.inside.copy()
+        opens[1:] &= ~self.inside[:-1]
+        self.counted = opens | (kind == 1)
+        self.total = int(np.count_nonzero(self.counted))
+
+    @cached_property
+    def before(self) -> list[int]:
+        return np.concatenate([[0], np.cumsum(self.counted)]).tolist()
+
+    def __call__(self, a: int, b: int) -> int:
+        """Tokens of text[a:b]; a word that is cut at a counts here too."""
+        return self.before[b] - self.before[a] + (1 if 0 < a < b and self.inside[a] and self.inside[a - 1] else 0)
+
+
+def _cuts(text: str, a: int, b: int, level: int) -> list[int]:
+    """Where split_text() cuts text[a:b] at a level, a and b included."""
+    if level < 2:
+        part = text[a:b]  # a part of its own, as the patterns look around
+        return [a, *(a + m.start() for m in (_PARAGRAPH, _STOP)[level].finditer(part) if 0 < m.start() < b - a), b]
+    if level < 4:
+        return [a, *(m.end() for m in (_SENTENCE, _SPACED)[level - 2].finditer(text, a, b))]
+    return list(range(a, b + 1))
+
+
+def _counted_parts(text: str, size: int) -> Iterator[tuple[str, int]]:
+    """The parts of split_text() with their counts, for count_words."""
+    count = _Counted(text)
+    if count.total <= size:
+        yield text, count.total
+        return
+
+    def parts(a: int, b: int) -> Iterator[tuple[str, int]]:
+        if (n := count(a, b)) > size:
+            for level in range(5):
+                if len(at := _cuts(text, a, b, level)) > 2:
+                    for x, y in zip(at, at[1:], strict=False):
+                        yield from parts(x, y)
+                    return
+        yield text[a:b], n
+
+    yield from parts(0, len(text))
+
+
 def sentence_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, count: Callable[[str], int] = count_words) -> list[str]:
     """Parts merged greedily up to size; each chunk begins with the last parts of the one before, up to overlap tokens."""
     chunks, held, total, fresh = [], [], 0, False
-    for part in split_text(text, size, count):
-        n = count(part)
+    counted = _counted_parts(text, size) if count is count_words and text else ((p, count(p)) for p in split_text(text, size, count))
+    for part, n in counted:
         if held and total + n > size and fresh:
             chunks.append("".join(p for p, _ in held).strip())
             tail, kept = [], 0
             for p, k in reversed(held):
                 if kept + k > overlap or kept + k + n > size:
                     break
-                tail.insert(0, (p, k))
+                tail.append((p, k))
                 kept += k
-            held, total, fresh = tail, kept, False
+            held, total, fresh = tail[::-1], kept, False
         held.append((part, n))
         total += n
         fresh = True
@@ -89,5 +158,6 @@ def sentence_chunk_rows(units: DataFrame, size: int = CHUNK_SIZE, overlap: int =
             yield batch.map(lambda t: sentence_chunks(t or "", size, overlap, count))
 
     chunks: Column = cut(F.col(text))
-    rows = units.withColumn("_chunks", chunks).select("*", F.posexplode("_chunks").alias("chunk_idx", "_chunk"), F.size("_chunks").alias("n_chunks"))
-    return rows.withColumn(text, F.col("_chunk")).drop("_chunk", "_chunks")
+    whole = units.withColumn("_chunks", chunks).withColumn("n_chunks", F.size("_chunks"))
+    own = [c for c in units.columns if c not in (text, "chunk_idx", "n_chunks")]  # neither the text nor the array goes along with each chunk
+    return whole.select(*own, F.posexplode("_chunks").alias("chunk_idx", text), "n_chunks")

@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
 
 
+#: Lines between tables: one blank line or more.
+_GAP = r"(?U)\n(?:[\s&&[^\n]]*+\n)++"
+
+
+def tables_of(text: Column) -> Column:
+    """array<array<string>>: the lines of each run of lines that aren't blank."""
+    filled = lambda table: F.filter(F.split(table, "\n"), lambda x: ~is_blank(x))  # noqa: E731  a blank line is left only before the first and after the last
+    return F.transform(F.filter(F.split(text, _GAP), lambda t: ~is_blank(t)), filled)
+
+
 def islands(files: DataFrame, id: str = "path", text: str = "text") -> DataFrame:
     """(id, table_no, row_no, line): runs of lines that aren't blank, each a table from 0; row 0 is the header.
 
-    A file's lines are numbered inside its row; the window runs within a file, so no file's
-    rows meet another's.
+    A file's lines lie in one row, so its tables are found there and nothing is shuffled.
     """
-    rows = files.select(id, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("blank", is_blank(F.col("line")).cast("int"))
-    upto = Window.partitionBy(id).orderBy("pos")
-    marked = rows.withColumn("gap", F.sum("blank").over(upto)).where("blank = 0")
-    table = F.dense_rank().over(Window.partitionBy(id).orderBy("gap")) - 1
-    return marked.withColumn("table_no", table).select(id, "table_no", (F.row_number().over(Window.partitionBy(id, "gap").orderBy("pos")) - 1).alias("row_no"), "line")
+    found = files.select(id, F.posexplode(tables_of(F.col(text))).alias("table_no", "_lines"))
+    return found.select(id, "table_no", F.posexplode("_lines").alias("row_no", "line"))
 
 
 def cells(rows: DataFrame, delimiter: str = ",") -> DataFrame:
@@ -28,6 +34,16 @@ def cells(rows: DataFrame, delimiter: str = ",") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "line"], F.posexplode(F.split("line", delimiter)).alias("col_no", "value")).withColumn("value", F.nullif(F.col("value"), F.lit("")))
 
 
+def filled_cells(files: DataFrame, id: str = "path", text: str = "text", delimiter: str = ",") -> DataFrame:
+    """(id, table_no, row_no, col_no, value) of the columns that have a value somewhere in their table; no shuffle."""
+    split = F.transform("_lines", lambda x: F.split(x, delimiter))
+    width = F.array_max(F.transform("_rows", lambda r: F.size(r)))
+    keep = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists("_rows", lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+    found = files.select(id, F.posexplode(tables_of(F.col(text))).alias("table_no", "_lines")).select(id, "table_no", split.alias("_rows")).withColumn("_keep", keep)
+    rows = found.select(id, "table_no", "_keep", F.posexplode("_rows").alias("row_no", "_row"))
+    return rows.select(id, "table_no", "row_no", "_row", F.explode("_keep").alias("col_no")).where(F.col("col_no") < F.size("_row")).select(id, "table_no", "row_no", "col_no", F.nullif(F.get("_row", "col_no"), F.lit("")).alias("value"))
+
+
 def drop_empty_columns(long: DataFrame, table: list[str]) -> DataFrame:
     """Cells of the columns that have a value somewhere in their table."""
     full = long.groupBy(*table, "col_no").agg(F.count("value").alias("n")).where("n > 0").drop("n")

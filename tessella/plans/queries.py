@@ -214,8 +214,8 @@ def csv_islands(spark, sf):
     select n.* from n join f using (doc_id, table_no, col_no)"""
 )
 def drop_null_cols(spark, sf):
-    long = tables.drop_empty_columns(tables.cells(_islands(spark, sf)), ["doc_id", "table_no"])
-    return long.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("table_no", "row_no", "col_no")], "value")
+    d = _t(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), "source", F.lit(","), "lang").alias("text"))
+    return tables.filled_cells(d, "doc_id").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("table_no", "row_no", "col_no")], "value")
 
 
 @query(r"""select doc_id, source || ',' || case when regexp_matches(text, '[",\r\n]') then '"' || replace(text, '"', '""') || '"' else text end || ',' || coalesce(lang, '') as line from documents""")
@@ -389,7 +389,15 @@ def sentence_chunks(spark, sf):
     return sentence_chunk_rows(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_idx", "n_chunks", "text")
 
 
-@query()
+@query(
+    r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as word from documents where regexp_matches(text, '\S')),
+    h as (select doc_id, ('0x' || left(md5(word), 8))::ubigint % 768 as place, case when ('0x' || substr(md5(word), 9, 1))::ubigint >= 8 then 1 else -1 end as sign from w),
+    v as (select doc_id, place, sum(sign) as n from h group by all having sum(sign) <> 0)
+    select d.doc_id, coalesce(list(cast(case when v.n > 0 then v.place + 1 else -v.place::integer - 1 end as integer) order by v.place) filter (v.place is not null), []) as signed_places,
+      case when count(v.place) > 0 then 1.0::double else 0.0::double end as length
+    from documents d left join v on d.doc_id = v.doc_id where regexp_matches(d.text, '\S') group by d.doc_id"""
+)
 def embed_hashed(spark, sf):
-    """Hashed vectors of all documents and their nearest word: the vector's length is 1."""
-    return embed(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding", F.round(search.norm(F.col("embedding")), 4).alias("length"))
+    """Hashed vectors of all documents: places from 1 that aren't 0, negative ones with their sign, and the length."""
+    signed = F.array_compact(F.transform("embedding", lambda v, i: F.when(v > 0, i + 1).when(v < 0, -1 - i)))
+    return embed(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", signed.alias("signed_places"), F.round(search.norm(F.col("embedding")), 4).alias("length"))

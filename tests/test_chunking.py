@@ -45,3 +45,10 @@ def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, "one two. three four."), (2, None), (3, "")], "id int, text string")
     got = sentence_chunk_rows(df, 3, 0).orderBy("id", "chunk_idx").collect()
     assert [(r["id"], r["text"]) for r in got] == [(1, c) for c in sentence_chunks("one two. three four.", 3, 0)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Ünï", "x1_y", "日本語", "a.b", "—", "。", "!?", "\n", "\n\n\n", " ", ", ", ". ", "…", "𝒳𝒴", "́", "-"]), max_size=60), st.integers(1, 14), st.integers(0, 13))
+def test_counted_parts_equal_the_general_way(parts, size, overlap):
+    text = "".join(parts)
+    assert sentence_chunks(text, size, min(overlap, size - 1)) == sentence_chunks(text, size, min(overlap, size - 1), lambda t: count_words(t))
