@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATE = "file_path string, etag string"
+META = "object_key string, bucket string, filename string, file_type string, size long, etag string, last_modified timestamp, uri string, ingested_at timestamp"
 
 
 def changed(listing: DataFrame, state: DataFrame) -> DataFrame:
@@ -25,9 +26,14 @@ def gone(listing: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def upsert_metadata(known: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per (object_key, etag), the one ingested last: a history of versions."""
-    newest = Window.partitionBy("object_key", "etag").orderBy(F.desc("ingested_at"))
-    return known.unionByName(new).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    """One row per (object_key, etag), the one ingested last: a history of versions. Of equal times new rows win, then the greatest row.
+
+    The aggregation combines before the shuffle.
+    """
+    fields = [c for c in known.columns if c not in ("object_key", "etag")]
+    both = known.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)))
+    best = both.groupBy("object_key", "etag").agg(F.max(F.struct("ingested_at", "_gen", *[c for c in fields if c != "ingested_at"])).alias("r"))
+    return best.select(*[F.col(c) if c in ("object_key", "etag") else F.col(f"r.{c}").alias(c) for c in known.columns])
 
 
 def upload_plan(files: DataFrame, bucket: str, allowed) -> DataFrame:

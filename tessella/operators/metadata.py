@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, object_key, row_range
+from ..functions.text import extension, object_key
 
 
 def with_metadata(chunks: DataFrame, unit: list[str]) -> DataFrame:
@@ -28,10 +28,6 @@ def file_format(source: Column) -> Column:
     return F.when(own.isin("doc", "docx"), "docx").when(own.isin("pdf", "ppt", "pptx"), "pdf").otherwise(own)
 
 
-def with_row_range(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("row_range", row_range(F.col("text")))
-
-
 def optional(value: Column) -> Column:
     """Null for the empty string, as metadata leaves out what is empty."""
     return F.nullif(value, F.lit(""))

@@ -44,7 +44,7 @@ def topk(points: DataFrame, query: list[float], k: int = TOP_K, names: list[str]
     """
     scored = from_sources(points, names).withColumn("score", cosine(F.col("embedding"), query)).where(F.col("score").isNotNull())
     if unique:
-        scored = scored.groupBy("text", "source").agg(F.max_by(F.struct(*scored.columns), F.struct("score", (-F.xxhash64(id)).alias("tie"))).alias("r")).select("r.*")
+        scored = scored.groupBy("text", "source").agg(F.min_by(F.struct(*scored.columns), F.struct((-F.col("score")).alias("far"), F.col(id).alias("tie"))).alias("r")).select("r.*")
     best = scored.orderBy(F.desc("score"), F.col(id)).limit(k)
     # a window without partitions over k rows
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.col(id))))

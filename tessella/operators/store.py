@@ -1,8 +1,10 @@
 """A vector table on Parquet, for stores without MERGE.
 
 Rows are only appended, each with its batch_id; a delete appends (object_key, batch_id) to
-the tombstones. A point lives if no tombstone of its key has a greater batch_id, so a
-replacement, which writes tombstone and points under one batch_id, keeps what it wrote.
+the log. A point lives if its batch is in the log and no row of its key there has a greater
+batch_id, so a replacement, which writes points and then its log rows under one batch_id, keeps
+what it wrote, and one that dies in between changes nothing. A batch's own row has a null key.
+Batch ids are times, but always above those of the log, whatever a driver's clock says.
 Compaction writes the living rows to a new snapshot and then names it in a pointer; no path
 is overwritten while it is read.
 """
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 POINTS = (
     "point_id string, object_key string, source string, unit_kind string, unit_idx int, chunk_idx int, text string, "
     "embedding array<float>, key string, len int, file_format string, page_num int, sheet_name string, content_type string, "
-    "table_id string, headers array<string>, row_range string, extra map<string,string>, batch_id long"
+    "table_id string, figure_id string, headers array<string>, row_range string, extra map<string,string>, batch_id long"
 )
-TOMBSTONES = "object_key string, batch_id long"
+LOG = "object_key string, batch_id long"
 
 
 class VectorTable:
@@ -69,14 +71,26 @@ class VectorTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _log(self) -> DataFrame:
+        return self._read(f"{self.path}/log", LOG)
+
+    def _commit(self, keys: DataFrame | None, batch: int) -> None:
+        """The log rows of a batch, in one write: its own comes with the files of the others."""
+        own = self.spark.createDataFrame([(None, batch)], LOG)
+        if keys is not None:
+            own = keys.select("object_key", F.lit(batch).alias("batch_id")).where("object_key is not null").distinct().unionByName(own)
+        own.write.mode("append").parquet(f"{self.path}/log")
+
     def next_batch(self) -> int:
-        return time.time_ns()
+        return max(time.time_ns(), (self._log().agg(F.max("batch_id")).first()[0] or 0) + 1)
 
     def live(self) -> DataFrame:
         self._need()
-        dead = self._read(f"{self.path}/tombstones", TOMBSTONES).groupBy("object_key").agg(F.max("batch_id").alias("dead"))
-        points = self._read(self._points(), POINTS)
-        return points.join(dead, "object_key", "left").where(F.col("dead").isNull() | (F.col("batch_id") >= F.col("dead"))).drop("dead").select(points.columns)
+        log = self._log()
+        dead = log.where("object_key is not null").groupBy("object_key").agg(F.max("batch_id").alias("dead"))
+        points = self._read(self._points(), POINTS).join(log.where("object_key is null").select("batch_id").distinct(), "batch_id", "left_semi")
+        fields = [x.split(" ")[0] for x in POINTS.split(", ")]
+        return points.join(dead, "object_key", "left").where(F.col("dead").isNull() | (F.col("batch_id") >= F.col("dead"))).select(fields)
 
     def upsert(self, points: DataFrame, replace: bool = True, keys: DataFrame | None = None) -> int:
         """Append points (columns of POINTS but for point_id and batch_id; those that lack are null).
@@ -96,10 +110,9 @@ class VectorTable:
                 own = own.withColumn(c, F.lit(None).cast(kinds[c]))
         own = own.withColumns({"point_id": unique, "batch_id": F.lit(batch)}).select(*[F.col(c).cast(kinds[c]).alias(c) for c in fields])
         own.write.mode("append").parquet(self._points())
-        if replace:
-            if keys is None:
-                keys = self.spark.read.schema(POINTS).parquet(self._points()).where(F.col("batch_id") == batch)
-            keys.select("object_key", F.lit(batch).alias("batch_id")).distinct().write.mode("append").parquet(f"{self.path}/tombstones")
+        if replace and keys is None:
+            keys = self.spark.read.schema(POINTS).parquet(self._points()).where(F.col("batch_id") == batch)
+        self._commit(keys if replace else None, batch)
         return batch
 
     def delete(self, names: list[str]) -> dict:
@@ -113,8 +126,7 @@ class VectorTable:
         keys = self.live().select("object_key", "source").distinct()
         whole = keys.join(table, F.col("object_key") == F.col("name"), "left_semi")
         by_base = keys.join(table.where(~F.col("name").contains("/")), F.col("source") == F.col("name"), "left_semi")
-        dead = whole.unionAll(by_base).select("object_key").distinct().withColumn("batch_id", F.lit(self.next_batch()))
-        dead.write.mode("append").parquet(f"{self.path}/tombstones")
+        self._commit(whole.unionAll(by_base).select("object_key"), self.next_batch())
         return {"deleted": list(names), "errors": [], "message": f"Deleted {len(names)} file(s)."}
 
     def scroll(self, where: str | None = None, limit: int | None = None, payload: bool = False) -> DataFrame:
@@ -138,6 +150,9 @@ class VectorTable:
             if name.startswith("points-") and name != keep:
                 self._fs.delete(status.getPath(), True)
 
+    def remove(self, path: str) -> None:
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
     def drop(self) -> None:
         self._fs.delete(self._at(""), True)
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EXTRACTORS, extractor
+from ..functions.text import extractor
 from ..operators.tables import row_json
 
 UNITS = (
@@ -65,7 +65,10 @@ def read_text(name: str, content: bytes) -> Iterator[dict]:
         yield {"unit_kind": "text", "unit_idx": 0, "page_num": 1, "text": decoded(content)}
 
 
-_NULLS = frozenset(("", "NA", "N/A", "null", "NULL", "NaN", "nan", "None", "n/a", "#N/A", "<NA>", "-nan", "-NaN", "#NA"))
+#: Cells that count as null.
+_NULLS = frozenset(
+    ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+)
 
 
 def csv_tables(text: str) -> list[list[list[str | None]]]:
@@ -104,7 +107,31 @@ def read_csv(name: str, content: bytes) -> Iterator[dict]:
             yield {"unit_kind": "csv_table", "unit_idx": i, "table_id": f"table_{i}", "headers": [c or "" for c in table[0]], "text": text}
 
 
-def _cell(c: ElementTree.Element, shared: list[str]):
+#: The built-in number formats that show dates or times.
+_DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+_FORMAT_NOISE = re.compile(r'"[^"]*"|\\.|_.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', re.I)
+_EPOCH_DAY = 25_569  # 1970-01-01 as a serial number; workbooks that count from 1904 are 1,462 less
+
+
+def _dates(z: zipfile.ZipFile, names: set[str]) -> list[bool]:
+    """Per cell style, whether it shows dates or times."""
+    if "xl/styles.xml" not in names:
+        return []
+    styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in styles.iter(f"{_MAIN}numFmt")}
+    shown = lambda i: re.search("[dmyhs]", _FORMAT_NOISE.sub("", own[i]), re.I) is not None if i in own else i in _DATE_FORMATS
+    return [shown(int(x.get("numFmtId") or 0)) for x in styles.findall(f"{_MAIN}cellXfs/{_MAIN}xf")]
+
+
+def _moment(serial: float, first: int) -> int | str:
+    """A date as milliseconds since 1970, a time of day as text."""
+    if 0 <= serial < 1:
+        seconds = round(serial * 86_400)
+        return f"{seconds // 3600 % 24:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+    return round((serial - first) * 86_400_000)
+
+
+def _cell(c: ElementTree.Element, shared: list[str], dates: list[bool], first: int):
     kind, value = c.get("t"), c.find(f"{_MAIN}v")
     if kind == "inlineStr":
         return "".join(x.text or "" for x in c.iter(f"{_MAIN}t"))
@@ -116,7 +143,9 @@ def _cell(c: ElementTree.Element, shared: list[str]):
         return value.text
     if kind == "b":
         return value.text == "1"
-    number = float(value.text)
+    number, style = float(value.text), int(c.get("s") or 0)
+    if style < len(dates) and dates[style]:
+        return _moment(number, first)
     return int(number) if number.is_integer() and "." not in value.text and "e" not in value.text.lower() else number
 
 
@@ -133,8 +162,11 @@ def workbook(content: bytes) -> Iterator[tuple[str, list[list]]]:
         names, shared = set(z.namelist()), []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+        dates, book = _dates(z, names), ElementTree.fromstring(z.read("xl/workbook.xml"))
+        old = any((x.get("date1904") or "") in ("1", "true") for x in book.iter(f"{_MAIN}workbookPr"))
+        first = _EPOCH_DAY - 1462 * old
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+        for sheet in book.iter(f"{_MAIN}sheet"):
             target = links[sheet.get(_LINK)]
             part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             try:
@@ -142,7 +174,7 @@ def workbook(content: bytes) -> Iterator[tuple[str, list[list]]]:
                 for row in ElementTree.fromstring(z.read(part)).iter(f"{_MAIN}row"):
                     cells = {}
                     for i, c in enumerate(row.iter(f"{_MAIN}c")):
-                        cells[_column(c.get("r")) if c.get("r") else i] = _cell(c, shared)
+                        cells[_column(c.get("r")) if c.get("r") else i] = _cell(c, shared, dates, first)
                     rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
             except (KeyError, ValueError, IndexError, ElementTree.ParseError):
                 continue
@@ -220,12 +252,15 @@ READERS = {"TXT": read_text, "CSV": read_csv, "XLSX": read_xlsx, "DOCX": read_do
 EMPTY_OK = frozenset(("TXT", "CSV", "XLSX", "PDF"))
 
 
-def extract(objects: DataFrame) -> DataFrame:
+def extract(objects: DataFrame, mark: bool = False) -> DataFrame:
     """Units of objects (path, length, content). Files without an extractor become error rows.
 
     Empty files are filtered before Python sees them, as Spark can't push filters through it.
+    mark: a row of unit_kind `file` for each file too, so one pass tells which were there; then empty files go through Python.
     """
-    routed = objects.withColumn("extractor", extractor(F.col("path"))).where((F.col("length") > 0) | ~F.coalesce(F.col("extractor").isin(*EMPTY_OK), F.lit(False)))
+    empty = (F.col("length") == 0) & F.coalesce(F.col("extractor").isin(*EMPTY_OK), F.lit(False))
+    routed = objects.withColumn("extractor", extractor(F.col("path")))
+    routed = routed.withColumn("extractor", F.when(empty, "none").otherwise(F.col("extractor"))) if mark else routed.where(~empty)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0] for x in UNITS.split(", ")]
@@ -233,18 +268,20 @@ def extract(objects: DataFrame) -> DataFrame:
             for path, kind, content in zip(batch["path"], batch["extractor"], batch["content"], strict=True):
                 source, rows = path.rsplit("/", 1)[-1], []
                 try:
-                    if kind not in READERS:
+                    if kind == "none":
+                        pass
+                    elif kind not in READERS:
                         raise ValueError(f"no extractor for {source}")
-                    if content is None:
+                    elif content is None:
                         raise ValueError("the file is too long to read")
-                    rows = list(READERS[kind](source, bytes(content)))
+                    else:
+                        rows = list(READERS[kind](source, bytes(content)))
                 except Exception as e:  # a dead letter
                     rows = [{"unit_kind": "error", "unit_idx": 0, "text": f"{type(e).__name__}: {e}"}]
+                if mark:
+                    rows.append({"unit_kind": "file", "unit_idx": 0})
                 out = pd.DataFrame([{"object_key": path, "source": source, **r} for r in rows], columns=names).astype(object)
                 yield out.where(out.notna(), None)
 
     return routed.select("path", "extractor", "content").mapInPandas(run, UNITS)
 
-
-def supported(path: str) -> bool:
-    return os.path.splitext(path)[1].lstrip(".").lower() in EXTRACTORS

@@ -6,9 +6,10 @@ import os
 import shutil
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.text import ALLOWED_EXTENSIONS
+from ..functions.text import ALLOWED_EXTENSIONS, basename, extension
 
 
 def upload_files(paths: str | Iterable[str], root: str, bucket: str = "documents") -> list[dict]:
@@ -45,3 +46,23 @@ def copy_changed(spark: SparkSession, changed: DataFrame, target: str) -> None:
             os.replace(part, path)
 
     changed.select("key", "content").foreachPartition(put)
+
+
+def put_objects(spark: SparkSession, files: dict[str, bytes], root: str) -> list[str]:
+    """Write named bytes below root, any path that Spark's file systems reach; what is there is replaced. Returns the paths."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, []
+    for name, content in files.items():
+        path = hadoop.Path(f"{root.rstrip('/')}/{name}")
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            stream.write(bytearray(content))
+        finally:
+            stream.close()
+        out.append(f"{root.rstrip('/')}/{name}")
+    return out
+
+
+def keys_of(path: Column, bucket: str, base: str = "/documents") -> dict[str, Column]:
+    """The names of an object: key (`extension/name`), uri (`s3://bucket/key`) and where a copy lies (`base/minio/key`)."""
+    key = F.concat_ws("/", extension(path), basename(path))
+    return {"key": key, "uri": F.concat(F.lit(f"s3://{bucket}/"), key), "copy": F.concat_ws("/", F.lit(base), F.lit("minio"), key)}

@@ -1,13 +1,15 @@
 """All files under a folder as rows, empty and hidden ones included.
 
 Spark's binaryFile leaves out empty files and names that begin with a dot or underscore. This
-source has its columns and reads every file; where only Spark's readers reach the files, use
-`binary_objects`.
+source has its columns and reads every file of a local or mounted folder. Other paths are
+listed through Hadoop's file systems, whose settings (endpoints, credentials, fallbacks) are those
+of the session, and read by Spark.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -25,7 +27,7 @@ class _Files(InputPartition):
 
 class ObjectReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = options["path"].removeprefix("file://")
+        self.root = re.sub("^file:(//)?", "", options["path"])
         self.deep = str(options.get("recursive", "true")).lower() == "true"
         self.content = str(options.get("content", "true")).lower() == "true"
         self.bytes = int(options.get("partitionBytes", 64 << 20))
@@ -73,11 +75,48 @@ class ObjectSource(DataSource):
         return ObjectReader(self.options)
 
 
+def _is_local(path: str) -> bool:
+    return "://" not in path or path.startswith("file:")
+
+
 def read_objects(spark: SparkSession, path: str, **options) -> DataFrame:
+    """All files under path. Options as in ObjectSource; other than local paths take recursive and content."""
+    if not _is_local(path):
+        return store_objects(spark, path, **options)
     spark.dataSource.register(ObjectSource)
     return spark.read.format("objects").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
+def list_store(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(path, modificationTime, length) of all files, hidden and empty ones too, of any path that Spark reaches."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, recursive), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), datetime.fromtimestamp(f.getModificationTime() / 1000, timezone.utc), f.getLen()))
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
+
+
+def store_objects(spark: SparkSession, path: str, recursive: bool = True, content: bool = True) -> DataFrame:
+    """Files of a store. Spark reads the content of ordinary ones; empty ones have empty content, and other hidden ones null."""
+    listed = list_store(spark, path, recursive)
+    if not content:
+        return listed.withColumn("content", F.lit(None).cast("binary"))
+    name = F.substring_index("path", "/", -1)
+    left = listed.where((F.col("length") == 0) | name.rlike("^[._]"))
+    left = left.withColumn("content", F.when(F.col("length") == 0, F.lit(b"")))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).where("length > 0")
+    return read.select("path", "modificationTime", "length", "content").where(~name.rlike("^[._]")).unionByName(left)
+
+
+def folder_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, path, size) of what lies right under path: `file` or `directory`."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    rows = [("directory" if f.isDirectory() else "file", f.getPath().toString(), f.getLen()) for f in found]
+    return spark.createDataFrame(rows, "kind string, path string, size long")
+
+
 def binary_objects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
