@@ -9,10 +9,15 @@ verified, as all lie on the same overlap.
 
 The test side is a stated query set. It is cut into segments of bounded length and dealt into
 blocks of bounded size; each block is broadcast, and more blocks mean more passes over the
-documents, which are never shuffled. What is shuffled are verified hits.
+documents, which are never shuffled. What is shuffled are verified hits. Beyond MOST_BLOCKS, one
+pass gives the documents' seeds, which are shuffled to those of all items; only then are the texts
+that were hit fetched, once for all their copies.
+
+Items of fewer than SPAN words, down to SHORT, count where all their words stand in a row.
 
 Words are runs of letters and digits in lower case. Cases: null texts and items of fewer
-than SPAN words have no hits; equal rows of documents give one row a pair; several
+than SHORT words have no hits, as such few words say nothing; equal rows of documents give one row
+a pair, and so do different texts under equal keys; several
 overlaps of a pair give the one with most words, then the first; an empty side gives no rows;
 other columns pass as `keys` name them.
 """
@@ -24,16 +29,20 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read, without, written
+from .common import SMALL_ROWS, let, read, without, written
 
 #: Fixed masks: 1 takes the word, 0 ignores it. Of SPAN words, any SUBSTITUTIONS leave one of them whole at some place.
 MASKS = ("1101111", "111100011", "1100011011")
 SPAN = 11
 WINDOW = 13
 SUBSTITUTIONS = 2
+#: Least words of an item.
+SHORT = 5
 #: Bounds: words of a segment of an item, and segments of a block (their seeds fit in some 100 MB).
 SEGMENT = 128
 BLOCK_SEGMENTS = 8192
+#: Passes over the documents before their seeds are shuffled instead.
+MOST_BLOCKS = 8
 
 _LEAST = min(map(len, MASKS))
 _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
@@ -80,24 +89,70 @@ def _close(agree: Column) -> Column:
     return whole(agree)
 
 
+def _verified(laid: DataFrame, keys: list[str]) -> DataFrame:
+    """The overlaps among laid (keys, h, item_hashes, item_id, item_words, at, item_at, first)."""
+    found = laid.withColumn("diagonal", F.col("at") - F.col("item_at"))
+    found = found.withColumn("matched", let(_agreement(F.col("h"), F.col("item_hashes"), F.col("diagonal")), lambda m: F.when(_close(m), F.aggregate(m, F.lit(0), lambda a, x: a + x))))
+    return found.where(F.col("matched").isNotNull()).select(*keys, "item_id", "item_words", "matched", (F.col("diagonal") - F.col("first")).alias("start"))
+
+
+def _seeds_of(parts: DataFrame) -> DataFrame:
+    placed = parts.select("segment", "item_hashes", F.explode(F.sequence(F.lit(0), F.size("item_hashes") - _LEAST)).alias("item_at"))
+    seeds = placed.select("segment", "item_hashes", "item_at", F.inline(_seeds(F.col("item_hashes"), F.col("item_at"))))
+    return seeds.select("segment", "item_at", "mask", "seed", _before(F.col("item_hashes"), F.col("item_at")).alias("item_before")).where("seed is not null")
+
+
+def _in_blocks(own: DataFrame, parts: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    out = None
+    for block in range(blocks):
+        part = parts if blocks == 1 else parts.where(F.pmod("segment", F.lit(blocks)) == block)
+        hits = own.join(F.broadcast(_seeds_of(part)), ["mask", "seed"])
+        first = hits.where(F.col("item_before").isNull() | ~F.col("item_before").eqNullSafe(_before(F.col("h"), F.col("at"))))
+        found = _verified(first.join(F.broadcast(part), "segment"), keys)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _shuffled(own: DataFrame, hashed: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    text = F.xxhash64("h").alias("text_hash")
+    seeds = own.select(text, "at", "mask", "seed", _before(F.col("h"), F.col("at")).alias("before")).distinct()
+    hits = seeds.join(_seeds_of(parts), ["mask", "seed"])
+    hits = written(hits.where(F.col("item_before").isNull() | ~F.col("item_before").eqNullSafe(F.col("before"))).select("text_hash", "segment", "at", "item_at").distinct())
+    named = hashed.select(*keys, "h", text)
+    texts = named.join(hits.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.any_value("h").alias("h"))
+    found = written(_verified(hits.join(texts, "text_hash").join(parts, "segment"), ["text_hash"]))
+    return named.drop("h").join(found, "text_hash").drop("text_hash")
+
+
+def _short(hashed: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The rows of items of fewer than SPAN words; null if there are none."""
+    named = items.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h").between(SHORT, SPAN - 1)).distinct()
+    named = named.select("item_id", F.size("h").alias("item_words"), F.xxhash64("h").alias("seed"))
+    lengths = [r[0] for r in named.select("item_words").distinct().collect()]  # SPAN - SHORT at most
+    if not lengths:
+        return None
+    windows = lambda n: F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(F.lit(n).alias("item_words"), F.xxhash64(F.transform(F.sequence(i, i + n - 1), lambda k: F.get("h", k))).alias("seed"), i.alias("start")))
+    none = F.expr("cast(array() as array<struct<item_words:int,seed:bigint,start:int>>)")
+    at = hashed.select(*keys, F.inline(F.concat(*[F.when(F.size("h") >= n, windows(n)).otherwise(none) for n in lengths])))
+    few = named.count() <= SMALL_ROWS
+    found = at.join(F.broadcast(named) if few else named, ["item_words", "seed"])
+    return found.select(*keys, "item_id", "item_words", F.col("item_words").alias("matched"), "start")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """keys, item_id, item_words, matched, start: verified overlaps of documents (keys, text) with items (item_id, text)."""
     parts = segments(items)
     blocks = max(1, math.ceil(parts.count() / BLOCK_SEGMENTS))
-    hashed = docs.select(*keys, word_hashes(F.col("text")).alias("h")).where(F.size("h") >= _LEAST)
+    whole = docs.select(*keys, word_hashes(F.col("text")).alias("h"))
+    hashed = whole.where(F.size("h") >= _LEAST)
     at = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - _LEAST)).alias("at"))
     own = at.select("*", F.inline(_seeds(F.col("h"), F.col("at")))).where("seed is not null")
-    out = None
-    for block in range(blocks):
-        part = parts if blocks == 1 else parts.where(F.pmod("segment", F.lit(blocks)) == block)
-        placed = part.select("segment", "item_hashes", F.explode(F.sequence(F.lit(0), F.size("item_hashes") - _LEAST)).alias("item_at"))
-        seeds = placed.select("segment", "item_hashes", "item_at", F.inline(_seeds(F.col("item_hashes"), F.col("item_at")))).select("segment", "item_at", "mask", "seed", _before(F.col("item_hashes"), F.col("item_at")).alias("item_before")).where("seed is not null")
-        hits = own.join(F.broadcast(seeds), ["mask", "seed"])
-        first = hits.where(F.col("item_before").isNull() | ~F.col("item_before").eqNullSafe(_before(F.col("h"), F.col("at"))))
-        laid = first.join(F.broadcast(part), "segment").withColumn("diagonal", F.col("at") - F.col("item_at"))
-        found = laid.withColumn("matched", let(_agreement(F.col("h"), F.col("item_hashes"), F.col("diagonal")), lambda m: F.when(_close(m), F.aggregate(m, F.lit(0), lambda a, x: a + x))))
-        found = found.where(F.col("matched").isNotNull()).select(*keys, "item_id", "item_words", "matched", (F.col("diagonal") - F.col("first")).alias("start"))
-        out = found if out is None else out.unionByName(found)
+    if blocks <= MOST_BLOCKS:
+        out = _in_blocks(own, parts, keys, blocks)
+    else:
+        out = _shuffled(own, hashed, written(parts), keys)
+    if (short := _short(whole, items, keys)) is not None:
+        out = out.unionByName(short)
     best = F.max(F.struct("matched", (-F.col("start")).alias("start"), "item_words")).alias("best")
     return out.groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", F.col("best.item_words").alias("item_words"), F.col("best.matched").alias("matched"), (-F.col("best.start")).alias("start"))
 
