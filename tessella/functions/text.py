@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +70,18 @@ def fold(text: str, width: int = 100) -> str:
     import textwrap
 
     return "\n\n".join(line for part in text.split("\n") for line in (textwrap.wrap(part, width) or [""]))
+
+
+def folded(text: Column, width: int = 100) -> Column:
+    """fold() of a column, in Arrow batches; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else fold(t, width))
+
+    return run(text)
+
+
+def utc_time(moment: Column) -> Column:
+    """A moment as UTC wall-clock text, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")

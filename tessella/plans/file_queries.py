@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, etag, extension
+from ..functions.text import basename, etag, extension, folded, utc_time
 from ..operators import cdc, listing
 from ..operators.metadata import merged
 from ..operators.snapshot import MetadataTable, copy_state
@@ -189,3 +189,16 @@ def debug_previews(spark, sf):
 def appended_lists(spark, sf):
     """Rows of one key appended in order to one text, as parts of a file are."""
     return listing.appended(_t(spark, sf, "conversations"), "conv_id", "turn", F.concat(F.col("turn").cast("string"), F.lit(": "), "role")).select("conv_id", F.array_join("parts", "\n").alias("lines"), F.size("parts").cast("long").alias("n"))
+
+
+@query("select doc_id, source || chr(10) || chr(10) || lang || ' ' || n_chars as lines from documents")
+def wrapped_words(spark, sf):
+    """Lines wrapped at a width, with a blank line after each."""
+    text = F.concat("source", F.lit("\n"), "lang", F.lit(" "), F.col("n_chars").cast("string"))
+    return _t(spark, sf, "documents").select("doc_id", folded(text, 40).alias("lines"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as utc from events")
+def event_times(spark, sf):
+    """Moments as UTC text."""
+    return _t(spark, sf, "events").select("event_id", utc_time(F.col("ts").cast("timestamp")).alias("utc"))

@@ -49,8 +49,12 @@ def encoding_of(content: bytes) -> str:
     try:
         from charset_normalizer import from_bytes
 
-        best = from_bytes(sample).best()
-        return best.encoding if best else "cp1252"
+        found = from_bytes(sample)
+        best = found.best()
+        # of guesses that are as good, the charset of western Europe; its neighbours differ in a few letters only
+        common = best is None or "cp1252" in best.could_be_from_charset
+        common = common or any(m.encoding == "cp1252" and m.chaos <= best.chaos and m.coherence >= best.coherence - 0.1 for m in found)
+        return "cp1252" if common else best.encoding
     except ImportError:
         return "cp1252"
 
