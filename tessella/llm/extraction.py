@@ -87,7 +87,7 @@ class Block:
     def __init__(self, text: str, linked: int, tag: str, bad: bool, inside: bool, suspended: int):
         self.text, self.linked, self.tag, self.bad, self.inside, self.suspended = text, linked, tag, bad, inside, suspended
         words = () if bad else _LETTERS.findall(text.lower())
-        self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words)
+        self.words, self.stops = len(words), sum(map(STOP_WORDS.__contains__, words))
 
 
 def _marks(attributes: str) -> set[str]:
