@@ -7,7 +7,7 @@ id, in whatever files and order they were written.
 
 Archives are Spark text files whose line separator is the blank line that ends a WARC
 record, so any store that Spark writes to can hold them and a lost executor's file is
-written again. A file has a bounded number of records and is read as one stream.
+written again. A file has a number of records that their size class allows, and is read as one stream.
 
 Cases: a null payload is an empty payload; a null url is an empty target; repeated rows are
 captures of their own; an empty table gives no records; other columns are ignored.
@@ -24,13 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, read, scratch
+from .common import lookup, read, scratch, written
 
 SEPARATOR = "\r\n\r\n"
 #: Payloads below this many bytes are stored again rather than revisited.
 REVISIT_BYTES = 1000
-#: Bounds an archive file; a reader holds one compressed file at a time.
+#: Records of an archive file by the largest payload among them, in bytes; a reader holds one compressed file at a time.
 RECORDS_PER_FILE = 6000
+SIZE_CLASSES = ((1 << 16, RECORDS_PER_FILE), (1 << 20, 384), (1 << 24, 24))
 
 RECORDS = (
     "record_id string, warc_type string, concurrent_to string, refers_to_record string, target_uri string, "
@@ -43,26 +44,43 @@ def _uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def plan_captures(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """Per row: capture (its place in the scan), payload, digest, bytes and, for a revisit, the response's capture.
-
-    Of equal payloads of at least `least` bytes the row with the largest page_id is the
-    response; among rows with that page_id, the last in the scan.
-    """
+def _rows(pages: DataFrame) -> DataFrame:
     rows = pages.select(
-        F.monotonically_increasing_id().alias("capture"),
+        F.monotonically_increasing_id().alias("place"),
         "page_id",
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
     ).withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")})
+    return rows.withColumn("capture", F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.md5("url"), "digest"))
+
+
+def page_keys(pages: DataFrame) -> DataFrame:
+    """What a plan needs of the pages, without their payloads, written once."""
+    return written(_rows(pages).select("place", "page_id", "capture", "digest", "bytes"))
+
+
+def plan_captures(pages: DataFrame, least: int = REVISIT_BYTES, keys: DataFrame | None = None) -> DataFrame:
+    """Per row: capture, payload, digest, bytes and, for a revisit, the response's capture.
+
+    A capture is named by its page_id, url and digest, however often the rows are computed; only
+    rows that are alike in all three are told apart by their place in the scan. Of equal payloads of
+    at least `least` bytes the row with the largest page_id is the response; among rows with that
+    page_id, the one whose name is the greatest.
+    """
+    keys = page_keys(pages) if keys is None else keys
+    twice = written(keys.groupBy("capture").agg(F.count("*").alias("k")).where("k > 1"))
+    apart = F.when(F.col("k").isNotNull(), F.concat_ws("|", "capture", F.col("place").cast("string"))).otherwise(F.col("capture"))
+    # as a rule there are none
+    named = lambda df: df if twice.isEmpty() else lookup(df, twice, ["capture"], ["place"], n="k").withColumn("capture", apart).drop("k")
     first = (
-        rows.where(F.col("bytes") >= least)
+        named(keys).where(F.col("bytes") >= least)
         .groupBy("digest", "bytes")
         .agg(F.count("*").alias("n"), F.max(F.struct("page_id", "capture")).alias("first"))
         .where("n > 1")
-        .select("digest", "bytes", F.col("first.capture").alias("first"))
-    )
-    return lookup(rows, first, ["digest", "bytes"], ["capture"]).withColumn("revisits", F.expr("nullif(first, capture)")).drop("first")
+        .select("digest", "bytes", "n", F.col("first.capture").alias("first"))
+    )
+    out = lookup(named(_rows(pages)), written(first), ["digest", "bytes"], ["capture"], n="n")
+    return out.withColumn("revisits", F.expr("nullif(first, capture)")).drop("first", "place", "n")
 
 
 def records(captures: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -210,7 +228,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         rows, held = [], 0
                 yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(run, RECORDS)
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -225,8 +243,18 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, path: str) -> DataFrame:
-    """Write pages to archives under path, read them and return the captures, without payloads."""
-    write(records(plan_captures(pages)), path)
+    """Write pages to archives under path, read them and return the captures, without payloads.
+
+    Captures of a size class share files; as a rule there is one class, and so one pass.
+    """
+    keys = page_keys(pages)
+    captures = plan_captures(pages, keys=keys)
+    own = F.when(F.col("revisits").isNull(), F.col("bytes")).otherwise(0)
+    kind = lambda size: sum(((size > most).cast("int") for most, _ in SIZE_CLASSES), F.lit(0))
+    found = [r[0] for r in keys.select(kind(F.col("bytes")).alias("kind")).distinct().collect()]  # as many as there are classes
+    for k in sorted({0, *found}) if len(found) > 1 else found or [0]:
+        part = captures if len(found) <= 1 else captures.where(kind(own) == k)
+        write(records(part), f"{path}/{k}", per_file=SIZE_CLASSES[k][1] if k < len(SIZE_CLASSES) else 3)
     return assemble(read_records(pages.sparkSession, path, with_payload=False))
 
 
