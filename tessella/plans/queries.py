@@ -383,10 +383,51 @@ def points_payload(spark, sf):
     return payload(_points(spark, sf), ["source", "lang"]).select("doc_id", "point_id", "payload")
 
 
-@query()
+_SP = r"\s\p{Z}\x0b\x1c-\x1f\x85"
+
+
+def _tokens(text: str) -> str:
+    return rf"len(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_SP}]'))"
+
+
+def _cut(level: int, parts: str) -> str:
+    """One more level of the splitter: parts of more than 550 tokens are cut, the others stay."""
+    return f"""l{level} as (select doc_id, list_append(pos, unnest(range(1, len(c) + 1))) as pos, unnest(c) as t
+      from (select doc_id, pos, case when {_tokens("t")} <= 550 then [t] else list_filter({parts}, lambda x: x <> '') end as c from l{level - 1}))"""
+
+
+_STRIP = rf"'^[{_SP}]+|[{_SP}]+$', '', 'g'"
+
+
+@query(
+    rf"""with recursive l0 as (select doc_id, cast([] as bigint[]) as pos, text as t from documents where text <> ''),
+    {_cut(1, "string_split(replace(t, repeat(chr(10), 3), repeat(chr(10), 3) || chr(1)), chr(1))")},
+    {_cut(2, rf"string_split(regexp_replace(t, '([.!?。？！])([{_SP}])', '\1' || chr(1) || '\2', 'g'), chr(1))")},
+    {_cut(3, "regexp_extract_all(t, '[^,.;。？！]+[,.;。？！]?|[,.;。？！]')")},
+    {_cut(4, rf"regexp_extract_all(t, '[^{_SP}]+[{_SP}]*|[{_SP}]+')")},
+    {_cut(5, "string_split(t, '')")},
+    parts as (select doc_id, row_number() over (partition by doc_id order by pos) as i, t, {_tokens("t")} as n from l5),
+    merged as (
+      select doc_id, i, [{{'t': t, 'n': n}}] as held, n as total, cast(null as varchar) as chunk from parts where i = 1
+      union all
+      select doc_id, i, list_append(kept, {{'t': t, 'n': n}}), coalesce(list_sum(list_transform(kept, lambda x: x.n)), 0) + n, chunk
+      from (
+        select p.doc_id, p.i, p.t, p.n,
+          case when m.total + p.n <= 550 then m.held
+            else list_transform(list_filter(range(1, len(m.held) + 1), lambda j: list_sum(list_transform(m.held[j:], lambda x: x.n)) <= least(100, 550 - p.n)), lambda j: m.held[j]) end as kept,
+          case when m.total + p.n > 550 then array_to_string(list_transform(m.held, lambda x: x.t), '') end as chunk
+        from merged m join parts p on p.doc_id = m.doc_id and p.i = m.i + 1)
+    ),
+    chunks as (
+      select doc_id, i, regexp_replace(chunk, {_STRIP}) as text from merged where chunk is not null
+      union all select doc_id, max(i) + 1, regexp_replace(array_to_string(list_transform(arg_max(held, i), lambda x: x.t), ''), {_STRIP}) from merged group by doc_id
+    )
+    select doc_id, row_number() over (partition by doc_id order by i) - 1 as chunk_idx, count(*) over (partition by doc_id) as n_chunks, text from chunks where text <> ''"""
+)
 def sentence_chunks(spark, sf):
-    """Sentence chunks of all documents; held against the pure function in tests."""
-    return sentence_chunk_rows(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_idx", "n_chunks", "text")
+    """Sentence chunks of all documents."""
+    rows = sentence_chunk_rows(_t(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_idx", "n_chunks")], "text")
 
 
 @query(
