@@ -29,11 +29,6 @@ def islands(files: DataFrame, id: str = "path", text: str = "text") -> DataFrame
     return found.select(id, "table_no", F.posexplode("_lines").alias("row_no", "line"))
 
 
-def cells(rows: DataFrame, delimiter: str = ",") -> DataFrame:
-    """Long form of rows: (.., col_no, value); empty cells are null."""
-    return rows.select(*[c for c in rows.columns if c != "line"], F.posexplode(F.split("line", delimiter)).alias("col_no", "value")).withColumn("value", F.nullif(F.col("value"), F.lit("")))
-
-
 def filled_cells(files: DataFrame, id: str = "path", text: str = "text", delimiter: str = ",") -> DataFrame:
     """(id, table_no, row_no, col_no, value) of the columns that have a value somewhere in their table; no shuffle."""
     split = F.transform("_lines", lambda x: F.split(x, delimiter))
@@ -44,12 +39,6 @@ def filled_cells(files: DataFrame, id: str = "path", text: str = "text", delimit
     return rows.select(id, "table_no", "row_no", "_row", F.explode("_keep").alias("col_no")).where(F.col("col_no") < F.size("_row")).select(id, "table_no", "row_no", "col_no", F.nullif(F.get("_row", "col_no"), F.lit("")).alias("value"))
 
 
-def drop_empty_columns(long: DataFrame, table: list[str]) -> DataFrame:
-    """Cells of the columns that have a value somewhere in their table."""
-    full = long.groupBy(*table, "col_no").agg(F.count("value").alias("n")).where("n > 0").drop("n")
-    return long.join(full, [*table, "col_no"], "left_semi")
-
-
 def joined_cells(cells: Column, mark: str = " | ") -> Column:
     return F.array_join(F.transform(cells, strip), mark)
 

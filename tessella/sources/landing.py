@@ -30,13 +30,15 @@ def upload_files(paths: str | Iterable[str], root: str, bucket: str = "documents
 
 
 def copy_changed(spark: SparkSession, changed: DataFrame, target: str) -> None:
-    """Write the content of changed (key, content) to target/key, a folder that all executors mount, task by task.
+    """Write the content of changed (key, content) to target/key, task by task.
 
-    A copy that is tried again overwrites, so it is done at least once.
+    target is a folder that all executors mount, or a URI of a store that Arrow's file systems reach
+    (hdfs, s3, gs, file). A copy is written under another name and moved, so nobody reads half of
+    it; one that is tried again overwrites, so it is done at least once.
     """
-    folder = target.removeprefix("file://").rstrip("/")
+    folder = target.replace("s3a://", "s3://", 1).rstrip("/")
 
-    def put(rows) -> None:
+    def to_folder(rows) -> None:
         for r in rows:
             path = f"{folder}/{r['key']}"
             os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -45,7 +47,19 @@ def copy_changed(spark: SparkSession, changed: DataFrame, target: str) -> None:
                 f.write(r["content"])
             os.replace(part, path)
 
-    changed.select("key", "content").foreachPartition(put)
+    def to_store(rows) -> None:
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(folder)
+        for r in rows:
+            path = f"{base}/{r['key']}"
+            store.create_dir(os.path.dirname(path), recursive=True)
+            part = f"{path}.{os.getpid()}.part"
+            with store.open_output_stream(part) as f:
+                f.write(bytes(r["content"]))
+            store.move(part, path)
+
+    changed.select("key", "content").where("content is not null").foreachPartition(to_store if "://" in folder else to_folder)
 
 
 def put_objects(spark: SparkSession, files: dict[str, bytes], root: str) -> list[str]:

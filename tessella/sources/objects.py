@@ -117,10 +117,6 @@ def folder_listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, path string, size long")
 
 
-def binary_objects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-
 def glob_objects(spark: SparkSession, path: str) -> DataFrame:
     """Files right under path but for dotfiles."""
     from ..functions.text import basename

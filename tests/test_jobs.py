@@ -39,6 +39,11 @@ def test_copies_go_once(spark, folder, tmp_path):
     assert (tmp_path / "out/a.txt").read_bytes() == b"changed" and (tmp_path / "out/sub/b.txt").exists()
 
 
+def test_copies_to_a_uri(spark, folder, tmp_path):
+    assert copy_new(spark, f"file://{folder}", f"file://{tmp_path}/out", str(tmp_path / "state"))["copied"] == 5
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"a.txt": b"one", "sub/b.txt": b"two", "_hidden.txt": b"three", "empty.txt": b"", "bad.html": b"<p>"}
+
+
 def test_upload_writes_metadata_by_version(spark, folder, tmp_path):
     table = MetadataTable(spark, str(tmp_path / "meta"))
     assert table.scan().count() == 0
