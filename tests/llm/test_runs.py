@@ -77,3 +77,27 @@ def test_op2_takes_whole_runs(spark, tmp_path):
     rows = [(i, prose(i, 40, 10) + "\n" + shared + "\n" + prose(50 + i, 40, 10)) for i in range(12)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["doc_id"]: r["lines_removed"] >= 3 for r in lines.op2_lines(spark, str(tmp_path)).collect()} == {i: i > 0 for i in range(12)}
+
+
+def test_very_long_texts(spark):
+    """Twice the same 20,000 lines, and once with a line changed here and there."""
+    draw = random.Random(6)
+    own = [" ".join(draw.choices(["river", "stone", "light", "cloud", "paper"], k=draw.randrange(1, 20))) + f" {k}" for k in range(20_000)]
+    other = [f"changed {k}" if k % 500 == 250 else x for k, x in enumerate(own)]
+    rows = [(1, "\n".join(own)), (2, "\n".join(own)), (3, "\n".join(other))]
+    got = {r["doc_id"]: r for r in lines.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), lines.chunks_and_runs).collect()}
+    assert [got[i]["lines_removed"] for i in (1, 2, 3)] == [0, 20_000, 19_960] and got[2]["text"] == ""
+    assert got[3]["text"].split("\n") == [x for x in other if x.startswith("changed")]
+
+
+def test_kept_lines_of_overlapping_drops(spark):
+    from pyspark.sql import functions as F
+
+    draw, rows = random.Random(9), []
+    for i in range(200):
+        n = draw.randrange(1, 30)
+        drops = sorted((a, min(n - 1, a + draw.randrange(6))) for a in (draw.randrange(n) for _ in range(draw.randrange(1, 8))))
+        rows.append((i, [f"l{k}" for k in range(n)], drops))
+    df = spark.createDataFrame(rows, "i int, lines array<string>, drops array<struct<first:int,last:int>>")
+    got = {r["i"]: r["k"] for r in df.select("i", lines._kept(F.col("lines"), F.col("drops")).alias("k")).collect()}
+    assert got == {i: [x for k, x in enumerate(own) if not any(a <= k <= b for a, b in drops)] for i, own, drops in rows}
