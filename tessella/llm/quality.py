@@ -64,8 +64,8 @@ def class_counts(n: Column, word_chars: Column, marked: Column) -> Column:
     return F.array(*[c.cast("double") for c in [word_chars - left, *own, n - word_chars, rest]])
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window which the text has twice or more.
+def repeated_words(words: Column, hashed: Column, window: int = WINDOW) -> Column:
+    """Words that lie in a window which the text has twice or more; hashed are the words' hashes.
 
     Most texts repeat no window; those that do are looked at more closely: the high bits of a
     window's hash and its place share a long, and sorted, equal windows are neighbours. What
@@ -96,56 +96,73 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
         return F.when(n <= window, F.lit(0).cast("long")).otherwise(let(windows, placed))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), covered)
+    return let(hashed, covered)
+
+
+def _reference(top: DataFrame, on: list[str], totals: DataFrame) -> DataFrame:
+    """on, hashes, shares, others, longest: top has a row a word with its count k, totals the words in all."""
+    best = top.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "word"))).alias("best"), F.max(F.char_length("word")).alias("longest"))
+    shares = F.transform("best", lambda x: -x["k"] / F.col("n"))
+    others = 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    return totals.join(best, on).select(*on, F.transform("best", lambda x: F.xxhash64(x["word"])).alias("hashes"), shares.alias("shares"), others.alias("others"), "longest")
+
+
+def word_references(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, hashes, shares, others, longest) of the most frequent words, and the same in one row for all languages together."""
+    words = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    per_word = written(words.groupBy("lang", "word").agg(F.count("*").alias("k")))
+    totals = per_word.groupBy("lang").agg(F.sum("k").cast("double").alias("n"))
+    enough = totals.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_REFERENCE_WORDS))
+    first = Window.partitionBy("lang").orderBy(F.desc("k"), "word")  # each partition passes COMMON rows a language on
+    top = per_word.where("lang is not null").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= COMMON).drop("rank")
+    together = per_word.groupBy("word").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "word").limit(COMMON).withColumn("pool", F.lit(0))
+    pooled = totals.agg(F.sum("n").alias("n")).withColumn("pool", F.lit(0))
+    return written(_reference(top, ["lang"], enough)), _reference(together, ["pool"], pooled).drop("pool")
+
+
+def with_reference(rows: DataFrame, own: DataFrame, pool: DataFrame, spread: list[str]) -> DataFrame:
+    """rows with the reference of their language, or the pooled one; all null if there is none."""
+    rows = rows.join(F.broadcast(own), "lang", "left") if own.count() <= MOST_BROADCAST else lookup(rows, own, ["lang"], spread)
+    found = pool.first()
+    for f in pool.schema.fields:
+        rows = rows.withColumn(f.name, F.coalesce(F.col(f.name), F.lit(found[f.name] if found else None).cast(f.dataType)))
+    return rows
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts of the base rules, base_failed, class counts and hashes of the words."""
+    """doc_id, lang, the counts of the base rules, base_failed, class counts and words_distance, for docs with a word reference."""
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     repeats = let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.size(h) - F.size(F.array_distinct(h)))
-    split = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumns({"words": words_of(F.col("text")), "marked": F.regexp_replace("text", _PLAIN, ""), "n_chars": F.char_length("text")})
+    reference = ["hashes", "shares", "others", "longest"]
+    split = docs.select("doc_id", "lang", *reference, F.coalesce("text", F.lit("")).alias("text")).withColumns({"words": words_of(F.col("text")), "marked": F.regexp_replace("text", _PLAIN, ""), "n_chars": F.char_length("text")})
+    split = split.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
+    common = F.filter("hashed", lambda x, i: (F.char_length(F.get("words", i)) <= F.col("longest")) & F.array_contains("hashes", x))
+    n_words = F.size("words")
     counted = split.select(
         "doc_id",
         "lang",
         "n_chars",
         "marked",
-        F.size("words").cast("long").alias("n_words"),
+        n_words.cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.char_length("marked") - _without(F.col("marked"), SYMBOLS)).cast("long").alias("n_symbols"),
         repeats.cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"),
+        repeated_words(F.col("words"), F.col("hashed")).cast("long").alias("n_repeat_words"),
+        F.when(n_words >= LEAST_WORDS_COMPARED, words_distance(n_words, common, F.col("hashes"), F.col("shares"), F.col("others"))).alias("words_distance"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("classes", class_counts(F.col("n_chars"), F.col("word_chars"), F.col("marked"))).drop("marked")
 
 
-def _reference(top: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
-    """on, hashes, shares, others, ref_classes: top has a row a word with its count k, totals the sums."""
-    best = top.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "word"))).alias("best"))
-    chars = F.greatest(sum((F.col(f"c{i}") for i in range(6)), F.lit(0.0)), F.lit(1.0))
-    both = totals.join(best, on, "left").withColumn("best", F.coalesce("best", F.expr("cast(array() as array<struct<k:bigint,word:bigint>>)")))
-    shares = F.transform("best", lambda x: -x["k"] / F.col("n"))
-    return both.select(
-        *on,
-        F.transform("best", lambda x: x["word"]).alias("hashes"),
-        shares.alias("shares"),
-        (1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)).alias("others"),
-        F.array(*[F.col(f"c{i}") / chars for i in range(6)]).alias("ref_classes"),
-    )
-
-
-def references(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From features: (lang, hashes, shares, others, ref_classes), and the same in one row for all languages together."""
-    sums = [F.sum("n_words").cast("double").alias("n"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(6)]]
-    again = [F.sum(c).alias(c) for c in ("n", *[f"c{i}" for i in range(6)])]
-    per_lang = written(found.groupBy("lang").agg(*sums))
-    per_word = written(found.select("lang", F.explode("hashed").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("k")))
-    enough = per_lang.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_REFERENCE_WORDS))
-    first = Window.partitionBy("lang").orderBy(F.desc("k"), "word")  # each partition passes COMMON rows a language on
-    top = per_word.where("lang is not null").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= COMMON).drop("rank")
-    together = per_word.groupBy("word").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "word").limit(COMMON).withColumn("pool", F.lit(0))
-    return _reference(top, enough, ["lang"]), _reference(together, per_lang.agg(*again).withColumn("pool", F.lit(0)), ["pool"]).drop("pool")
+def class_references(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, ref_classes) from features, and the same in one row for all languages together."""
+    names = [f"c{i}" for i in range(6)]
+    sums = found.groupBy("lang").agg(F.sum("n_words").alias("n"), *[F.sum(F.get("classes", F.lit(i))).alias(c) for i, c in enumerate(names)])
+    share = lambda total: F.array(*[F.col(c) / F.greatest(total, F.lit(1.0)) for c in names]).alias("ref_classes")
+    total = sum((F.col(c) for c in names), F.lit(0.0))
+    sums = written(sums)
+    enough = sums.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_REFERENCE_WORDS))
+    return enough.select("lang", share(total)), sums.agg(*[F.sum(c).alias(c) for c in names]).select(share(total))
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -166,11 +183,9 @@ def classes_distance(counts: Column, reference: Column) -> Column:
     return let(counts, against)
 
 
-def words_distance(n_words: Column, words: Column, hashes: Column, shares: Column, others: Column) -> Column:
-    """Bins that the document lacks add half their share times ln 2 each."""
+def words_distance(n_words: Column, common: Column, hashes: Column, shares: Column, others: Column) -> Column:
+    """common: the hashes of the document's words that hashes has. Bins that the document lacks add half their share times ln 2 each."""
     n = F.greatest(n_words, F.lit(1)).cast("double")
-    common = F.sort_array(F.filter(words, lambda x: F.array_contains(hashes, x)))
-
     def against(c: Column) -> Column:
         def over(found: Column) -> Column:
             at = F.transform(found, lambda x: F.array_position(c, x))
@@ -188,28 +203,19 @@ def words_distance(n_words: Column, words: Column, hashes: Column, shares: Colum
 
         return let(F.array_distinct(c), over)
 
-    return _distance(let(common, against))
+    return _distance(let(F.sort_array(common), against))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, both distances, base_failed and kept, for documents (doc_id, text, lang).
 
-    The features are written once; references and distances are read from them.
+    Words are counted in a first pass over the texts; a second one gives each document's counts and
+    distances and is written, without texts or words; classes are compared to what that sums up to.
     """
-    found = written(features(docs))
-    own, pool = references(found)
-    own = written(own)
-    found = found.join(F.broadcast(own), "lang", "left") if own.count() <= MOST_BROADCAST else lookup(found, own, ["lang"], ["doc_id"])
-    pooled = pool.first()
-    for c in pool.columns:
-        kind = pool.schema[c].dataType
-        found = found.withColumn(c, F.coalesce(F.col(c), F.lit(pooled[c] if pooled[c] is not None else None).cast(kind)))
-    found = found.withColumns(
-        {
-            "chars_distance": F.when(F.col("n_chars") >= LEAST_CHARS_COMPARED, classes_distance(F.col("classes"), F.col("ref_classes"))),
-            "words_distance": F.when(F.col("n_words") >= LEAST_WORDS_COMPARED, words_distance(F.col("n_words"), F.col("hashed"), F.col("hashes"), F.col("shares"), F.col("others"))),
-        }
-    )
+    docs = docs.select("doc_id", "lang", "text")
+    found = written(features(with_reference(docs, *word_references(docs), ["doc_id"])))
+    found = with_reference(found, *class_references(found), ["doc_id"])
+    found = found.withColumn("chars_distance", F.when(F.col("n_chars") >= LEAST_CHARS_COMPARED, classes_distance(F.col("classes"), F.col("ref_classes"))))
     far = F.coalesce(F.col("chars_distance") > MOST_CHARS_DISTANCE, F.lit(False)) | F.coalesce(F.col("words_distance") > MOST_WORDS_DISTANCE, F.lit(False))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.round("chars_distance", 6).alias("chars_distance"), F.round("words_distance", 6).alias("words_distance"))
 

@@ -36,8 +36,7 @@ def brute(rows):
     out = {}
     for i, t, lang in rows:
         key = ("lang", lang) if lang is not None and total[("lang", lang)] >= quality.LEAST_REFERENCE_WORDS else ("all", None)
-        ranked = sorted(count[key].items(), key=lambda x: -x[1])
-        assert len(ranked) <= quality.COMMON or ranked[quality.COMMON - 1][1] > ranked[quality.COMMON][1], "a tie at the end is broken by hash"
+        ranked = sorted(count[key].items(), key=lambda x: (-x[1], x[0].encode()))
         best = [w for w, _ in ranked[: quality.COMMON]]
         ref = [count[key][w] / total[key] for w in best]
         own = Counter(words[i])
