@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import op11_bpe
 from .common import read
 from .decontamination import op3_decontamination
 from .extraction import op6_extraction
 from .language import op10_language
 from .lines import op2_lines
 from .near import op8_near_duplicates
+from .negatives import OP12_SQL, op12_negatives
 from .oracles import DECONTAMINATION_SQL, NEAR_SQL, QUALITY_SQL
 from .packing import op5_packing
 from .quality import op4_quality
@@ -88,8 +90,8 @@ from documents
 """
 
 
-QUERIES = {"op1_urls": op1_urls, "op2_lines": op2_lines, "op3_decontamination": op3_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_extraction": op6_extraction, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_language": op10_language}
-SQL = {"op9_warc": OP9_SQL}
+QUERIES = {"op1_urls": op1_urls, "op2_lines": op2_lines, "op3_decontamination": op3_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_extraction": op6_extraction, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_language": op10_language, "op11_bpe": op11_bpe, "op12_negatives": op12_negatives}
+SQL = {"op9_warc": OP9_SQL, "op12_negatives": OP12_SQL}
 QUERIES |= {"urls_rules": urls_rules, "quality_base": quality_base, "secrets_base": secrets_base}
 SQL |= {"op3_decontamination": DECONTAMINATION_SQL, "op4_quality": QUALITY_SQL.replace("{base}", QUALITY_BASE_SQL), "op8_near_duplicates": NEAR_SQL}
 SQL |= {"urls_rules": URLS_RULES_SQL, "quality_base": QUALITY_BASE_SQL, "secrets_base": SECRETS_BASE_SQL}
