@@ -15,6 +15,7 @@ from .near import op8_near_duplicates
 from .negatives import OP12_SQL, op12_negatives
 from .oracles import DECONTAMINATION_SQL, NEAR_SQL, QUALITY_SQL
 from .packing import op5_packing
+from .phrases import OP13_SQL, op13_phrases
 from .quality import op4_quality
 from .secrets import op7_secrets
 from .urls import RULES, host_of, op1_urls, path_of, rule_for
@@ -90,8 +91,8 @@ from documents
 """
 
 
-QUERIES = {"op1_urls": op1_urls, "op2_lines": op2_lines, "op3_decontamination": op3_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_extraction": op6_extraction, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_language": op10_language, "op11_bpe": op11_bpe, "op12_negatives": op12_negatives}
-SQL = {"op9_warc": OP9_SQL, "op12_negatives": OP12_SQL}
+QUERIES = {"op1_urls": op1_urls, "op2_lines": op2_lines, "op3_decontamination": op3_decontamination, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_extraction": op6_extraction, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_warc": op9_warc, "op10_language": op10_language, "op11_bpe": op11_bpe, "op12_negatives": op12_negatives, "op13_phrases": op13_phrases}
+SQL = {"op9_warc": OP9_SQL, "op12_negatives": OP12_SQL, "op13_phrases": OP13_SQL}
 QUERIES |= {"urls_rules": urls_rules, "quality_base": quality_base, "secrets_base": secrets_base}
 SQL |= {"op3_decontamination": DECONTAMINATION_SQL, "op4_quality": QUALITY_SQL.replace("{base}", QUALITY_BASE_SQL), "op8_near_duplicates": NEAR_SQL}
 SQL |= {"urls_rules": URLS_RULES_SQL, "quality_base": QUALITY_BASE_SQL, "secrets_base": SECRETS_BASE_SQL}
