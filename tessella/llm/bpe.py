@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,14 +74,15 @@ class Ranks:
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The bytes of each list of ids."""
         sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        found = self.tokens.take(ids.flatten())
-        if found.null_count:
+        flat = ids.flatten()
+        low, high = pc.min_max(flat).values() if len(flat) else (pa.scalar(0), pa.scalar(0))
+        if flat.null_count or low.as_py() < 0 or high.as_py() >= len(self.tokens) or (found := self.tokens.take(flat)).null_count:
             raise ValueError("an id that the ranks don't have")
         ends = np.concatenate([[0], np.cumsum(sizes)])
         at = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, dtype=np.int64)
         whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at[ends].tobytes()), found.buffers()[2]])
         gone = ids.is_null()
-        return pa.compute.if_else(gone, pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+        return pc.if_else(gone, pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
