@@ -9,7 +9,9 @@ identifiers and all identifiers of the whole text: a name that the text has else
 little, a key nearly its whole entropy. Novel candidates are reported too.
 
 Cases: a null or empty text has no spans; spans of one start stand in the order of KINDS;
-candidates that touch a base span are left out; a string that the text has twice is known to it;
+candidates that touch a base span are left out; a string that other sensitive statements have
+too is judged as if it stood once, and reported each time; one that its own statement or other
+text has again is known to the compressor;
 repeated rows are scanned alike; long texts are scanned whole; other columns pass through, but
 for one named secrets, which is replaced.
 """
@@ -39,8 +41,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so this is a run
 _SENSITIVE = re.compile(r"(?i:auth|bearer|credential|private|secret|token|passw|pwd|api.?key|access.?key|signature|session)", re.A)
 _WORDS = ("auth", "bearer", "credential", "private", "secret", "token", "passw", "pwd", "key", "signature", "session")
 _STATEMENT = re.compile(r"[^\n]*?(?:[.;!?](?=\s)|\n|\Z)")
-#: A string with a piece of twelve letters and digits, one of each at least: paths, dates, versions and names of words have shorter ones.
-_PIECE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12}"
+#: A string with a piece of twelve letters and digits, one of each at least, or of 24 letters: paths, dates, versions and names of words have shorter ones.
+_PIECE = r"(?<![A-Za-z0-9])(?:(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12}|[A-Za-z]{24})"
 _CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*?{_PIECE})[A-Za-z0-9+/_-]{{16,}}={{0,2}}")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9+/_-]{3,}")
 
@@ -76,21 +78,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class _Known:
     """Marginal compressed bytes of a string, for one text."""
 
-    def __init__(self, text: str, identifiers: bytes, level: int):
+    def __init__(self, text: str, judged: Counter, identifiers: bytes, level: int):
         names = Counter(_IDENTIFIER.findall(text))
-        known = " ".join(n for n, k in names.items() if k > 1 or not _CANDIDATE.fullmatch(n))
+        known = " ".join(n for n, k in names.items() if k > max(judged[n], 1) or not (judged[n] or _CANDIDATE.fullmatch(n)))
         dictionary = zstandard.ZstdCompressionDict(identifiers + b" " + known.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.text = text
         self.coder = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def __call__(self, start: int, end: int) -> float:
-        around = (self.text[max(0, start - AROUND) : start] + " " + self.text[end : end + AROUND]).encode()
-        own = self.text[start:end].encode()
+    def __call__(self, start: int, end: int, first: int, last: int) -> float:
+        """first, last: the statement; outside it the string itself doesn't count as known."""
+        t, own = self.text, self.text[start:end]
+        first, last = max(first, start - AROUND), min(last, end + AROUND)
+        around = (t[max(0, start - AROUND) : first].replace(own, "") + t[first:start] + " " + t[end:last] + t[last : end + AROUND].replace(own, "")).encode()
+        own = own.encode()
         return (len(self.coder.compress(around + b" " + own)) - len(self.coder.compress(around)) - OVERHEAD) / len(own)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the strings in a sensitive context."""
+def candidates(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end) of the strings in a sensitive context, and those of their statements."""
     out, sensitive = [], False
     for s in _STATEMENT.finditer(text):
         if s.end() == s.start():
@@ -99,7 +104,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             continue
         here = _SENSITIVE.search(text, s.start(), s.end()) is not None
         found = [m.span() for m in _CANDIDATE.finditer(text, s.start(), s.end())] if here or sensitive else []
-        out += found
+        out += [(*x, s.start(), s.end()) for x in found]
         alone = len(found) == 1 and text[s.start() : s.end()].strip() == text[slice(*found[0])]
         sensitive = here or (sensitive and alone)
     return out
@@ -116,11 +121,11 @@ class Novelty:
             return []
         ends = list(accumulate((e for _, _, e in base), max))
         touched = lambda s, e: (i := bisect_left(ends, s + 1)) < len(base) and base[i][0] < e
-        found = [(s, e) for s, e in candidates(text) if not touched(s, e)]
+        found = [x for x in candidates(text) if not touched(*x[:2])]
         if not found:
             return []
-        novelty = _Known(text, self.identifiers, self.level)
-        return [(s, 3, e, new) for s, e in found if (new := novelty(s, e)) >= least]
+        novelty = _Known(text, Counter(text[s:e].rstrip("=") for s, e, *_ in found), self.identifiers, self.level)
+        return [(x[0], 3, x[1], new) for x in found if (new := novelty(*x)) >= least]
 
 
 def find_secrets(docs: DataFrame, text: str = "text", least: float = NOVELTY) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import base64
 import random
+import re
 import string
 
 import pytest
+import zstandard
 
 from tessella.llm import secrets
 
@@ -84,3 +86,31 @@ def test_the_method_adds_rows_to_the_query(spark, tmp_path):
     got = {r["doc_id"]: r for r in secrets.op7_secrets(spark, str(tmp_path)).collect()}
     assert sum(got[i]["n_novel"] for i in range(20)) >= 18 and got[50]["spans"] == "" == got[51]["spans"]
     assert all(not r["n_assign"] + r["n_access"] + r["n_hex"] for r in got.values())
+
+
+def test_a_secret_that_stands_twice_is_reported_twice():
+    draw = random.Random(5)
+    key = "".join(draw.choices(string.ascii_letters + string.digits, k=32))
+    once, twice = f"the bearer is {key} here.\n", f"the bearer is {key} here.\n" + " ".join(draw.choices(WORDS, k=30)) + f"\nthen private {key} again.\n"
+    for text, n in ((once, 1), (twice, 2), (twice * 20, 40)):
+        found = secrets.Novelty().spans(text, [])
+        assert [text[s:e] for s, _, e, _ in found] == [key] * n
+
+
+def test_letters_alone_can_be_a_secret_and_words_are_not():
+    draw = random.Random(6)
+    keys = ["".join(draw.choices(string.ascii_letters, k=40)) for _ in range(50)]
+    assert sum(len(secrets.Novelty().spans(f"auth {k} now", [])) for k in keys) >= 49
+    assert secrets.Novelty().spans("auth authorizationAuthenticationCredentialHandler now", []) == []
+
+
+def test_novelty_is_the_marginal_size():
+    """The figure itself, recomputed with the library alone."""
+    key = "Zk9vQ3xT7bLw2Rn8YcHs5JdF1mGpXa4E"
+    text = f"first line of code\nthe bearer credential {key} was sent"
+    ((s, _, e, got),) = secrets.Novelty().spans(text, [])
+    names = sorted({m[0] for m in re.finditer("[A-Za-z0-9+/_-]{3,}", text)} - {key}, key=text.index)
+    dictionary = zstandard.ZstdCompressionDict(secrets.IDENTIFIERS + b" " + " ".join(names).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x.encode()))
+    around = text[:s] + " " + text[e:]
+    assert text[s:e] == key and got == (size(f"{around} {key}") - size(around) - secrets.OVERHEAD) / len(key)
