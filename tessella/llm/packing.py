@@ -71,8 +71,9 @@ class ByteLevelBPE:
     No word reaches past a space that follows other than a space. So where no two spaces
     meet, the strings between spaces are encoded on their own: each different string of a
     batch once, all of them in one call, and a text's ids are gathered from theirs. That is
-    for texts without rare characters; others are left to the library itself, which is loaded
-    when the first of them comes. Special tokens' strings are ordinary text.
+    for texts without rare characters and without the string of an added token; others are left to
+    the library itself with its defaults, so the string of a special token is that token's id. It is
+    loaded when the first of them comes.
     """
 
     def __init__(self, path: str):
@@ -84,14 +85,13 @@ class ByteLevelBPE:
     def whole(self):
         from tokenizers import Tokenizer
 
-        out = Tokenizer.from_file(self.path)
-        out.encode_special_tokens = True
-        return out
+        return Tokenizer.from_file(self.path)
 
     def _ranked(self, path: str):
         """The same vocabulary as ranks, if the file's merges stand in the order of their ids."""
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, self.added = whole["model"], [x["content"] for x in whole.get("added_tokens") or []]
         byte_of = _byte_alphabet()
         vocab = {k: v for k, v in model["vocab"].items() if all(c in byte_of for c in k)}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -110,7 +110,7 @@ class ByteLevelBPE:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and END."""
-        fast = [self.ranked is not None and "  " not in t and self.plain.fullmatch(t) is not None for t in texts]
+        fast = [self.ranked is not None and "  " not in t and not any(a in t for a in self.added) and self.plain.fullmatch(t) is not None for t in texts]
         split = pc.split_pattern(pa.array([t for t, f in zip(texts, fast, strict=True) if f], pa.large_string()), " ")
         quick = iter(self._gather(split))
         return [next(quick) if f else np.append(self._one(t), np.uint32(END)) for t, f in zip(texts, fast, strict=True)]

@@ -83,7 +83,6 @@ def test_packing(spark, sf):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_tokenizer())
-    whole.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     by, seq = defaultdict(list), defaultdict(list)
     for r in packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), packing.default_tokenizer(), with_ids=True).collect():
