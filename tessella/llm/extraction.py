@@ -12,7 +12,9 @@ what follows. Both passes run inside articles too: where a page marks its articl
 main elements with text), only what is inside can be good, neighbours are those inside, and
 blocks with no decided neighbour are good.
 
-A class that says what a page has (`has-sidebar`, `with-comments`) marks nothing. An article
+A class that says what a page has (`has-sidebar`, `with-comments`) marks nothing, nor does one in
+an article that has other words beside (`related-work`). Text of figures, of `noscript` and of media that
+can't play is text of the page. An article
 suspends the marks of classes, ids and roles on what holds it, as layouts bear such names
 (`header-fixed`), but not those of navigation, asides, footers, forms and comments. Of a
 page's articles those within the fewest marks count, of those with a block that pass one finds
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import read, small_batches
 
 #: HTML element names by what they mean here.
-RAW = frozenset("script style template noscript svg iframe object textarea title canvas audio video".split())
+RAW = frozenset("script style template iframe textarea title".split())
 SKIPPED = frozenset("nav aside footer form button select dialog menu head fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -57,6 +59,12 @@ MARKS = frozenset(
     "reply share sharing social related recommended widget pagination pager login signup search contentinfo "
     "complementary form".split()
 )
+#: Words that a class or id in an article may have beside a mark; with others, as in `related-work`, it is a name of content.
+PLAIN = frozenset(
+    "area bar block body bottom box button card cell code col column container content desktop field fields group head "
+    "heading icon icons inline inner item items label left link links list main mobile module outer panel post posts right "
+    "row section slot small text title top unit view wrap wrapper".split()
+)
 #: Frequent words of some languages.
 STOP_WORDS = frozenset(
     "the of and to in a is that it was for on are as with his they at be this have from or had by not but what all "
@@ -90,12 +98,13 @@ class Block:
         self.words, self.stops = len(words), sum(map(STOP_WORDS.__contains__, words))
 
 
-def _marks(attributes: str) -> set[str]:
+def _marks(attributes: str, inside: bool) -> set[str]:
+    """Words that mark what isn't the article. inside: in an article only names of nothing but marks and plain words count."""
     found = set()
     for m in _ATTRIBUTE.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
             words = _WORD.findall(_HUMPS.sub(" ", name).lower())
-            if len(words) < 2 or words[0] not in _HAS:
+            if (len(words) < 2 or words[0] not in _HAS) and not (inside and any(w not in MARKS and w not in PLAIN for w in words)):
                 found.update(w for w in words if w in MARKS)
     return found
 
@@ -179,7 +188,7 @@ def blocks(page: str) -> list[Block]:
         article = name in ("article", "main")
         while article and stray:  # left open before the article
             pop()
-        marks = _marks(m[3]) if m[3] and name not in ("html", "body", "main") else set()
+        marks = _marks(m[3], inside > 0) if m[3] and name not in ("html", "body", "main") else set()
         hard = (name in SKIPPED) or (name == "header" and not inside)
         skip = hard or (bool(marks) and not (article and not inside and "comment" not in m[3].lower()))
         if block or skip:
