@@ -21,7 +21,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    edited = lines.remove_repeats(docs)
+    edited = lines.remove_repeats(docs, lines.chunks_and_runs)
     return edited.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -3,13 +3,15 @@
 import random
 import re
 import sys
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import corpus_pipeline
+import zstandard
 
-from tessella.llm import language, lines, packing
+from tessella.llm import language, packing
 
 from .cases import prose
+from .plain_lines import edited
 from .test_near import brute
 
 GERMAN = "der und die ist ein nicht wasser stein licht wolke papier wind salz norden sieben still offen rund brot haus schnell über grün".split()
@@ -35,30 +37,25 @@ def corpus():
     return rows, items
 
 
+def small(part, dictionary):
+    how = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, dict_size=len(dictionary), source_size=language.BLOCK, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(part)
+
+
 def plain_python(rows, items, spark, df):
-    judge = language.Classifier(language.learn(df.select("text", "lang")))
+    known = language.learn(df.select("text", "lang"))
     kept = []
     for i, t, _ in rows:
-        name, margin = judge(re.sub(r"[^a-zäöüß]+", " ", (t or "").lower()).strip())
-        if name != language.UNKNOWN and margin >= language.MARGIN:
+        plain = re.sub(r"[^a-zäöüß]+", " ", (t or "").lower()).strip().encode()
+        if not plain:
+            continue
+        sizes = sorted(sum(len(small(plain[a : a + language.BLOCK], d)) for a in range(0, len(plain), language.BLOCK)) for d in known.values())
+        if sizes[1] - sizes[0] >= language.MARGIN * sizes[1]:
             kept.append((i, t))
-    table = spark.createDataFrame(kept, "doc_id long, text string")
-    bounds = {r["doc_id"]: r["c"] for r in table.select("doc_id", lines.chunk_bounds(table["text"]).alias("c")).collect()}
-    count, first = Counter(), {}
-    for i, t in sorted(kept):
-        for c in bounds[i]:
-            piece = "\n".join(t.split("\n")[c["first"] : c["last"] + 1])
-            count[piece] += 1
-            first.setdefault(piece, (i, c["first"]))
-    edited = []
-    for i, t in kept:
-        own = t.split("\n")
-        for c in reversed(bounds[i]):
-            piece = "\n".join(own[c["first"] : c["last"] + 1])
-            if count[piece] > 1 and first[piece] != (i, c["first"]):
-                del own[c["first"] : c["last"] + 1]
-        edited.append((i, "\n".join(own)))
-    single = [(i, t) for i, t in edited if brute(edited)[i][0] == i]
+    edits = edited(kept)
+    edited_rows = [(i, edits[i]) for i, _ in kept]
+    single = [(i, t) for i, t in edited_rows if brute(edited_rows)[i][0] == i]
     word = lambda t: re.findall(r"[^\W_]+", t.lower())
     out = []
     for i, t in single:
