@@ -13,7 +13,9 @@ from ..functions.text import ALLOWED_EXTENSIONS, EXTRACTORS, basename, extension
 from ..operators import answer, cdc, listing, search, tables
 from ..operators.chunking import sentence_chunk_rows, window_chunks
 from ..operators.embedding import embed
+from ..operators.index import RERANK, VectorIndex
 from ..operators.metadata import payload, with_metadata
+from ..sources.scratch import scratch
 
 EXTENSIONS = ["pdf", "CSV", "docx", "doc", "xlsx", "txt", "md", "msg", "ppt", "pptx", "helm", "html", "TXT", ""]
 CHOSEN = ["src1", "src2", "src3"]
@@ -442,3 +444,42 @@ def embed_hashed(spark, sf):
     """Hashed vectors of all documents: places from 1 that aren't 0, negative ones with their sign, and the length."""
     signed = F.array_compact(F.transform("embedding", lambda v, i: F.when(v > 0, i + 1).when(v < 0, -1 - i)))
     return embed(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", signed.alias("signed_places"), F.round(search.norm(F.col("embedding")), 4).alias("length"))
+
+
+def _index(spark, sf, points: DataFrame, id: str) -> VectorIndex:
+    return VectorIndex.build(points, scratch(spark), id=id)
+
+
+@query(f"select doc_id, source, round(s, 6) as score, rank from {_top("source in ('src1', 'src2', 'src3')")}")
+def topk_indexed(spark, sf):
+    """One question against an index: all cells that can hold a hit, filtered before the limit."""
+    index = _index(spark, sf, _points(spark, sf), "doc_id")
+    hits = index.topk(_vector(spark, sf), search.ASK_K, probes=len(index.counts), rerank=RERANK, where="source in ('src1', 'src2', 'src3')")
+    return _shown(hits)
+
+
+@query(
+    f"""with q as (select vec_id as question_id, embedding from embeddings where vec_id % 20 = 0),
+    s as (select question_id, vec_id as id, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) as s from q, embeddings e)
+    select question_id, id, round(s, 6) as score, row_number() over (partition by question_id order by s desc, id) as rank from s
+    qualify row_number() over (partition by question_id order by s desc, id) <= {search.ASK_K}"""
+)
+def topk_bulk(spark, sf):
+    """Many questions at once: the exact nearest points of every vector whose id is divisible by 20."""
+    e = _t(spark, sf, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    found = _index(spark, sf, e, "vec_id").neighbours(asked, search.ASK_K, exact=True)
+    return found.select("question_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def index_recall(spark, sf):
+    """What probing finds of those neighbours (recall of at least 0.95 is wanted), and the share of the points that it reads."""
+    e = _t(spark, sf, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    index = _index(spark, sf, e, "vec_id")
+    true = index.neighbours(asked, search.ASK_K, exact=True).select("question_id", "id")
+    near = index.neighbours(asked, search.ASK_K).select("question_id", "id", F.lit(1).alias("hit"))
+    return true.join(near, ["question_id", "id"], "left").agg(
+        F.countDistinct("question_id").alias("questions"), (F.count("hit") / F.count("*")).alias("recall"), F.lit(index.probes).cast("long").alias("probes"), F.lit(len(index.counts)).cast("long").alias("cells"), F.lit(index.read_share()).alias("read_share")
+    )
