@@ -1,53 +1,114 @@
 """Small tables that are replaced as a whole: the state of copies, the metadata of files.
 
 Each version is a folder of its own, which is written in full before a pointer names it, so no
-path is overwritten while it is read and a crash leaves the version before.
+path is overwritten while it is read and a crash leaves the version before. Pointers are
+numbered files that are made and never changed: of two writers that read the same version one makes the next
+pointer, and the other finds it there and starts again from what that one wrote.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .cdc import META, STATE, upsert_metadata
 
-POINTER = "current"
+#: How often a writer that others overtake starts again.
+TRIES = 20
+
+
+class Pointers:
+    """The numbered pointers of a folder."""
+
+    def __init__(self, spark: SparkSession, path: str, prefix: str = "current"):
+        self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix
+        self.fs = self.at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        """What lies right under a folder; nothing if it isn't there."""
+        return [s.getPath().getName() for s in self.fs.listStatus(self.at(name))] if self.fs.exists(self.at(name)) else []
+
+    def text(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def make(self, name: str, value: str, over: bool = False) -> bool:
+        """Write a small file; False if it is there already, unless it may be written over."""
+        try:
+            out = self.fs.create(self.at(name), over)
+        except Exception as e:
+            if "already exists" in str(e) or "FileAlreadyExists" in str(e):
+                return False
+            raise
+        out.write(bytearray(value.encode()))
+        out.close()
+        return True
+
+    def last(self) -> tuple[int, str | None]:
+        """Number and value of the last pointer; (0, None) if there is none. One that is being written is empty and doesn't count."""
+        found = sorted((int(m[1]) for n in self.names() if (m := re.fullmatch(rf"{self.prefix}-(\d+)", n))), reverse=True)
+        for n in found:
+            if value := self.text(f"{self.prefix}-{n:012d}").strip():
+                return n, value
+        return 0, None
+
+    def swap(self, n: int, value: str) -> bool:
+        """Make the pointer after number n; False if somebody else has."""
+        return self.make(f"{self.prefix}-{n + 1:012d}", value)
+
+    def drop_before(self, n: int) -> None:
+        for name in self.names():
+            if (m := re.fullmatch(rf"{self.prefix}-(\d+)", name)) and int(m[1]) < n:
+                self.fs.delete(self.at(name), False)
 
 
 class Snapshot:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        self.pointers = Pointers(spark, path)
 
     def version(self) -> str | None:
-        if not self._fs.exists(self._at(POINTER)):
-            return None
-        return self.spark.read.text(f"{self.path}/{POINTER}").first()[0].strip()
+        return self.pointers.last()[1]
+
+    def _at(self, version: str | None) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
 
     def read(self) -> DataFrame:
         """The table; empty if there is no version yet."""
-        now = self.version()
-        return self.spark.createDataFrame([], self.schema) if now is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{now}")
+        return self._at(self.version())
 
-    def replace(self, df: DataFrame) -> None:
-        """df, which may read the version before, as the new version."""
-        name = f"v-{uuid.uuid4().hex}"
+    def update(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """change(the table) as the new version; again, from the newer one, if another writer was faster."""
         columns = [x.split(" ", 1)[0] for x in self.schema.split(", ")]
-        df.select(columns).write.parquet(f"{self.path}/{name}")
-        out = self._fs.create(self._at(POINTER), True)
-        out.write(bytearray(name.encode()))
-        out.close()
+        for _ in range(TRIES):
+            n, before = self.pointers.last()
+            name = f"v-{uuid.uuid4().hex}"
+            change(self._at(before)).select(columns).write.parquet(f"{self.path}/{name}")
+            if self.pointers.swap(n, name):
+                return
+            self.pointers.fs.delete(self.pointers.at(name), True)
+        raise RuntimeError(f"{TRIES} other writers were faster at {self.path}")
+
+    def replace(self, df: DataFrame) -> None:
+        """df as the new version, whatever the one before has."""
+        self.update(lambda _: df)
 
     def vacuum(self) -> None:
-        """Remove the versions that the pointer doesn't name."""
-        now = self.version()
-        for status in self._fs.listStatus(self._at("")) if now else []:
-            if (name := status.getPath().getName()).startswith("v-") and name != now:
-                self._fs.delete(status.getPath(), True)
+        """Remove the versions that the last pointer doesn't name."""
+        n, now = self.pointers.last()
+        for name in self.pointers.names() if now else []:
+            if name.startswith("v-") and name != now:
+                self.pointers.fs.delete(self.pointers.at(name), True)
+        self.pointers.drop_before(n)
 
 
 def copy_state(spark: SparkSession, path: str) -> Snapshot:
@@ -63,7 +124,7 @@ class MetadataTable(Snapshot):
 
     def upsert(self, rows: DataFrame) -> None:
         columns = [x.split(" ", 1)[0] for x in META.split(", ")]
-        self.replace(upsert_metadata(self.read(), rows.select(columns)))
+        self.update(lambda known: upsert_metadata(known, rows.select(columns)))
 
     def scan(self, where: str | None = None) -> DataFrame:
         return self.read() if where is None else self.read().where(where)
