@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .cdc import META, STATE, upsert_metadata
 
@@ -127,4 +128,6 @@ class MetadataTable(Snapshot):
         self.update(lambda known: upsert_metadata(known, rows.select(columns)))
 
     def scan(self, where: str | None = None) -> DataFrame:
-        return self.read() if where is None else self.read().where(where)
+        """The rows, also with the names that their readers know: file_name and path."""
+        rows = self.read().withColumns({"file_name": F.col("filename"), "path": F.col("uri")})
+        return rows if where is None else rows.where(where)

@@ -16,9 +16,10 @@ from ..operators.snapshot import MetadataTable, copy_state
 from ..operators.store import VectorTable
 from ..sources.extract import extract, pdf_table
 from ..sources.landing import keys_of
-from ..sources.objects import read_objects
+from ..sources.objects import list_objects, read_objects
 from ..sources.office import document_bytes, workbook_bytes
 from ..sources.scratch import scratch
+from .copies import copy_new
 from .queries import _CHANGED, _OBJECTS, _POINTS, _STATE, _listing, _objects, _points, _state, _t, query
 
 
@@ -104,6 +105,18 @@ def objects_read(spark, sf):
     return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("length").alias("listed"), F.sum(F.octet_length("content")).cast("long").alias("read"))
 
 
+@query("select source, sum(octet_length(encode(text)) + 1)::bigint as bytes, true as told, 0::bigint as again from documents where text is not null group by source")
+def copies_made(spark, sf):
+    """Files written a folder a source, copied by a job, and read at the target: their bytes, whether the job told what it copied, and what it copies a second time."""
+    source, target, state = scratch(spark), scratch(spark), scratch(spark)
+    _t(spark, sf, "documents").where("text is not null").select("text", "source").write.partitionBy("source").text(source)
+    first, second = copy_new(spark, source, target, state), copy_new(spark, source, target, state)
+    made = list_objects(spark, target)
+    told = made.count() == first["copied"] == first["state"] == second["state"] and "failed" not in first
+    found = made.where(basename(F.col("path")).startswith("part-"))
+    return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("length").alias("bytes"), F.lit(told).alias("told"), F.lit(second["copied"]).cast("long").alias("again"))
+
+
 @query(
     f"""select file_path, etag from (select *, 0 as gen from {_STATE} union all select *, 1 from {_CHANGED})
     qualify row_number() over (partition by file_path order by gen desc, etag desc) = 1"""

@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
-import shutil
-from collections.abc import Iterable
+import posixpath
+import re
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ALLOWED_EXTENSIONS, basename, extension
 
 
-def upload_files(paths: str | Iterable[str], root: str, bucket: str = "documents") -> list[dict]:
-    """Copy files to root/extension/name; what is missing, or has no or another extension, is skipped."""
+#: Bytes that a copy holds at a time.
+CHUNK = 8 << 20
+
+
+def upload_files(paths: str | Iterable[str], root: str, bucket: str = "documents", facts: list | None = None) -> list[dict]:
+    """Copy files to root/extension/name; what is missing, or has no or another extension, is skipped.
+
+    facts gets (key, length, modification time, MD5) of each file, taken as it is copied.
+    """
     out = []
     for p in [paths] if isinstance(paths, str) else paths:
         ext = os.path.splitext(p)[1].lstrip(".").lower()
@@ -24,47 +35,85 @@ def upload_files(paths: str | Iterable[str], root: str, bucket: str = "documents
         keep = f"{root}/{ext}/.keep"
         if not os.path.exists(keep):
             open(keep, "wb").close()
-        shutil.copyfile(p, f"{root}/{ext}/{name}")
+        with open(p, "rb") as source, open(f"{root}/{ext}/{name}", "wb") as target:
+            size, digest = _pour(source, target)
         out.append({"filename": name, "bucket": bucket, "key": f"{ext}/{name}", "status": "uploaded"})
+        if facts is not None:
+            facts.append((f"{ext}/{name}", size, datetime.fromtimestamp(os.stat(f"{root}/{ext}/{name}").st_mtime, timezone.utc), digest))
     return out
 
 
-def copy_changed(spark: SparkSession, changed: DataFrame, target: str) -> None:
-    """Write the content of changed (key, content) to target/key, task by task.
+def _pour(source, target) -> tuple[int, str]:
+    """Copy a stream by chunks; its length and MD5."""
+    digest, size = hashlib.md5(usedforsecurity=False), 0
+    while part := source.read(CHUNK):
+        target.write(part)
+        digest.update(part)
+        size += len(part)
+    return size, digest.hexdigest()
 
-    target is a folder that all executors mount, or a URI of a store that Arrow's file systems reach
-    (hdfs, s3, gs, file). A copy is written under another name and moved, so nobody reads half of
-    it; one that is tried again overwrites, so it is done at least once.
+
+def copy_files(files: DataFrame, target: str) -> DataFrame:
+    """Copy files (path, key, ...) to target/key, task by task; each row comes back with copied (bytes), md5 and error.
+
+    Paths and target are those of a folder that all executors mount, or URIs of a store that Arrow's file systems
+    reach (hdfs, s3, gs, file). Files of any length are poured through CHUNK bytes. A copy is written under
+    another name and moved, so nobody reads half of it; one that is tried again overwrites, so
+    it is done at least once. A file that can't be copied has an error, and null copied and md5.
     """
-    folder = target.replace("s3a://", "s3://", 1).rstrip("/")
+    folder = _uri(target)
+
+    def one(path: str, key: str) -> tuple[int, str]:
+        store, base = _place(folder)
+        end = f"{base}/{key}"
+        part = f"{end}.{os.getpid()}.part"
+        source, at = _place(_uri(path))
+        store.create_dir(os.path.dirname(end), recursive=True)
+        with source.open_input_stream(at, buffer_size=0) as f, store.open_output_stream(part) as out:
+            got = _pour(f, out)
+        store.move(part, end)
+        return got
 
-    def to_folder(rows) -> None:
-        for r in rows:
-            path = f"{folder}/{r['key']}"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            part = f"{path}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(r["content"])
-            os.replace(part, path)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = []
+            for path, key in zip(batch["path"], batch["key"], strict=True):
+                try:
+                    done.append((*one(path, key), None))
+                except Exception as e:
+                    done.append((None, None, f"{type(e).__name__}: {str(e)[:500]}"))
+            more = pd.DataFrame(done, columns=["copied", "md5", "error"]).astype({"copied": "Int64"})
+            yield pd.concat([batch.reset_index(drop=True), more], axis=1)
 
-    def to_store(rows) -> None:
-        from pyarrow.fs import FileSystem
+    schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes)
+    return files.mapInPandas(run, f"{schema}, copied long, md5 string, error string")
 
-        store, base = FileSystem.from_uri(folder)
-        for r in rows:
-            path = f"{base}/{r['key']}"
-            store.create_dir(os.path.dirname(path), recursive=True)
-            part = f"{path}.{os.getpid()}.part"
-            with store.open_output_stream(part) as f:
-                f.write(bytes(r["content"]))
-            store.move(part, path)
 
-    changed.select("key", "content").where("content is not null").foreachPartition(to_store if "://" in folder else to_folder)
+def _uri(path: str) -> str:
+    return re.sub("^file:(//)?(?=/)", "", path.replace("s3a://", "s3://", 1)).rstrip("/")
+
+
+def _place(path: str):
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+
+
+def below(name: str) -> str:
+    """name, if it is one of something below a folder; ValueError for one that leads out of it or isn't plain."""
+    if not name or name.startswith("/") or posixpath.normpath(name) != name or ".." in name.split("/") or name == "." or "\0" in name or re.match("[A-Za-z][A-Za-z0-9+.-]*:", name):
+        raise ValueError(f"not a name below the folder: {name!r}")
+    return name
 
 
 def put_objects(spark: SparkSession, files: dict[str, bytes], root: str) -> list[str]:
-    """Write named bytes below root, any path that Spark's file systems reach; what is there is replaced. Returns the paths."""
+    """Write named bytes below root, any path that Spark's file systems reach; what is there is replaced. Returns the paths.
+
+    A name that leads out of root is refused before anything is written.
+    """
     hadoop, out = spark._jvm.org.apache.hadoop.fs, []
+    for name in files:
+        below(name)
     for name, content in files.items():
         path = hadoop.Path(f"{root.rstrip('/')}/{name}")
         stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -128,5 +128,33 @@ def nonempty(objects: DataFrame) -> DataFrame:
     return objects.where(F.col("length") > 0)
 
 
+def list_objects(spark: SparkSession, path: str) -> DataFrame:
+    """All files under path, without content."""
+    return read_objects(spark, path, content=False).drop("content")
+
+
 def with_etag(objects: DataFrame) -> DataFrame:
+    """objects with `etag`, of their content, which has to be there."""
     return objects.withColumn("etag", F.md5("content"))
+
+
+def listed_etag() -> Column:
+    """The etag of a listed object, of its time of change and length, so that no byte is read."""
+    return F.concat_ws("-", F.hex(F.unix_micros("modificationTime")), F.hex("length"))
+
+
+def with_listed_etag(objects: DataFrame) -> DataFrame:
+    return objects.withColumn("etag", listed_etag())
+
+
+def relative(objects: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """objects with `key`, the path below root. A path that isn't below it fails the job."""
+    if _is_local(root):
+        start = re.sub("^file:(//)?", "", root).rstrip("/") + "/"
+    else:
+        spark = objects.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(root)
+        start = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/") + "/"
+    own = F.regexp_replace(path, "^file:(//)?(?=/)", "") if _is_local(root) else F.col(path)
+    cut = F.substr(own, F.lit(len(start) + 1))
+    return objects.withColumn("key", F.when(own.startswith(start), cut).otherwise(F.raise_error(F.concat(F.lit(f"not below {start}: "), own))))
