@@ -47,14 +47,19 @@ MOST_FAILED = 1000
 
 
 def ingest(spark: SparkSession, folder: str, table: VectorTable, **options) -> dict:
-    """Read a folder once, replace its files' points and return counts and dead letters.
+    """Read a folder once, replace its files' points and return counts and dead letters."""
+    return land(read_objects(spark, folder), table, **options)
+
+
+def land(objects: DataFrame, table: VectorTable, load: str | None = None, **options) -> dict:
+    """Replace the points of objects (path, length, content), read once, and return counts and dead letters.
 
     The units, and a row for each file, are written beside the table first; points, keys and
-    dead letters come from there.
+    dead letters come from there. The dead letters of a load replace those of an earlier try.
     """
+    spark = objects.sparkSession
     table.ensure()
     place = f"{table.path}/units-{uuid.uuid4().hex}"
-    objects = read_objects(spark, folder)
     files = extract(objects, mark=True)
     files.write.parquet(place)
     units = spark.read.schema(files.schema).parquet(place)
@@ -63,7 +68,7 @@ def ingest(spark: SparkSession, folder: str, table: VectorTable, **options) -> d
     failed = units.where("unit_kind = 'error'").select("object_key", "text")
     n = failed.count()
     if n:
-        failed.withColumn("batch_id", F.lit(batch)).write.mode("append").parquet(f"{table.path}/failed")
+        failed.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{table.path}/failed/load={load or batch}")
     out = {"points": table.stats()["vectors_count"], "failed": [r.asDict() for r in failed.orderBy("object_key").limit(MOST_FAILED).collect()], "n_failed": n}
     table.remove(place)
     return out

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import VectorTable
-from ..plans.ingest import points_of
-from ..sources.objects import SCHEMA
+from ..plans.ingest import land
+from ..sources.arrivals import arrivals
 
 
 def ingest_stream(spark: SparkSession, folder: str, table: VectorTable, checkpoint: str, **options) -> StreamingQuery:
-    """New files under folder become points; each batch replaces the points of its files.
+    """New and changed files under folder become points; each batch replaces the points of its files.
 
-    A batch that is tried again writes the same point ids and buries the earlier try, so the
-    table ends the same. Stops when all files that are there are read. The file stream leaves
-    out empty and hidden files; plans.ingest.ingest reads those too.
+    A batch that is tried again writes the same point ids and buries the earlier try, and its dead
+    letters replace those of that try, so the table ends the same. Stops when all files that are
+    there are read, hidden and empty ones too. Dead letters are in the folder `failed` of the table.
     """
 
-    def land(batch: DataFrame, _: int) -> None:
-        table.upsert(points_of(batch.select("path", "length", "content"), **options), keys=batch.select(F.col("path").alias("object_key")))
+    def one(batch: DataFrame, number: int) -> None:
+        land(batch, table, f"stream-{number}", **options)
 
-    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(folder)
-    return files.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = arrivals(spark, folder, f"{checkpoint.rstrip('/')}/admitted")
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_rates(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -1,0 +1,129 @@
+"""Streams of files and of changes: each version once, restarts, dead letters, late and repeated listings."""
+
+import datetime
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from tessella.operators.store import VectorTable
+from tessella.sources.arrivals import Admissions, arrivals, listed
+from tessella.streaming import changes as module
+from tessella.streaming.changes import changes, folded, known
+from tessella.streaming.ingest import ingest_stream
+
+
+def drain(df, out, checkpoint, fail_at=None):
+    """Append what comes to a table; fail_at: the batch that dies after it is written."""
+
+    def one(batch, n):
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n}")
+        if n == fail_at:
+            raise RuntimeError("lost")
+
+    q = df.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@pytest.fixture
+def folder(tmp_path):
+    for name, content in {"a.txt": b"one", "sub/b.txt": b"two", "sub/deep/_hidden.txt": b"three", ".dot": b"four", "empty.txt": b""}.items():
+        p = tmp_path / "in" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(content)
+    return tmp_path / "in"
+
+
+def test_each_version_once_over_restarts(spark, folder, tmp_path):
+    out, check, log = str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "log")
+    stream = lambda: arrivals(spark, str(folder), log, partitionBytes=5000)
+    read = lambda: sorted((os.path.relpath(r["path"], folder), bytes(r["content"])) for r in spark.read.parquet(out).collect())
+    first = [(".dot", b"four"), ("a.txt", b"one"), ("empty.txt", b""), ("sub/b.txt", b"two"), ("sub/deep/_hidden.txt", b"three")]
+    drain(stream(), out, check)
+    assert read() == first
+    drain(stream(), out, check)
+    assert read() == first
+    (folder / "a.txt").write_bytes(b"changed")
+    (folder / "new").mkdir()
+    (folder / "new/c").write_bytes(b"c")
+    os.utime(folder / "new/c", (1, 1))  # older than all that was read
+    with pytest.raises(Exception, match="lost"):
+        drain(stream(), out, check, fail_at=1)
+    (folder / "later").write_bytes(b"d")  # comes while the batch that died is open
+    drain(stream(), out, check)
+    drain(stream(), out, check)
+    assert read() == sorted([*first, ("a.txt", b"changed"), ("new/c", b"c"), ("later", b"d")])
+    replayed = [os.path.relpath(r["path"], folder) for r in spark.read.parquet(f"{out}/n=1").collect()]
+    assert sorted(replayed) == ["a.txt", "new/c"]
+
+
+def test_admissions_of_two_processes(folder, tmp_path):
+    one, two = Admissions(str(tmp_path / "log")), Admissions(str(tmp_path / "log"))
+    found = listed(str(folder))
+    assert len(found) == 5 and one.admit(found[:3]) == 1 and two.admit(found) == 2 and one.admit(found) == 2
+    assert [len(one.files(a, b)) for a, b in ((0, 1), (1, 2), (0, 2), (2, 2))] == [3, 2, 5, 0]
+    path, changed, size = found[0]
+    assert one.admit([(path, changed + 1, size)]) == 3 and two.last() == 3 and two.known == one.known
+
+
+def test_a_file_that_went_is_a_row_without_content(spark, folder, tmp_path):
+    log = Admissions(str(tmp_path / "log"))
+    log.admit([*listed(str(folder)), (str(folder / "went.txt"), 1, 7)])
+    drain(arrivals(spark, str(folder), str(tmp_path / "log"), maxLength=4), str(tmp_path / "out"), str(tmp_path / "check"))
+    rows = {os.path.basename(r["path"]): (r["length"], r["content"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows["went.txt"] == (7, None) and rows["_hidden.txt"] == (5, None) and rows["a.txt"] == (3, b"one")
+
+
+def test_ingest_stream_keeps_dead_letters_and_hidden_files(spark, folder, tmp_path):
+    table = VectorTable(spark, str(tmp_path / "store"))
+    (folder / "bad.html").write_bytes(b"<p>")
+    for _ in range(2):
+        ingest_stream(spark, str(folder), table, str(tmp_path / "check")).awaitTermination()
+    assert {r["source"] for r in table.live().select("source").collect()} == {"a.txt", "b.txt", "_hidden.txt"}
+    failed = spark.read.parquet(f"{table.path}/failed").collect()
+    assert sorted(os.path.basename(r["object_key"]) for r in failed) == [".dot", "bad.html"] and {r["load"] for r in failed} == {"stream-0"}
+    (folder / "a.txt").write_bytes(b"")  # a file that has become empty has no points
+    ingest_stream(spark, str(folder), table, str(tmp_path / "check")).awaitTermination()
+    assert {r["source"] for r in table.live().select("source").collect()} == {"b.txt", "_hidden.txt"}
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError, match="providerClass"):
+        changes(spark.readStream.format("rate").load().selectExpr("'a' file_path", "'e' etag", "timestamp listed_at"), datetime.timedelta(hours=1))
+    spark.conf.set(key, module.ROCKSDB)
+    yield spark
+    spark.conf.set(key, before)
+
+
+def test_stream_and_batch_know_the_same(rocks, tmp_path):
+    spark, draw, day = rocks, random.Random(4), datetime.datetime(2024, 1, 1)
+    rows = [(f"f{i}", f"e{draw.randrange(3)}", day + datetime.timedelta(minutes=draw.randrange(300))) for _ in range(40) for i in range(12)]
+    rows += rows[:50] + [("f1", "z", rows[1][2]), ("f1", None, rows[1][2]), (None, "e", day), ("f2", "e", None)]
+    schema, source, out, check = "file_path string, etag string, listed_at timestamp", tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    draw.shuffle(rows)
+    for k in range(0, len(rows), 150):
+        spark.createDataFrame(rows[k : k + 150], schema).coalesce(1).write.mode("append").parquet(str(source))
+        drain(changes(spark.readStream.schema(schema).parquet(str(source)), datetime.timedelta(days=9), "1 day"), out, check)
+    found = spark.read.parquet(out)
+    batch = known(spark.read.schema(schema).parquet(str(source)))
+    as_rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert as_rows(folded(found)) == as_rows(batch) and batch.count() == 12
+    kinds = [r["change"] for r in found.where("file_path = 'f3'").collect()]
+    assert kinds.count("new") == 1 and set(kinds) <= {"new", "changed"}
+
+
+def test_files_that_no_listing_names_are_gone(rocks, tmp_path):
+    spark, day = rocks, datetime.datetime(2024, 1, 1)
+    at = lambda h: day + datetime.timedelta(hours=h)
+    schema, source, out, check = "file_path string, etag string, listed_at timestamp", tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    listings = [[("a", "1", at(0)), ("b", "1", at(0))], [("a", "1", at(3))], [("a", "2", at(6))], [("a", "2", at(9))], [("b", "1", at(12)), ("a", "2", at(12))], [("a", "2", at(13)), ("b", "1", at(13))]]
+    for own in listings:
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(source))
+        drain(changes(spark.readStream.schema(schema).parquet(str(source)), datetime.timedelta(hours=4), "0 minutes"), out, check)
+    found = [(r["file_path"], r["etag"], r["change"], r["listed_at"]) for r in spark.read.parquet(out).orderBy("listed_at", "file_path", "change").collect()]
+    assert [f for f in found if f[0] == "b"] == [("b", "1", "gone", at(0)), ("b", "1", "new", at(0)), ("b", "1", "new", at(12))]
+    assert [f for f in found if f[0] == "a"] == [("a", "1", "new", at(0)), ("a", "2", "changed", at(6))]
+    assert sorted(tuple(r) for r in folded(spark.read.parquet(out)).collect()) == [("a", "2"), ("b", "1")]
