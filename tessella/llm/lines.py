@@ -10,9 +10,9 @@ wherever chunks end: from each line the fewest lines onwards, and the fewest lin
 have so many words are spans too, and those spans that lie in a run cover all its lines. Where
 an occurrence overlaps the first one in the same text, only the lines beyond that go.
 
-Hashes only propose: spans are also grouped by the SHA-256 of their bytes, and a hash whose
-spans are not all equal removes nothing. Both groupings combine before they shuffle, so neither
-a frequent span nor a group of copies gathers in one task; what a span decides reaches its
+Hashes only propose: a second pass takes the bytes of the spans whose hash occurs again, and a hash
+whose spans' bytes are not all equal removes nothing. Both groupings combine before they shuffle, so
+neither a frequent span nor a group of copies gathers in one task; what a span decides reaches its
 occurrences through a salted join.
 
 Cases: a null text stays null, an empty one empty; rows that repeat both doc_id and text are one
@@ -100,19 +100,33 @@ def chunks_and_runs(text: Column) -> Column:
     return F.concat(F.transform(chunk_bounds(text), lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"))), run_bounds(text))
 
 
+#: Hashes of repeated spans that may be broadcast: some 60 MB.
+SMALL_HASHES = 2_000_000
+
+
 def repeated_spans(docs: DataFrame, bounds: Callable[[Column], Column] = chunk_bounds) -> DataFrame:
     """doc_id, _text, first, last of spans to remove; _text is the hash of the text."""
 
-    def compared(lines: Column) -> Column:
-        piece = lambda s: F.array_join(_part(lines, s["first"], s["last"]), "\n")
-        return F.transform(bounds(F.col("text")), lambda s: let(piece(s), lambda b: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(b).alias("hash"), F.when(b.rlike(r"[\p{L}\p{N}]"), F.unhex(F.sha2(b, 256))).alias("bytes"))))
-
-    named = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")  # a column of its own first: beside inline() it would be computed, and the text carried, for each span
-    found = named.select("doc_id", "_text", F.inline(let(_lines(F.col("text")), compared))).where("bytes is not null")
-    places = written(found.distinct())
-    equal = places.groupBy("hash", "bytes").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts = 1 and n > 1").select("hash")
-    firsts = places.groupBy("hash").agg(F.min(F.struct("doc_id", "_text", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("hash", "kept").join(equal, "hash", "left_semi")
-    hit = lookup(places.drop("bytes"), firsts, ["hash"], ["doc_id", "_text", "first"], "inner")
+    def spans(fields: Callable[[Column, Column], list[Column]]) -> DataFrame:
+        """A row per span with a letter or digit; fields(span, its bytes)."""
+
+        def of(lines: Column) -> Column:
+            piece = lambda s: F.array_join(_part(lines, s["first"], s["last"]), "\n")
+            return F.transform(bounds(F.col("text")), lambda s: let(piece(s), lambda b: F.when(b.rlike(r"[\p{L}\p{N}]"), F.struct(F.xxhash64(b).alias("hash"), *fields(s, b)))))
+
+        named = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")  # a column of its own first: beside inline() it would be computed, and the text carried, for each span
+        return named.select("doc_id", "_text", F.inline(F.array_compact(let(_lines(F.col("text")), of))))
+
+    places = written(spans(lambda s, _: [s["first"].alias("first"), s["last"].alias("last")]).distinct())
+    firsts = places.groupBy("hash").agg(F.min(F.struct("doc_id", "_text", "first")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("hash", "kept")
+    firsts = written(firsts)
+    again = firsts.select("hash")
+    again = F.broadcast(again) if again.count() <= SMALL_HASHES else again
+    # the bytes of repeated spans, once a task, and the hashes that stand for several
+    bytes_of = spans(lambda _, b: [b.alias("bytes")]).select("hash", "bytes").join(again, "hash", "left_semi").distinct()
+    mixed = bytes_of.groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1").select("hash")
+    equal = firsts.join(mixed, "hash", "left_anti")
+    hit = lookup(places, equal, ["hash"], ["doc_id", "_text", "first"], "inner")
     again = hit.where(~F.struct("doc_id", "_text", "first").eqNullSafe(F.col("kept")))
     own = F.struct("doc_id", "_text").eqNullSafe(F.struct("kept.doc_id", "kept._text"))
     beyond = F.when(own, F.greatest(F.col("first"), F.col("kept.first") + F.col("last") - F.col("first") + 1)).otherwise(F.col("first"))

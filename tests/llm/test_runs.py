@@ -101,3 +101,22 @@ def test_kept_lines_of_overlapping_drops(spark):
     df = spark.createDataFrame(rows, "i int, lines array<string>, drops array<struct<first:int,last:int>>")
     got = {r["i"]: r["k"] for r in df.select("i", lines._kept(F.col("lines"), F.col("drops")).alias("k")).collect()}
     assert got == {i: [x for k, x in enumerate(own) if not any(a <= k <= b for a, b in drops)] for i, own, drops in rows}
+
+
+def test_hashes_only_propose(spark, monkeypatch):
+    """With a hash that is the same for many spans, only those of equal bytes would go; a hash that stands for several removes nothing."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one\n" + "a " * 60), (2, "two\n" + "a " * 60), (3, "three\n" + "b " * 60), (4, "four\n" + "b " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds = lambda t: F.array(F.struct(F.lit(1).alias("first"), F.lit(1).alias("last")))
+    real = F.xxhash64
+    got = lambda: {r["doc_id"]: r["lines_removed"] for r in lines.remove_repeats(df, bounds).collect()}
+    assert got() == {1: 0, 2: 1, 3: 0, 4: 1}
+    monkeypatch.setattr(lines.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 and not isinstance(c[0], str) else real(*c))
+    assert got() == {1: 0, 2: 0, 3: 0, 4: 0}
+    monkeypatch.setattr(lines, "SMALL_HASHES", 0)
+    assert got() == {1: 0, 2: 0, 3: 0, 4: 0}
+    monkeypatch.undo()
+    monkeypatch.setattr(lines, "SMALL_HASHES", 0)
+    assert got() == {1: 0, 2: 1, 3: 0, 4: 1}
