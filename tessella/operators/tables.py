@@ -33,10 +33,12 @@ def filled_cells(files: DataFrame, id: str = "path", text: str = "text", delimit
     """(id, table_no, row_no, col_no, value) of the columns that have a value somewhere in their table; no shuffle."""
     split = F.transform("_lines", lambda x: F.split(x, delimiter))
     width = F.array_max(F.transform("_rows", lambda r: F.size(r)))
-    keep = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists("_rows", lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
-    found = files.select(id, F.posexplode(tables_of(F.col(text))).alias("table_no", "_lines")).select(id, "table_no", split.alias("_rows")).withColumn("_keep", keep)
-    rows = found.select(id, "table_no", "_keep", F.posexplode("_rows").alias("row_no", "_row"))
-    return rows.select(id, "table_no", "row_no", "_row", F.explode("_keep").alias("col_no")).where(F.col("col_no") < F.size("_row")).select(id, "table_no", "row_no", "col_no", F.nullif(F.get("_row", "col_no"), F.lit("")).alias("value"))
+    bare = F.filter(F.sequence(F.lit(0), width - 1), lambda i: ~F.exists("_rows", lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+    found = files.select(id, F.posexplode(tables_of(F.col(text))).alias("table_no", "_lines")).select(id, "table_no", split.alias("_rows"))
+    found = found.withColumn("_bare", bare).withColumn("_bare", F.when(F.size("_bare") > 0, F.col("_bare")))  # mostly null, so that cells carry nothing
+    cells = found.select(id, "table_no", "_bare", F.posexplode("_rows").alias("row_no", "_row")).select(id, "table_no", "row_no", "_bare", F.posexplode("_row").alias("col_no", "_value"))
+    kept = cells.where(F.col("_bare").isNull() | ~F.array_contains("_bare", F.col("col_no")))
+    return kept.select(id, "table_no", "row_no", "col_no", F.nullif("_value", F.lit("")).alias("value"))
 
 
 def joined_cells(cells: Column, mark: str = " | ") -> Column:

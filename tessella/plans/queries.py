@@ -16,6 +16,7 @@ from ..operators.embedding import embed
 from ..operators.index import RERANK, VectorIndex
 from ..operators.metadata import payload, with_metadata
 from ..sources.scratch import scratch
+from ..sources.spread import spread
 
 EXTENSIONS = ["pdf", "CSV", "docx", "doc", "xlsx", "txt", "md", "msg", "ppt", "pptx", "helm", "html", "TXT", ""]
 CHOSEN = ["src1", "src2", "src3"]
@@ -39,6 +40,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents, for what works on whole texts."""
+    return spread(_t(spark, sf, "documents"))
+
+
 def _objects(spark: SparkSession, sf: str) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
     path = F.concat(F.col("source"), F.lit("/Doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
@@ -158,7 +164,7 @@ _CHUNKS = r"""(with w as (select doc_id, source, list_filter(string_split_regex(
 
 
 def _chunks(spark, sf):
-    return window_chunks(_t(spark, sf, "documents").select("doc_id", "source", "text"))
+    return window_chunks(_texts(spark, sf).select("doc_id", "source", "text"))
 
 
 @query(f"select doc_id, chunk_idx, text from {_CHUNKS}")
@@ -200,7 +206,7 @@ _ISLANDS = r"""(with l as (select doc_id, unnest(string_split(t, chr(10))) as li
 
 
 def _islands(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), "source", F.lit(","), "lang").alias("text"))
+    d = _texts(spark, sf).select("doc_id", F.concat("text", F.lit("\n\n"), "source", F.lit(","), "lang").alias("text"))
     return tables.islands(d, "doc_id")
 
 
@@ -216,7 +222,7 @@ def csv_islands(spark, sf):
     select n.* from n join f using (doc_id, table_no, col_no)"""
 )
 def drop_null_cols(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), "source", F.lit(","), "lang").alias("text"))
+    d = _texts(spark, sf).select("doc_id", F.concat("text", F.lit("\n\n"), "source", F.lit(","), "lang").alias("text"))
     return tables.filled_cells(d, "doc_id").select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("table_no", "row_no", "col_no")], "value")
 
 
@@ -428,7 +434,7 @@ _STRIP = rf"'^[{_SP}]+|[{_SP}]+$', '', 'g'"
 )
 def sentence_chunks(spark, sf):
     """Sentence chunks of all documents."""
-    rows = sentence_chunk_rows(_t(spark, sf, "documents").select("doc_id", "text"))
+    rows = sentence_chunk_rows(_texts(spark, sf).select("doc_id", "text"))
     return rows.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_idx", "n_chunks")], "text")
 
 
@@ -443,7 +449,7 @@ def sentence_chunks(spark, sf):
 def embed_hashed(spark, sf):
     """Hashed vectors of all documents: places from 1 that aren't 0, negative ones with their sign, and the length."""
     signed = F.array_compact(F.transform("embedding", lambda v, i: F.when(v > 0, i + 1).when(v < 0, -1 - i)))
-    return embed(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", signed.alias("signed_places"), F.round(search.norm(F.col("embedding")), 4).alias("length"))
+    return embed(_texts(spark, sf).select("doc_id", "text")).select("doc_id", signed.alias("signed_places"), F.round(search.norm(F.col("embedding")), 4).alias("length"))
 
 
 def _index(spark, sf, points: DataFrame, id: str) -> VectorIndex:
