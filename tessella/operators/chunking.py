@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sentences import Boundaries
+
 #: Tokens of a chunk, and of it those shared with the chunk before.
 CHUNK_SIZE = 550
 CHUNK_OVERLAP = 100
@@ -43,20 +45,20 @@ def count_words(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text))
 
 
-def split_text(text: str, size: int, count: Callable[[str], int]) -> list[str]:
-    """Parts of at most size tokens: by paragraph, sentence, clause, word, and at last character."""
+def split_text(text: str, size: int, count: Callable[[str], int], ends: Callable[[str], list[int]] | None = None) -> list[str]:
+    """Parts of at most size tokens: by paragraph, sentence, clause, word, and at last character. ends: where sentences end, if not at every stop."""
     if count(text) <= size:
         return [text]
     for cut in (
         lambda t: [x for x in _PARAGRAPH.split(t) if x],
-        lambda t: [x for x in _STOP.split(t) if x],
+        lambda t: [x for x in _STOP.split(t) if x] if ends is None else [t[a:b] for a, b in zip([0, *ends(t)], [*ends(t), len(t)], strict=True) if b > a],
         _SENTENCE.findall,
         _SPACED.findall,
         list,
     ):
         parts = cut(text)
         if len(parts) > 1:
-            return [y for x in parts for y in split_text(x, size, count)]
+            return [y for x in parts for y in split_text(x, size, count, ends)]
     return [text]
 
 
@@ -98,17 +100,19 @@ class _Counted:
         return self.before[b] - self.before[a] + (1 if 0 < a < b and self.inside[a] and self.inside[a - 1] else 0)
 
 
-def _cuts(text: str, a: int, b: int, level: int) -> list[int]:
+def _cuts(text: str, a: int, b: int, level: int, ends: Callable[[str], list[int]] | None = None) -> list[int]:
     """Where split_text() cuts text[a:b] at a level, a and b included."""
     if level < 2:
         part = text[a:b]  # a part of its own, as the patterns look around
+        if level and ends:
+            return [a, *(a + e for e in ends(part) if 0 < e < b - a), b]
         return [a, *(a + m.start() for m in (_PARAGRAPH, _STOP)[level].finditer(part) if 0 < m.start() < b - a), b]
     if level < 4:
         return [a, *(m.end() for m in (_SENTENCE, _SPACED)[level - 2].finditer(text, a, b))]
     return list(range(a, b + 1))
 
 
-def _counted_parts(text: str, size: int) -> Iterator[tuple[str, int]]:
+def _counted_parts(text: str, size: int, ends: Callable[[str], list[int]] | None = None) -> Iterator[tuple[str, int]]:
     """The parts of split_text() with their counts, for count_words."""
     count = _Counted(text)
     if count.total <= size:
@@ -118,7 +122,7 @@ def _counted_parts(text: str, size: int) -> Iterator[tuple[str, int]]:
     def parts(a: int, b: int) -> Iterator[tuple[str, int]]:
         if (n := count(a, b)) > size:
             for level in range(5):
-                if len(at := _cuts(text, a, b, level)) > 2:
+                if len(at := _cuts(text, a, b, level, ends)) > 2:
                     for x, y in zip(at, at[1:], strict=False):
                         yield from parts(x, y)
                     return
@@ -127,10 +131,10 @@ def _counted_parts(text: str, size: int) -> Iterator[tuple[str, int]]:
     yield from parts(0, len(text))
 
 
-def sentence_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, count: Callable[[str], int] = count_words) -> list[str]:
+def sentence_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, count: Callable[[str], int] = count_words, ends: Callable[[str], list[int]] | None = None) -> list[str]:
     """Parts merged greedily up to size; each chunk begins with the last parts of the one before, up to overlap tokens."""
     chunks, held, total, fresh = [], [], 0, False
-    counted = _counted_parts(text, size) if count is count_words and text else ((p, count(p)) for p in split_text(text, size, count))
+    counted = _counted_parts(text, size, ends) if count is count_words and text else ((p, count(p)) for p in split_text(text, size, count, ends))
     for part, n in counted:
         if held and total + n > size and fresh:
             chunks.append("".join(p for p, _ in held).strip())
@@ -149,13 +153,14 @@ def sentence_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return [c for c in chunks if c]
 
 
-def sentence_chunk_rows(units: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, count: Callable[[str], int] = count_words, text: str = "text") -> DataFrame:
-    """units with chunk_idx, n_chunks and the chunk as text; one Arrow-batched pass."""
+def sentence_chunk_rows(units: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, count: Callable[[str], int] = count_words, text: str = "text", model: Boundaries | None = None) -> DataFrame:
+    """units with chunk_idx, n_chunks and the chunk as text; one Arrow-batched pass. model: learned ends of sentences, instead of every stop."""
+    sent = units.sparkSession.sparkContext.broadcast(model) if model else None
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: sentence_chunks(t or "", size, overlap, count))
+            yield batch.map(lambda t: sentence_chunks(t or "", size, overlap, count, sent.value.ends if sent else None))
 
     chunks: Column = cut(F.col(text))
     whole = units.withColumn("_chunks", chunks).withColumn("n_chunks", F.size("_chunks"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ALLOWED_EXTENSIONS, EXTRACTORS, basename, extension, extractor, figure_page, is_blank, object_key, row_range
-from ..operators import answer, cdc, listing, search, tables
+from ..operators import answer, cdc, listing, search, sentences, tables
 from ..operators.chunking import sentence_chunk_rows, window_chunks
 from ..operators.embedding import embed
 from ..operators.index import RERANK, VectorIndex
@@ -489,3 +489,31 @@ def index_recall(spark, sf):
     return true.join(near, ["question_id", "id"], "left").agg(
         F.countDistinct("question_id").alias("questions"), (F.count("hit") / F.count("*")).alias("recall"), F.lit(index.probes).cast("long").alias("probes"), F.lit(len(index.counts)).cast("long").alias("cells"), F.lit(index.read_share()).alias("read_share")
     )
+
+
+_OPEN, _CLOSE = sentences._OPENING.replace("'", "''"), sentences._CLOSING.replace("'", "''")
+
+
+@query(
+    rf"""with c as (select coalesce(lang, '') as lang, unnest(list_filter(list_transform(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'),
+      lambda x: regexp_replace(regexp_replace(x, '^[{_OPEN}]+', ''), '[{_CLOSE},;:]+$', '')), lambda x: x <> '')) as core from documents),
+    p as (select lang, core, lower(regexp_replace(core, '[.!?…]+$', '')) as plain from c),
+    t as (select lang, case when regexp_full_match(plain, '{sentences._NUMBER}') then '{sentences.NUMBER}' else plain end as type, regexp_matches(core, '(^|[^.])\.$') as period from p),
+    n as (select lang, type, count(*) as n, count(*) filter (period) as k from t where type <> '' group by all),
+    a as (select lang, sum(k) / sum(n) as p from n group by lang),
+    s as (select n.*, p, length(type) - length(replace(type, '.', '')) as inside from n join a using (lang) where k > 0),
+    ll as (select *, -2 * (k * ln(greatest(p, 1e-12)) + (n - k) * ln(greatest(1 - p, 1e-12)) - k * ln(0.99) - (n - k) * ln(0.01)) as ll, length(type) - inside as size from s)
+    select lang, type, n, k as n_period, case when regexp_matches(type, '\p{{L}}') then ll * exp(-size) * (inside + 1) * pow(greatest(size, 1)::double, -(n - k)) else 0 end >= {sentences.ABBREVIATION} as abbreviation,
+      case when regexp_matches(type, '\p{{L}}') then round(ll * exp(-size) * (inside + 1) * pow(greatest(size, 1)::double, -(n - k)), 4) else 0 end + 0.0::double as score from ll"""
+)
+def boundary_types(spark, sf):
+    """The words that stand with a period, and how much like an abbreviation each is, by language."""
+    types = sentences.tables(_texts(spark, sf), by=F.col("lang"))["types"]
+    return types.select("lang", "type", "n", "n_period", (F.col("score") >= sentences.ABBREVIATION).alias("abbreviation"), (F.round("score", 4) + F.lit(0.0)).alias("score"))  # no zero below zero
+
+
+@query()
+def sentences_learned(spark, sf):
+    """Sentences of all documents, by the boundaries that they teach."""
+    d = _texts(spark, sf).select("doc_id", "text", "lang")
+    return sentences.sentences(d, sentences.learn(d, by=F.col("lang")), by=F.col("lang")).select("doc_id", "sentence_no", "text")
