@@ -23,9 +23,9 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"^.+\.([^.]+)$", 1))
 
 
-def extractor(path: Column) -> Column:
+def extractor(path: Column, routes: dict[str, str] = EXTRACTORS) -> Column:
     """The extractor's name; null if no extractor reads such files."""
-    table = F.create_map(*[F.lit(x) for pair in EXTRACTORS.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
     return F.element_at(table, extension(path))
 
 

@@ -18,6 +18,7 @@ from ..sources.extract import extract, pdf_table
 from ..sources.landing import keys_of
 from ..sources.objects import list_objects, read_objects
 from ..sources.office import document_bytes, workbook_bytes
+from ..sources.registry import Extractors
 from ..sources.scratch import scratch
 from .copies import copy_new
 from .queries import _CHANGED, _OBJECTS, _POINTS, _STATE, _listing, _objects, _points, _state, _t, query
@@ -77,6 +78,18 @@ def extract_xlsx(spark, sf):
     return _units(made, "xlsx", F.col("content")).select("doc_id", "sheet_name", "headers", "text")
 
 
+@query(
+    """select doc_id, 'Sheet' as sheet_name, 0::bigint as row_no, ['doc', 'source', 'chars'] as cells from documents
+    union all select doc_id, 'Sheet', 1, [doc_id::varchar, source, n_chars::varchar] from documents"""
+)
+def sheet_cells(spark, sf):
+    """Rows of worksheets, by a table function in SQL."""
+    d = _t(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    made = _made(d, lambda r: workbook_bytes({"Sheet": [["doc", "source", "chars"], [r.doc_id, r.source, r.n_chars]]}))
+    Extractors().register(spark)
+    return spark.sql("select f.doc_id, s.sheet_name, cast(s.row_no as bigint) as row_no, s.cells from {files} f, lateral sheet_rows(f.content) s", files=made)
+
+
 @query("select doc_id, source || chr(10) || 'Size' || chr(10) || lang || ' | ' || n_chars as text from documents")
 def extract_docx(spark, sf):
     """Paragraphs, then table rows; blank ones go."""

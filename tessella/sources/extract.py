@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extractor
+from ..functions.text import EXTRACTORS, extractor
 from ..operators.tables import row_json
 
 UNITS = (
@@ -256,14 +256,17 @@ READERS = {"TXT": read_text, "CSV": read_csv, "XLSX": read_xlsx, "DOCX": read_do
 EMPTY_OK = frozenset(("TXT", "CSV", "XLSX", "PDF"))
 
 
-def extract(objects: DataFrame, mark: bool = False) -> DataFrame:
+def extract(objects: DataFrame, mark: bool = False, readers: dict | None = None, routes: dict[str, str] | None = None, empty_ok: frozenset = EMPTY_OK) -> DataFrame:
     """Units of objects (path, length, content). Files without an extractor become error rows.
 
+    readers, routes: the reader of each extractor and the extractor of each extension, if others than those here (sources.registry).
+
     Empty files are filtered before Python sees them, as Spark can't push filters through it.
     mark: a row of unit_kind `file` for each file too, so one pass tells which were there; then empty files go through Python.
     """
-    empty = (F.col("length") == 0) & F.coalesce(F.col("extractor").isin(*EMPTY_OK), F.lit(False))
-    routed = objects.withColumn("extractor", extractor(F.col("path")))
+    empty = (F.col("length") == 0) & F.coalesce(F.col("extractor").isin(*empty_ok), F.lit(False))
+    readers = readers or READERS
+    routed = objects.withColumn("extractor", extractor(F.col("path"), routes or EXTRACTORS))
     routed = routed.withColumn("extractor", F.when(empty, "none").otherwise(F.col("extractor"))) if mark else routed.where(~empty)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,12 +277,12 @@ def extract(objects: DataFrame, mark: bool = False) -> DataFrame:
                 try:
                     if kind == "none":
                         pass
-                    elif kind not in READERS:
+                    elif kind not in readers:
                         raise ValueError(f"no extractor for {source}")
                     elif content is None:
                         raise ValueError("the file is too long to read")
                     else:
-                        rows = list(READERS[kind](source, bytes(content)))
+                        rows = list(readers[kind](source, bytes(content)))
                 except Exception as e:  # a dead letter
                     rows = [{"unit_kind": "error", "unit_idx": 0, "text": f"{type(e).__name__}: {e}"}]
                 if mark:

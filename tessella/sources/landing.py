@@ -89,6 +89,28 @@ def copy_files(files: DataFrame, target: str) -> DataFrame:
     return files.mapInPandas(run, f"{schema}, copied long, md5 string, error string")
 
 
+def copy_changed(spark: SparkSession, changed: DataFrame, target: str) -> None:
+    """Write the content of changed (key, content) to target/key, task by task, for rows that have it already; null content fails the job.
+
+    copy_files() copies files that aren't rows. The same holds of targets and of copies tried again.
+    """
+    folder = _uri(target)
+
+    def run(rows) -> None:
+        for r in rows:
+            if r["content"] is None:
+                raise ValueError(f"no content to copy: {r['key']}")
+            store, base = _place(folder)
+            end = f"{base}/{r['key']}"
+            part = f"{end}.{os.getpid()}.part"
+            store.create_dir(os.path.dirname(end), recursive=True)
+            with store.open_output_stream(part) as out:
+                out.write(bytes(r["content"]))
+            store.move(part, end)
+
+    changed.select("key", "content").foreachPartition(run)
+
+
 def _uri(path: str) -> str:
     return re.sub("^file:(//)?(?=/)", "", path.replace("s3a://", "s3://", 1)).rstrip("/")
 
