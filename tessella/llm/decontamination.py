@@ -113,17 +113,41 @@ def _in_blocks(own: DataFrame, parts: DataFrame, keys: list[str], blocks: int) -
     return out
 
 
-def _shuffled(own: DataFrame, hashed: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
-    text = F.xxhash64("h").alias("text_hash")
-    seeds = own.select(text, "at", "mask", "seed", _before(F.col("h"), F.col("at")).alias("before")).distinct()
-    hits = seeds.join(_seeds_of(parts), ["mask", "seed"])
+#: Longs of the filter of item seeds, which all tasks know: some 30 MB with 67 million bits, however many the items are.
+FILTER_SLOTS = 1 << 20
+
+
+def _place(seeds: DataFrame, slots: int) -> DataFrame:
+    """seeds with the slot and the bit of the filter that theirs is."""
+    own = F.xxhash64("mask", "seed")
+    return seeds.withColumns({"slot": F.pmod(own, F.lit(slots)), "bit": F.expr("shiftleft(1L, cast(pmod(xxhash64(seed, mask), 64) as int))")})
+
+
+def _maybe(seeds: DataFrame, items: DataFrame, slots: int) -> DataFrame:
+    """seeds without most of those that no item has, before anything is shuffled."""
+    known = _place(items.select("mask", "seed"), slots).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    placed = _place(seeds, slots).join(F.broadcast(known), "slot")  # slots rows at most
+    return placed.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("slot", "bit", "bits")
+
+
+def _shuffled(hashed: DataFrame, parts: DataFrame, keys: list[str], slots: int = FILTER_SLOTS) -> DataFrame:
+    named = hashed.select(*keys, "h", F.xxhash64("h").alias("text_hash"))  # once a text, not once a word
+    item_seeds = written(_seeds_of(parts))
+    seeds = _maybe(_placed(named), item_seeds, slots)
+    seeds = seeds.select("text_hash", "at", "mask", "seed", _before(F.col("h"), F.col("at")).alias("before")).distinct()
+    hits = seeds.join(item_seeds, ["mask", "seed"])
     hits = written(hits.where(F.col("item_before").isNull() | ~F.col("item_before").eqNullSafe(F.col("before"))).select("text_hash", "segment", "at", "item_at").distinct())
-    named = hashed.select(*keys, "h", text)
     texts = named.join(hits.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.any_value("h").alias("h"))
     found = written(_verified(hits.join(texts, "text_hash").join(parts, "segment"), ["text_hash"]))
     return named.drop("h").join(found, "text_hash").drop("text_hash")
 
 
+def _placed(hashed: DataFrame) -> DataFrame:
+    """A row per word and mask: at, mask, seed."""
+    at = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - _LEAST)).alias("at"))
+    return at.select("*", F.inline(_seeds(F.col("h"), F.col("at")))).where("seed is not null")
+
+
 def _short(hashed: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame | None:
     """The rows of items of fewer than SPAN words; null if there are none."""
     named = items.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h").between(SHORT, SPAN - 1)).distinct()
@@ -145,12 +169,10 @@ def overlaps(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     blocks = max(1, math.ceil(parts.count() / BLOCK_SEGMENTS))
     whole = docs.select(*keys, word_hashes(F.col("text")).alias("h"))
     hashed = whole.where(F.size("h") >= _LEAST)
-    at = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - _LEAST)).alias("at"))
-    own = at.select("*", F.inline(_seeds(F.col("h"), F.col("at")))).where("seed is not null")
     if blocks <= MOST_BLOCKS:
-        out = _in_blocks(own, parts, keys, blocks)
+        out = _in_blocks(_placed(hashed), parts, keys, blocks)
     else:
-        out = _shuffled(own, hashed, written(parts), keys)
+        out = _shuffled(hashed, written(parts), keys)
     if (short := _short(whole, items, keys)) is not None:
         out = out.unionByName(short)
     best = F.max(F.struct("matched", (-F.col("start")).alias("start"), "item_words")).alias("best")

@@ -54,3 +54,31 @@ def test_equals_brute_force(spark):
                     want.add((i, k))
                     break
     assert len(want) > 80 and found(spark, rows, items) == want
+
+
+def test_shuffled_seeds_take_time_in_proportion(spark, monkeypatch):
+    """One text of four times the words takes four times the time at most, where seeds are shuffled."""
+    import time
+
+    monkeypatch.setattr(decontamination, "MOST_BLOCKS", 0)
+    items = spark.createDataFrame([(1, prose(1, 30, 100)), (2, prose(2, 40, 100))], "item_id long, text string")
+    took = []
+    for n in (5_000, 20_000, 80_000):
+        text = prose(9, n, 50) + "\n" + prose(1, 30, 100)
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        found = decontamination.overlaps(docs, items, ["doc_id"]).collect()
+        took.append(time.time() - start)
+        assert [(r["item_id"], r["matched"]) for r in found] == [(1, 30)]
+    assert took[2] < 4 * max(took[1], 2.0)
+
+
+def test_filter_of_seeds_loses_none(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select((F.col("id") % 3).cast("int").alias("mask"), F.xxhash64("id").alias("seed"))
+    items = rows.where("seed % 7 = 0")
+    for slots in (1, 8, 1 << 12):
+        kept = decontamination._maybe(rows, items, slots)
+        assert items.exceptAll(kept).count() == 0 and kept.columns == rows.columns and kept.exceptAll(rows).count() == 0
+    assert kept.count() < 600
