@@ -39,6 +39,16 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+SKETCH_OF = "source string, text string"
+
+
+def _sketch(points: DataFrame) -> DataFrame:
+    """One row that says how many points there are, and in sketches that merge, which keys, how many sources and how long texts."""
+    return points.agg(
+        F.count("*").alias("n"), F.theta_sketch_agg("object_key").alias("keys"), F.hll_sketch_agg("source").alias("sources"), F.kll_sketch_agg_bigint(F.char_length("text").cast("long")).alias("lengths")
+    )
+
+
 class VectorTable:
     def __init__(self, spark: SparkSession, path: str, dimension: int = 768, metric: str = "cosine", buckets: int = BUCKETS):
         self.spark, self.path, self.dimension, self.metric, self.buckets = spark, path.rstrip("/"), dimension, metric, buckets
@@ -86,6 +96,9 @@ class VectorTable:
             own = own.unionByName(keys.select("object_key").where("object_key is not null").distinct())
         part = f"log/_part-{uuid.uuid4().hex}"
         own.write.parquet(f"{self.path}/{part}")
+        points = self._read(f"points/batch_id={batch}", f"{POINTS}, bucket int")
+        dead = self._read(part, "object_key string").agg(F.theta_sketch_agg("object_key").alias("dead"))
+        _sketch(points).crossJoin(F.broadcast(dead)).write.mode("overwrite").parquet(f"{self.path}/sketches/batch_id={batch}")  # a row each
         if self._files.fs.exists(self._files.at(f"log/batch_id={batch}")) or not self._files.fs.rename(self._files.at(part), self._files.at(f"log/batch_id={batch}")):
             raise RuntimeError(f"batch {batch} is there already")
 
@@ -168,6 +181,26 @@ class VectorTable:
     def stats(self) -> dict:
         return {"vectors_count": self.live().count(), "dimension": self.dimension, "metric": self.metric}
 
+    def estimate(self) -> dict:
+        """What the sketches of the base and of later batches say; no points are read.
+
+        points_at_most counts points that a later batch replaced or deleted as well, until compact(),
+        and so do sources and the lengths of texts (their quartiles); keys are those that live.
+        """
+        self._need()
+        _, base, folded = self._base()
+        empty = self.spark.createDataFrame([], f"object_key string, {SKETCH_OF}")
+        whole = (self.spark.read.parquet(f"{self.path}/{base}/sketch") if base else _sketch(empty)).withColumns({"dead": F.lit(None).cast("binary"), "batch_id": F.lit(-1).cast("long")})
+        later = [b for b in self._batches() if b not in folded]
+        if later:
+            whole = whole.unionByName(self.spark.read.parquet(f"{self.path}/sketches").where(F.col("batch_id").isin(later)).withColumn("batch_id", F.col("batch_id").cast("long")))
+        steps = F.array_sort(F.collect_list(F.struct("batch_id", "keys", "dead")))
+        alive = F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.get(steps, 0)["keys"], lambda keys, x: F.theta_union(F.theta_difference(keys, x["dead"]), x["keys"]))
+        merged = whole.agg(F.sum("n").alias("n"), alive.alias("keys"), F.hll_union_agg("sources").alias("sources"), F.kll_merge_agg_bigint("lengths").alias("lengths"))
+        quartiles = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_bigint("lengths", F.lit(q))).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))]
+        r = merged.select("n", F.theta_sketch_estimate("keys").alias("keys"), F.hll_sketch_estimate("sources").alias("sources"), *quartiles).first()
+        return {"points_at_most": r["n"], "keys": r["keys"], "sources": r["sources"], "length_quartiles": [r["q0"], r["q1"], r["q2"]]}
+
     def compact(self) -> bool:
         """Fold all batches committed so far into a new base; False if another compaction was faster. What was there stays for its readers until vacuum()."""
         self._need()
@@ -176,6 +209,7 @@ class VectorTable:
         name = f"base-{uuid.uuid4().hex}"
         self._write(self._living(base, batches), f"{name}/points")
         self.spark.createDataFrame([(b,) for b in sorted(folded.union(batches))], "batch_id long").coalesce(1).write.parquet(f"{self.path}/{name}/batches")
+        _sketch(self._read(f"{name}/points", f"{POINTS}, bucket int")).write.parquet(f"{self.path}/{name}/sketch")
         if self._files.swap(n, name):
             return True
         self.remove(f"{self.path}/{name}")
@@ -192,6 +226,7 @@ class VectorTable:
         for b in folded:
             self.remove(f"{self.path}/log/batch_id={b}")
             self.remove(f"{self.path}/points/batch_id={b}")
+            self.remove(f"{self.path}/sketches/batch_id={b}")
         self._files.drop_before(n)
 
     def remove(self, path: str) -> None:

@@ -101,3 +101,23 @@ def test_writers_of_a_snapshot_do_not_lose_rows(spark, tmp_path):
     assert sorted(r[0] for r in one.read().collect()) == ["one", "two"]
     one.vacuum()
     assert sorted(r[0] for r in two.read().collect()) == ["one", "two"] and len([n for n in one.pointers.names() if n.startswith("v-")]) == 1
+
+
+def test_estimates_read_no_points(spark, tmp_path):
+    table = VectorTable(spark, str(tmp_path / "e"), 2, buckets=4).ensure()
+    assert table.estimate() == {"points_at_most": 0, "keys": 0, "sources": 0, "length_quartiles": [None, None, None]}
+    made = lambda a, b, long: points(spark, [("x", "x")]).drop("object_key", "source", "text").crossJoin(spark.range(a, b).select(F.concat(F.lit("k/"), F.col("id")).alias("object_key"), F.concat(F.lit("s"), F.col("id") % 3000).alias("source"), F.repeat(F.lit("x"), (F.col("id") % long).cast("int")).alias("text")))
+    table.upsert(made(0, 20_000, 101))
+    table.upsert(made(15_000, 30_000, 101))
+    table.delete([f"k/{i}" for i in range(10_000)])
+    table.upsert(made(0, 500, 101))
+    for name in table._files.names("points"):  # nothing but sketches may be read
+        table._files.fs.rename(table._files.at(f"points/{name}"), table._files.at(f"away-{name}"))
+    got = table.estimate()
+    assert got["points_at_most"] == 35_500 and abs(got["keys"] - 20_500) < 0.05 * 20_500 and abs(got["sources"] - 3000) < 0.05 * 3000
+    assert all(abs(q - want) <= 5 for q, want in zip(got["length_quartiles"], (25, 50, 75), strict=True))
+    for name in [n for n in table._files.names() if n.startswith("away-")]:
+        table._files.fs.rename(table._files.at(name), table._files.at(f"points/{name[5:]}"))
+    table.compact()
+    table.vacuum()
+    assert table.estimate()["points_at_most"] == table.stats()["vectors_count"] == 20_500
