@@ -2,9 +2,9 @@
 
 Texts are cut into pieces and words, and coded as numbers batch by batch; the words that are
 frequent in their language get numbers of their own, the others end what can grow. A prefix's
-projection holds a pointer for each of its occurrences, with the words that follow in the piece. One
-task grows a prefix to the right, depth-first: the pointers of a frequent next word are the
-projection of the longer prefix, down to MOST_WORDS words. As a phrase is never more frequent
+projection holds a pointer for each of its occurrences, with the words that follow in the piece;
+those of GROUP_WORDS words' worth of prefixes travel together. One task grows a prefix to the right, depth-first: the
+pointers of a frequent next word are the projection of the longer prefix, down to MOST_WORDS words. As a phrase is never more frequent
 than its parts, every count that a score needs is one of a frequent phrase.
 
 A prefix of more than MOST occurrences is no task: its next words are counted over all tasks, and
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,12 @@ LEAST = 100
 MOST_WORDS = 5
 TOP = 2000
 #: Occurrences of a prefix that one task grows, words that are coded together, characters that are split at once.
-MOST, BATCH_WORDS, SLICE = 1_000_000, 1 << 20, 1 << 20
+MOST, BATCH_WORDS, SLICE = 1_000_000, 1 << 18, 1 << 18
 MOST_HOT = 1_000_000
+#: Words of the corpus for each group of prefixes whose projections travel together; every prefix is grown by itself.
+GROUP_WORDS = 250_000
+#: Frequent words that all tasks may know, some 30 MB; where there are more, batches' words are joined with them.
+MOST_SENT = 1_000_000
 
 _MARK = "\n"
 _FOLDED = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)} | dict.fromkeys(".,;:!?\x0b\x0c\r", _MARK) | {"\t": " "})
@@ -57,6 +62,24 @@ def _slices(text: str) -> Iterator[str]:
         start = end
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """int32 numbers, all first bytes first: the upper ones are mostly zero, which any compression makes short."""
+    return np.ascontiguousarray(numbers, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes | pa.Buffer) -> np.ndarray:
+    own = np.frombuffer(planes, dtype=np.uint8)
+    return np.ascontiguousarray(own.reshape(4, -1).T).view("<i4").ravel()
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(_planes(numbers))
+
+
+def _unpacked(packed: pa.Scalar) -> np.ndarray:
+    return _numbers(zstandard.ZstdDecompressor().decompress(packed.as_buffer()))
+
+
 class _Coder:
     """The words of one language, until they fill a batch; pieces stay whole."""
 
@@ -104,7 +127,7 @@ def coded(docs: DataFrame, text: str = "text", lang: str = "lang", batch_words:
             if found := coders[own].batch(rest):
                 words, counts, codes = found
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
-                yield pa.record_batch([pa.array([f"{part}-{k}"]), pa.array([own]), *lists, pa.array([codes.tobytes()])], names=["batch", "lang", "words", "counts", "codes"])
+                yield pa.record_batch([pa.array([f"{part}-{k}"]), pa.array([own]), *lists, pa.array([_packed(codes)])], names=["batch", "lang", "words", "counts", "codes"])
                 k += 1
 
         for b in batches:
@@ -131,15 +154,17 @@ def _numbered(words: DataFrame) -> DataFrame:
     return own.join(F.broadcast(before), "part").select(*words.columns, (F.col("before") + F.col("place")).cast("int").alias("id"))
 
 
-def _windows(seq: np.ndarray, width: int = MOST_WORDS, most: int = 1 << 21) -> Iterator[np.ndarray]:
+def _windows(seq: np.ndarray, width: int = MOST_WORDS, most: int = 1 << 18) -> Iterator[np.ndarray]:
     """Rows of width words from each word on that another follows, -1 from the end of what can grow on."""
     padded = np.append(seq, np.full(width, -1, dtype=np.int32))
     for start in range(0, len(seq), most):
         end = min(start + most, len(seq))
         at = start + np.flatnonzero((padded[start:end] >= 0) & (padded[start + 1 : end + 1] >= 0))
-        rows = padded[at[:, None] + np.arange(width)]
-        for c in range(2, width):
-            rows[rows[:, c - 1] < 0, c] = -1
+        rows = np.empty((len(at), width), dtype=np.int32)
+        for c in range(width):
+            rows[:, c] = padded[at + c]
+            if c > 1:
+                rows[rows[:, c - 1] < 0, c] = -1
         yield rows
 
 
@@ -147,8 +172,8 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different rows in order, and how often each is there. Numbers are -1 or more."""
     if not len(rows):
         return rows, np.zeros(0, dtype=np.int64)
-    wide = rows.astype(np.int64) + 1
-    pairs = [wide[:, i] << 32 | wide[:, i + 1] if i + 1 < rows.shape[1] else wide[:, i] for i in range(0, rows.shape[1], 2)]
+    wide = lambda i: rows[:, i].astype(np.int64) + 1
+    pairs = [wide(i) << 32 | wide(i + 1) if i + 1 < rows.shape[1] else wide(i) for i in range(0, rows.shape[1], 2)]
     order = np.lexsort(pairs[::-1])
     new = np.ones(len(rows), dtype=bool)
     new[1:] = np.any([p[order][1:] != p[order][:-1] for p in pairs], axis=0)
@@ -193,14 +218,16 @@ class Hot:
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     yield from zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
     for b in batches:
         for lang, seq in zip(b.column("lang"), b.column("seq"), strict=True):
-            yield lang.as_py(), np.frombuffer(seq.as_buffer(), dtype=np.int32)
+            yield lang.as_py(), _unpacked(seq)
 
 
 _PHRASE = "lang string, ids array<int>, counts array<long>"
@@ -256,11 +283,13 @@ def grow(rows: np.ndarray, n: np.ndarray, prefix: list[int], counts: list[int],
     yield from extend(np.arange(len(rows)), 0, prefix, counts)
 
 
-def _projected(sequences: DataFrame, hot: Hot, most: int) -> DataFrame:
-    """A row per batch and task: lang, depth, root, share, rows (int32: the words that follow, and their number).
+def _projected(sequences: DataFrame, hot: Hot, most: int, groups: int) -> DataFrame:
+    """A row per batch and task: lang, depth, root, share, rows (packed columns of words, and how often each row is there).
 
-    root: the first word where no prefix is hot (depth 0), else the place of the longest hot
-    prefix, of depth words; those are dealt by the next word into as many shares as keep each small.
+    depth 0: occurrences of prefixes that aren't hot, from their first word on; root is one of
+    so many groups of such prefixes. Else root is the place of the longest hot prefix, of depth
+    words, and rows begin after it; they are dealt by the next word into as many shares as
+    keep each small.
     """
     sent = sequences.sparkSession.sparkContext.broadcast(hot)
 
@@ -272,50 +301,71 @@ def _projected(sequences: DataFrame, hot: Hot, most: int) -> DataFrame:
                 depth, place = sent.value.depth(rows)
                 for d in range(MOST_WORDS - 1):
                     own = np.flatnonzero((depth == d) & (rows[:, max(d, 1)] >= 0))
-                    if not len(own):
-                        continue
-                    root = place[own] if d else rows[own, 0].astype(np.int64)
-                    share = rows[own, d] % shares[d - 1][root] if d else np.zeros(len(own), dtype=np.int64)
+                    root = place[own] if d else rows[own, 0].astype(np.int64) % groups
+                    share = rows[own, d] % shares[d - 1][root] if d and len(own) else np.zeros(len(own), dtype=np.int64)
                     order = np.lexsort((share, root))
                     own, root, share = own[order], root[order], share[order]
-                    body = np.column_stack([rows[own, max(d, 1) :], n[own]]).astype(np.int32)
+                    body = np.column_stack([rows[own, d:], n[own].astype(np.int32)])
                     at = list(_runs(root << 16 | share))
-                    first = [s for s, _ in at]
-                    yield pa.record_batch(
-                        [
-                            pa.array([lang] * len(at), pa.string()),
-                            pa.array(np.full(len(at), d, dtype=np.int32)),
-                            pa.array(root[first].astype(np.int32)),
-                            pa.array(share[first].astype(np.int32)),
-                            pa.array([body[s:e].tobytes() for s, e in at], pa.binary()),
-                        ],
-                        names=["lang", "depth", "root", "share", "rows"],
-                    )
+                    for some in range(0, len(at), 256):
+                        part = at[some : some + 256]
+                        first = [s for s, _ in part]
+                        packed = pa.array([_packed(body[s:e].T) for s, e in part], pa.binary())
+                        yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), d, dtype=np.int32)), pa.array(root[first].astype(np.int32)), pa.array(share[first].astype(np.int32)), packed], names=["lang", "depth", "root", "share", "rows"])
 
     return sequences.mapInArrow(run, "lang string, depth int, root int, share int, rows binary")
 
 
-def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang", batch_words: int = BATCH_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frequent phrases of two words or more (lang, ids, counts of their prefixes and themselves), frequent words (lang, word, n, id), and all words' number by language (lang, n)."""
-    spark = docs.sparkSession
-    batches = written(coded(docs, text, lang, batch_words))
-    every = batches.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
-    totals = written(batches.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-    words = written(_numbered(every.where(F.col("n") >= least)))
-    most = max(most, (totals.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+def _translated(batches: DataFrame, words: DataFrame, send: bool) -> DataFrame:
+    """(lang, seq): batches in the numbers of frequent words, -1 for what ends a phrase."""
+
+    def row(lang: str, packed: pa.Scalar, at: np.ndarray, id: np.ndarray) -> pa.RecordBatch:
+        codes = _unpacked(packed)
+        table = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int32)  # the last is for the code -1
+        table[at] = id
+        return pa.record_batch([pa.array([lang], pa.string()), pa.array([_packed(table[codes])])], names=["lang", "seq"])
+
+    if send:
+        known = {}
+        for b in words.select("lang", "word", "id").toArrow().to_batches():
+            langs = b.column("lang").dictionary_encode()
+            for k, name in enumerate(langs.dictionary.to_pylist()):
+                known.setdefault(name, []).append(b.filter(pc.equal(langs.indices, k)))
+        sent = batches.sparkSession.sparkContext.broadcast({name: (pa.concat_arrays([x.column("word") for x in own]), np.concatenate([x.column("id").to_numpy() for x in own])) for name, own in known.items()})
+
+        def look_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows:
+                for lang, own, codes in zip(b.column("lang").to_pylist(), b.column("words"), b.column("codes"), strict=True):
+                    if lang in sent.value:
+                        found, ids = sent.value[lang]
+                        place = pc.index_in(own.values, value_set=found)
+                        at = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                        yield row(lang, codes, at, ids[place.drop_null().to_numpy()])
+
+        return batches.select("lang", "words", "codes").mapInArrow(look_up, "lang string, seq binary")
 
     places = batches.select("batch", "lang", F.posexplode("words").alias("at", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
     meanings = places.groupBy("batch").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id"))
 
-    def translate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put_in(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            for i in range(b.num_rows):
-                codes = np.frombuffer(b.column("codes")[i].as_buffer(), dtype=np.int32)
-                table = np.full(int(codes.max(initial=-1)) + 2, -1, dtype=np.int32)  # the last is for the code -1
-                table[b.column("at")[i].values.to_numpy()] = b.column("id")[i].values.to_numpy()
-                yield pa.record_batch([b.column("lang").slice(i, 1), pa.array([table[codes].tobytes()])], names=["lang", "seq"])
+            for i, lang in enumerate(b.column("lang").to_pylist()):
+                yield row(lang, b.column("codes")[i], b.column("at")[i].values.to_numpy(), b.column("id")[i].values.to_numpy())
+
+    return batches.select("batch", "lang", "codes").join(meanings, "batch").mapInArrow(put_in, "lang string, seq binary")
+
+
+def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang", batch_words: int = BATCH_WORDS, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frequent phrases of two words or more (lang, ids, counts of their prefixes and themselves), frequent words (lang, word, n, id), and all words' number by language (lang, n)."""
+    spark = docs.sparkSession
+    batches = written(coded(docs, text, lang, batch_words))
+    every = batches.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
+    totals = written(batches.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
+    words = written(_numbered(every.where(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word")))  # small numbers for frequent words
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    most, groups = max(most, total // MOST_HOT), min(max(64, total // GROUP_WORDS), 1 << 20)
 
-    sequences = written(batches.select("batch", "lang", "codes").join(meanings, "batch").mapInArrow(translate, "lang string, seq binary"))
+    sequences = written(_translated(batches, words, words.count() <= most_sent))
 
     hot, found = Hot(), []
     hot.add([([r.id], [r.n]) for r in words.where(F.col("n") > most).collect()])
@@ -330,12 +380,17 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str =
 
     def own_task(key: tuple, table: pa.Table) -> pa.Table:
         lang, depth, root, _ = (x.as_py() for x in key)
-        body = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int32) for c in table["rows"].chunks for x in c]).reshape(-1, MOST_WORDS - max(depth, 1) + 1)
-        path, counts = (sent.value.paths[depth - 1][root], sent.value.counts[depth - 1][root]) if depth else ([root], [0])
-        out = list(grow(body[:, :-1], body[:, -1].astype(np.int64), path, counts, least, depth + 2))
+        body = np.concatenate([_unpacked(x).reshape(MOST_WORDS - depth + 1, -1) for c in table["rows"].chunks for x in c], axis=1).T
+        out = []
+        if depth:
+            out += grow(body[:, :-1], body[:, -1].astype(np.int64), sent.value.paths[depth - 1][root], sent.value.counts[depth - 1][root], least, depth + 2)
+        else:
+            body = body[np.argsort(body[:, 0], kind="stable")]
+            for s, e in _runs(body[:, 0]):
+                out += grow(body[s:e, 1:-1], body[s:e, -1].astype(np.int64), [int(body[s, 0])], [0], least, 2)
         return pa.table({"lang": pa.array([lang] * len(out), pa.string()), "ids": pa.array([x for x, _ in out], pa.list_(pa.int32())), "counts": pa.array([x for _, x in out], pa.list_(pa.int64()))})
 
-    grown = _projected(sequences, hot, most).groupBy("lang", "depth", "root", "share").applyInArrow(own_task, _PHRASE)
+    grown = _projected(sequences, hot, most, groups).groupBy("lang", "depth", "root", "share").applyInArrow(own_task, _PHRASE)
     alone = words.select(F.col("id").alias("first"), F.col("n").alias("alone"))
     for more in found:
         grown = grown.unionByName(more)
