@@ -7,6 +7,10 @@ those of GROUP_WORDS words' worth of prefixes travel together. One task grows a
 pointers of a frequent next word are the projection of the longer prefix, down to MOST_WORDS words. As a phrase is never more frequent
 than its parts, every count that a score needs is one of a frequent phrase.
 
+Pairs come first, from projections of one word after each prefix. A phrase of three words or more has
+frequent pairs alone, so the projections that it is grown from end at the first pair that isn't, which leaves
+few of them to be shuffled.
+
 A prefix of more than MOST occurrences is no task: its next words are counted over all tasks, and
 each of them that is frequent is a prefix itself, with a task or, if it is too frequent too,
 one level deeper. Such prefixes are the only ones that all tasks know; there are at most
@@ -31,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,8 @@ MOST_HOT = 1_000_000
 GROUP_WORDS = 250_000
 #: Frequent words that all tasks may know, some 30 MB; where there are more, batches' words are joined with them.
 MOST_SENT = 1_000_000
+#: Frequent pairs that all tasks may know, 64 MB; where there are more, no occurrence goes before the shuffle.
+MOST_PAIRS = 4_000_000
 
 _MARK = "\n"
 _FOLDED = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)} | dict.fromkeys(".,;:!?\x0b\x0c\r", _MARK) | {"\t": " "})
@@ -206,7 +212,7 @@ class Hot:
         """How many words of each row are a hot prefix, and its place."""
         depth, place = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
         alive = np.arange(len(rows))
-        for k, keys in enumerate(self.keys):
+        for k, keys in enumerate(self.keys[: rows.shape[1]]):
             if not len(keys) or not len(alive):
                 break
             key = place[alive] << 32 | rows[alive, k]
@@ -283,9 +289,38 @@ def grow(rows: np.ndarray, n: np.ndarray, prefix: list[int], counts: list[int],
     yield from extend(np.arange(len(rows)), 0, prefix, counts)
 
 
-def _projected(sequences: DataFrame, hot: Hot, most: int, groups: int) -> DataFrame:
+class Pairs:
+    """The frequent phrases of two words, and their counts."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        keys = ids[:, 0].astype(np.int64) << 32 | ids[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The counts; 0 for pairs that aren't frequent."""
+        if not len(self.keys):
+            return np.zeros(len(first), dtype=np.int64)
+        keys = first.astype(np.int64) << 32 | second
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (second >= 0), self.counts[at], 0)
+
+    def cut(self, rows: np.ndarray) -> np.ndarray:
+        """The rows of three words or more, each up to its first pair that isn't frequent."""
+        for c in range(1, rows.shape[1]):
+            gone = rows[:, c] >= 0
+            gone[gone] = self.of(rows[gone, c - 1], rows[gone, c]) == 0
+            rows[gone, c:] = -1
+            if c < 3:
+                rows = rows[rows[:, c] >= 0]
+        return rows
+
+
+def _projected(sequences: DataFrame, hot: Hot, most: int, groups: int, width: int = MOST_WORDS, pairs: Broadcast | None = None) -> DataFrame:
     """A row per batch and task: lang, depth, root, share, rows (packed columns of words, and how often each row is there).
 
+    width: words of a row. pairs: only rows of three words or more are wanted, up to the first pair that isn't frequent.
+
     depth 0: occurrences of prefixes that aren't hot, from their first word on; root is one of
     so many groups of such prefixes. Else root is the place of the longest hot prefix, of depth
     words, and rows begin after it; they are dealt by the next word into as many shares as
@@ -296,10 +331,10 @@ def _projected(sequences: DataFrame, hot: Hot, most: int, groups: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = [np.array([1 + 2 * c[-1] // most for c in counts], dtype=np.int64) for counts in sent.value.counts]
         for lang, seq in _sequences(batches):
-            for window in _windows(seq):
-                rows, n = _grouped(window)
+            for window in _windows(seq, width):
+                rows, n = _grouped(pairs.value.cut(window) if pairs else window)
                 depth, place = sent.value.depth(rows)
-                for d in range(MOST_WORDS - 1):
+                for d in range(width - 1):
                     own = np.flatnonzero((depth == d) & (rows[:, max(d, 1)] >= 0))
                     root = place[own] if d else rows[own, 0].astype(np.int64) % groups
                     share = rows[own, d] % shares[d - 1][root] if d and len(own) else np.zeros(len(own), dtype=np.int64)
@@ -355,7 +390,29 @@ def _translated(batches: DataFrame, words: DataFrame, send: bool) -> DataFrame:
     return batches.select("batch", "lang", "codes").join(meanings, "batch").mapInArrow(put_in, "lang string, seq binary")
 
 
-def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang", batch_words: int = BATCH_WORDS, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grown(projected: DataFrame, hot: Hot, width: int, least: int, shortest: int = 2, pairs: Broadcast | None = None) -> DataFrame:
+    """The frequent phrases of projections of width words, of shortest words or more, one task per row of prefixes."""
+    sent = projected.sparkSession.sparkContext.broadcast(hot)
+
+    def own_task(key: tuple, table: pa.Table) -> pa.Table:
+        lang, depth, root, _ = (x.as_py() for x in key)
+        body = np.concatenate([_unpacked(x).reshape(width - depth + 1, -1) for c in table["rows"].chunks for x in c], axis=1).T
+        out = []
+        if depth:
+            out += grow(body[:, :-1], body[:, -1].astype(np.int64), sent.value.paths[depth - 1][root], sent.value.counts[depth - 1][root], least, max(depth + 2, shortest))
+        else:
+            body = body[np.argsort(body[:, 0], kind="stable")]
+            for s, e in _runs(body[:, 0]):
+                out += grow(body[s:e, 1:-1], body[s:e, -1].astype(np.int64), [int(body[s, 0])], [0], least, shortest)
+        if pairs and out:  # their rows are those of longer phrases alone
+            own = pairs.value.of(np.array([x[0] for x, _ in out]), np.array([x[1] for x, _ in out]))
+            out = [(x, [c[0], int(n), *c[2:]]) for (x, c), n in zip(out, own, strict=True)]
+        return pa.table({"lang": pa.array([lang] * len(out), pa.string()), "ids": pa.array([x for x, _ in out], pa.list_(pa.int32())), "counts": pa.array([x for _, x in out], pa.list_(pa.int64()))})
+
+    return projected.groupBy("lang", "depth", "root", "share").applyInArrow(own_task, _PHRASE)
+
+
+def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang", batch_words: int = BATCH_WORDS, most_sent: int = MOST_SENT, most_pairs: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent phrases of two words or more (lang, ids, counts of their prefixes and themselves), frequent words (lang, word, n, id), and all words' number by language (lang, n)."""
     spark = docs.sparkSession
     batches = written(coded(docs, text, lang, batch_words))
@@ -376,21 +433,15 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str =
         if k + 1 < MOST_WORDS:
             hot.add([(r.ids, r.counts) for r in found[-1].where(F.element_at("counts", -1) > most).collect()])
 
-    sent = spark.sparkContext.broadcast(hot)
-
-    def own_task(key: tuple, table: pa.Table) -> pa.Table:
-        lang, depth, root, _ = (x.as_py() for x in key)
-        body = np.concatenate([_unpacked(x).reshape(MOST_WORDS - depth + 1, -1) for c in table["rows"].chunks for x in c], axis=1).T
-        out = []
-        if depth:
-            out += grow(body[:, :-1], body[:, -1].astype(np.int64), sent.value.paths[depth - 1][root], sent.value.counts[depth - 1][root], least, depth + 2)
-        else:
-            body = body[np.argsort(body[:, 0], kind="stable")]
-            for s, e in _runs(body[:, 0]):
-                out += grow(body[s:e, 1:-1], body[s:e, -1].astype(np.int64), [int(body[s, 0])], [0], least, 2)
-        return pa.table({"lang": pa.array([lang] * len(out), pa.string()), "ids": pa.array([x for x, _ in out], pa.list_(pa.int32())), "counts": pa.array([x for _, x in out], pa.list_(pa.int64()))})
-
-    grown = _projected(sequences, hot, most, groups).groupBy("lang", "depth", "root", "share").applyInArrow(own_task, _PHRASE)
+    # phrases of two words first; what is longer has frequent pairs alone, so most occurrences go before they are shuffled
+    two = written(_grown(_projected(sequences, hot, most, groups, 2), hot, 2, least))
+    found.append(two)
+    every_two = two if len(found) == 1 else two.unionByName(found[0])
+    known = None
+    if every_two.count() <= most_pairs:
+        table = every_two.select("ids", F.element_at("counts", -1).alias("n")).toArrow()
+        known = spark.sparkContext.broadcast(Pairs(table["ids"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2), table["n"].to_numpy()))
+    grown = _grown(_projected(sequences, hot, most, groups, MOST_WORDS, known), hot, MOST_WORDS, least, 3, known)
     alone = words.select(F.col("id").alias("first"), F.col("n").alias("alone"))
     for more in found:
         grown = grown.unionByName(more)

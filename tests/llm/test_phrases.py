@@ -42,10 +42,10 @@ def found(spark, rows, least, top, **options):
     return sorted(tuple(r) for r in phrases.collocations(df, least, top, **options).collect())
 
 
-@pytest.mark.parametrize(("most", "batch_words", "most_sent"), [(10**6, 1 << 20, 10**6), (60, 200, 10**6), (12, 50, 3)])
-def test_plain_counts(spark, most, batch_words, most_sent):
+@pytest.mark.parametrize(("most", "batch_words", "most_sent", "most_pairs"), [(10**6, 1 << 20, 10**6, 10**6), (60, 200, 10**6, 10**6), (12, 50, 3, 10**6), (12, 50, 3, 0)])
+def test_plain_counts(spark, most, batch_words, most_sent, most_pairs):
     rows = corpus(1)
-    got = found(spark, rows, 8, 40, most=most, batch_words=batch_words, most_sent=most_sent)
+    got = found(spark, rows, 8, 40, most=most, batch_words=batch_words, most_sent=most_sent, most_pairs=most_pairs)
     assert got == brute(rows, 8, 40) and len({r[0] for r in got}) == 3 and max(len(r[2].split(" ")) for r in got) == 5
 
 
