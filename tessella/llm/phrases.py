@@ -3,7 +3,7 @@
 Texts are cut into pieces and words, and coded as numbers batch by batch; the words that are
 frequent in their language get numbers of their own, the others end what can grow. A prefix's
 projection holds a pointer for each of its occurrences, with the words that follow in the piece;
-those of GROUP_WORDS words' worth of prefixes travel together. One task grows a prefix to the right, depth-first: the
+those of a group of prefixes travel together. One task grows a prefix to the right, depth-first: the
 pointers of a frequent next word are the projection of the longer prefix, down to MOST_WORDS words. As a phrase is never more frequent
 than its parts, every count that a score needs is one of a frequent phrase.
 
@@ -47,8 +47,8 @@ TOP = 2000
 #: Occurrences of a prefix that one task grows, words that are coded together, characters that are split at once.
 MOST, BATCH_WORDS, SLICE = 1_000_000, 1 << 18, 1 << 18
 MOST_HOT = 1_000_000
-#: Words of the corpus for each group of prefixes whose projections travel together; every prefix is grown by itself.
-GROUP_WORDS = 250_000
+#: Groups of prefixes whose projections travel together, and words of the corpus for each where that makes more; every prefix is grown by itself.
+GROUPS, GROUP_WORDS = 1024, 2_000_000
 #: Frequent words that all tasks may know, some 30 MB; where there are more, batches' words are joined with them.
 MOST_SENT = 1_000_000
 #: Frequent pairs that all tasks may know, 64 MB; where there are more, no occurrence goes before the shuffle.
@@ -420,7 +420,7 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST, text: str =
     totals = written(batches.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     words = written(_numbered(every.where(F.col("n") >= least).orderBy(F.desc("n"), "lang", "word")))  # small numbers for frequent words
     total = totals.agg(F.sum("n")).first()[0] or 0
-    most, groups = max(most, total // MOST_HOT), min(max(64, total // GROUP_WORDS), 1 << 20)
+    most, groups = max(most, total // MOST_HOT), min(max(GROUPS, total // GROUP_WORDS), 1 << 20)
 
     sequences = written(_translated(batches, words, words.count() <= most_sent))
 
