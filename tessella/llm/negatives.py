@@ -228,7 +228,7 @@ with r as (
   select anchor_id, id as positive_id, score as positive_score from a where same
   qualify row_number() over (partition by anchor_id order by score desc, id) <= {POSITIVES}
 )
-select anchor_id, positive_id, row_number() over w as rank, id as negative_id, positive_score, score as negative_score
+select anchor_id, positive_id, (row_number() over w)::integer as rank, id as negative_id, positive_score, score as negative_score
 from p join a using (anchor_id) where not same and {LEAST} * positive_score <= 100 * score and score <= positive_score
 window w as (partition by anchor_id, positive_id order by score desc, id)
 qualify row_number() over w <= {NEGATIVES}
