@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import BATCH_ROWS, small_batches  # noqa: F401
 from ..sources.scratch import scratch
 from ..sources.spread import spread
 
@@ -26,20 +27,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch that goes to Python, where the session has Spark's own default.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a worker holds: texts and pages are long rows, of which 10,000 are a lot of memory.
-
-    A session that has chosen another number keeps it.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

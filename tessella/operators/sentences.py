@@ -22,6 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.batches import small_batches
+from ..sources.scratch import scratch
+
 #: The thresholds of the published method.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 MOST = 100_000
@@ -37,18 +40,27 @@ def _core(word: Column) -> Column:
 
 
 def _type(core: Column) -> Column:
-    plain = F.lower(F.regexp_replace(core, "[.!?…]+\\z", ""))
-    return F.when(plain.rlike(f"^{_NUMBER}\\z"), NUMBER).otherwise(plain)
+    plain = F.regexp_replace(core, "[.!?…]+\\z", "")
+    return F.when(plain.rlike(f"^{_NUMBER}\\z"), NUMBER).otherwise(F.lower(plain))
 
 
 def words(units: DataFrame, text: str = "text", by: Column | None = None) -> DataFrame:
-    """A row per word: lang, type, period (a single one ends it), stop (an end in any case), upper, next_type, next_upper."""
+    """A row per different word, with its follower where it may end something: lang, n, type, period (a single one ends it), stop (an end in any case), upper, next_type, next_upper.
+
+    Words are counted as they stand, so all but the split is done once for each different one.
+    """
     lang = F.lit("") if by is None else F.coalesce(by.cast("string"), F.lit(""))
-    cores = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), _core), lambda c: c != "")
-    one = lambda c: F.struct(_type(c).alias("type"), c.rlike(r"(^|[^.])\.\z").alias("period"), c.rlike(r"([!?…]|\.\.)\z").alias("stop"), c.rlike(r"^\p{Lu}").alias("upper"))
-    made = units.select(lang.alias("lang"), F.transform(cores, one).alias("w"))
-    pairs = F.transform("w", lambda w, i: F.struct(w["type"].alias("type"), w["period"].alias("period"), w["stop"].alias("stop"), w["upper"].alias("upper"), F.get(F.col("w"), i + 1)["type"].alias("next_type"), F.get(F.col("w"), i + 1)["upper"].alias("next_upper")))
-    return made.select("lang", F.inline(pairs)).where("type <> ''")
+    bare = f"^[{_OPENING}]*+[{_CLOSING},;:]*+\\z"
+    split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: ~w.rlike(bare))
+    made = units.select(lang.alias("lang"), split.alias("w")).where(F.size("w") > 0)
+    placed = made.select("lang", F.inline(F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.size("w")).alias("next"))))
+    counted = placed.groupBy("lang", "word", F.when(F.col("word").rlike("[.!?…]"), F.col("next")).alias("next")).agg(F.count("*").alias("n"))
+    once = lambda **own: F.inline(F.array(F.struct(*[c.alias(k) for k, c in own.items()])))  # noqa: E731  columns that later ones name often
+    cores = counted.select("lang", "n", once(core=_core(F.col("word")), next=_core(F.col("next"))))
+    typed = cores.select("lang", "n", "core", "next", once(type=_type(F.col("core")), next_type=_type(F.col("next"))))
+    upper = lambda c: F.col(c).rlike(r"^\p{Lu}")
+    found = typed.select("lang", "n", "type", F.col("core").rlike(r"(^|[^.])\.\z").alias("period"), F.col("core").rlike(r"([!?…]|\.\.)\z").alias("stop"), upper("core").alias("upper"), "next_type", upper("next").alias("next_upper"))
+    return found.where("type <> ''")
 
 
 def _ln(x: Column) -> Column:
@@ -66,8 +78,8 @@ def likelihood(both: Column, first: Column, second: Column, total: Column) -> Co
 
 def type_counts(found: DataFrame) -> DataFrame:
     """lang, type, n, n_period, n_upper, n_lower of words()."""
-    count = lambda c: F.count(F.when(c, 1))
-    return found.groupBy("lang", "type").agg(F.count("*").alias("n"), count(F.col("period")).alias("n_period"), count(F.col("upper")).alias("n_upper"), count(~F.col("upper")).alias("n_lower"))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return found.groupBy("lang", "type").agg(F.sum("n").alias("n"), count(F.col("period")).alias("n_period"), count(F.col("upper")).alias("n_upper"), count(~F.col("upper")).alias("n_lower"))
 
 
 def scored_types(counts: DataFrame) -> DataFrame:
@@ -92,17 +104,15 @@ class Boundaries:
 
     def ends(self, text: str, lang: str | None = None) -> list[int]:
         """Where sentences end in text: after the word and before the white space that follows."""
-        lang, out = lang or "", []
-        found = list(_SPACED.finditer(text))
-        for m, after in zip(found, found[1:], strict=False):
-            core = _strip(m[0])
-            if not core or core[-1] not in ".!?…。？！":
-                continue
+        lang, out, low = lang or "", [], 0
+        for m in _MARKED.finditer(text):
+            core, after = _strip(text[low : m.end()].rsplit(None, 1)[-1]), m[1]
+            low = m.end()
             if core[-1] != "." or core.endswith(".."):
-                if core[-1] != "." or _strip(after[0])[:1].isupper():
+                if core[-1] != "." or _strip(after)[:1].isupper():
                     out.append(m.end())
                 continue
-            kind, following = _kind(core), _strip(after[0])
+            kind, following = _kind(core), _strip(after)
             then, upper = _kind(following), following[:1].isupper()
             initial = len(kind) == 1 and kind.isalpha()
             if (lang, kind) in self.abbreviations or initial or kind == NUMBER:
@@ -125,7 +135,8 @@ class Boundaries:
         return [s for a, b in zip(at, at[1:], strict=False) if (s := text[a:b].strip())]
 
 
-_SPACED = re.compile(r"\S+")
+#: The end of a word that may end a sentence, and the word that follows.
+_MARKED = re.compile(f"[.!?…。？！][{_CLOSING},;:]*+(?=\\s++(\\S++))")
 _STRIP = re.compile(f"^[{_OPENING}]+|[{_CLOSING},;:]+$")
 _ENDS = re.compile(r"[.!?…]+$")
 _IS_NUMBER = re.compile(f"{_NUMBER}$")
@@ -140,15 +151,24 @@ def _kind(core: str) -> str:
     return NUMBER if _IS_NUMBER.match(plain) else plain
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tables(units: DataFrame, text: str = "text", by: Column | None = None) -> dict[str, DataFrame]:
-    """The model as tables: types (with their scores), starters and pairs."""
-    found = words(units, text, by)
-    counts = type_counts(found)
+    """The model as tables: types (with their scores), starters and pairs.
+
+    The texts are read once: all tables come from the words' counts, which are written.
+    """
+    found = _written(words(units, text, by))
+    counts = _written(type_counts(found))
     types = scored_types(counts)
     abbreviated = types.where(F.col("score") >= ABBREVIATION).select("lang", "type", F.lit(True).alias("short"))
     initial = F.col("type").rlike(r"^\p{L}\z") | (F.col("type") == NUMBER)
     # pairs around ends, combined before they meet the abbreviations
-    ends = found.where("(period or stop) and next_type <> ''").groupBy("lang", "type", "period", "next_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("next_upper"), 1)).alias("n_upper"))
+    ends = found.where("(period or stop) and next_type <> ''").groupBy("lang", "type", "period", "next_type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("next_upper"), F.col("n")).otherwise(0)).alias("n_upper"))
     marked = ends.join(abbreviated, ["lang", "type"], "left").withColumn("doubtful", F.col("period") & (F.coalesce("short", F.lit(False)) | initial))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     plain = counts.select("lang", F.col("type").alias("next_type"), F.col("n").alias("n_next"))
@@ -178,6 +198,7 @@ def learn(units: DataFrame, text: str = "text", by: Column | None = None, most:
 def sentences(units: DataFrame, model: Boundaries, text: str = "text", by: Column | None = None) -> DataFrame:
     """units with sentence_no and one sentence as text."""
     sent = units.sparkSession.sparkContext.broadcast(model)
+    small_batches(units.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -106,3 +106,20 @@ def test_chunks_do_not_cut_after_abbreviations(spark, model):
     learned = [r["text"] for r in sentence_chunk_rows(rows, 40, 0, model=model).collect()]
     assert any(c.split()[-1] in SHORT for c in plain) and not any(c.split()[-1] in SHORT for c in learned)
     assert " ".join(learned) == text and split_text(text, 40, count_words, model.ends)[0] == own[0]
+
+
+def test_texts_are_read_once_and_words_counted_as_they_stand(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([("x. A b",)] * 40, "text string").repartition(2).select(seen.asNondeterministic()("text").alias("text"))
+    assert {(r["type"], r["next_type"], r["n"]) for r in module.words(rows).collect()} == {("x", "a", 40), ("a", None, 40), ("b", None, 40)}
+    before = read.value
+    made = tables(rows)
+    assert sorted(map(tuple, made["counts"].select("type", "n", "n_period").collect())) == [("a", 40, 0), ("b", 40, 0), ("x", 40, 40)]
+    made["types"].collect(), made["starters"].collect(), made["pairs"].collect()
+    assert read.value - before == 40
