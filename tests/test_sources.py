@@ -108,3 +108,21 @@ def test_upload_and_copy(spark, folder, tmp_path):
     objects = with_etag(nonempty(read_objects(spark, str(tmp_path / "land"))))
     copy_changed(spark, objects.selectExpr(f"substring(path, {len(str(tmp_path / 'land')) + 2}) as key", "content"), str(tmp_path / "copy"))
     assert (tmp_path / "copy/csv/t.csv").read_bytes() == (folder / "t.csv").read_bytes()
+
+
+def test_units_of_many_files_leave_together(spark, monkeypatch):
+    import pandas as pd
+
+    def counted(name, content):
+        yield from ({"unit_kind": "text", "unit_idx": i, **({"page_num": 2**24 + 1} if i else {}), "text": name} for i in range(int(content)))
+
+    objects, taken = spark.createDataFrame([("a/f.txt", 1, bytearray(b"1"))], "path string, length long, content binary"), []
+    files = [(f"a/f{i}.txt", "TXT", str(i % 3).encode()) for i in range(3000)]
+    assert extract(objects, readers={"TXT": counted}).count() == 1
+    monkeypatch.setattr(type(objects), "mapInPandas", lambda self, run, schema: taken.append(run))
+    extract(objects, readers={"TXT": counted})
+    found = list(taken[0](iter([pd.DataFrame(files, columns=["path", "extractor", "content"])])))
+    assert len(found) == 3
+    rows = [r for f in found for r in f.itertuples()]
+    assert [(r.source, r.unit_idx, r.page_num) for r in rows] == [(p[2:], i, 2**24 + 1 if i else None) for p, _, n in files for i in range(int(n))]
+    assert len(list(taken[0](iter([pd.DataFrame([("a/f.txt", "TXT", b"1")], columns=["path", "extractor", "content"])] * 2)))) == 2
