@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank
+from ..sources.batches import small_batches
 
 #: Fixed value: the vectors' length.
 DIMENSION = 768
@@ -77,6 +78,7 @@ def embed(chunks: DataFrame, make: Callable[[], Callable[[list[str]], list]] = H
                 raise ValueError(f"{len(batch)} texts gave {len(vectors)} vectors")
             yield pd.Series(vectors, dtype=object)
 
+    small_batches(chunks.sparkSession)
     return chunks.where(~is_blank(F.col("text"))).withColumn("embedding", run.asNondeterministic()("text"))
 
 

@@ -207,4 +207,4 @@ def sentences(units: DataFrame, model: Boundaries, text: str = "text", by: Colum
 
     lang = F.lit("") if by is None else F.coalesce(by.cast("string"), F.lit(""))
     own = [c for c in units.columns if c not in (text, "sentence_no")]
-    return units.withColumn("_cut", cut(F.col(text), lang)).select(*own, F.posexplode("_cut").alias("sentence_no", text))
+    return units.withColumn("_cut", cut.asNondeterministic()(F.col(text), lang)).select(*own, F.posexplode("_cut").alias("sentence_no", text))

@@ -52,3 +52,24 @@ def test_sentence_rows(spark):
 def test_counted_parts_equal_the_general_way(parts, size, overlap):
     text = "".join(parts)
     assert sentence_chunks(text, size, min(overlap, size - 1)) == sentence_chunks(text, size, min(overlap, size - 1), lambda t: count_words(t))
+
+
+def test_texts_are_cut_once_in_bounded_batches(spark):
+    import re
+
+    from tessella.operators.sentences import Boundaries, sentences
+
+    df = spark.createDataFrame([(1, "One two. Three four.")], "id int, text string")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = [sentence_chunk_rows(df, 3, 0)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    for found in [*made, sentences(df, Boundaries(set(), set(), set(), set()))]:
+        assert len(re.findall("ArrowEvalPython", found._jdf.queryExecution().optimizedPlan().toString())) == 1 and found.count() == 2
+
+
+def test_embedding_takes_bounded_batches(spark):
+    from tessella.operators.embedding import embed
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = embed(spark.range(2500).coalesce(1).selectExpr("id", "'a b' as text"), lambda: lambda texts: [[float(len(texts))]] * len(texts)).agg({"embedding": "max"}).first()[0]
+    assert sizes[0] <= 1000
