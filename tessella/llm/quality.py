@@ -129,29 +129,39 @@ def with_reference(rows: DataFrame, own: DataFrame, pool: DataFrame, spread: lis
     return rows
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts of the base rules, base_failed, class counts and words_distance, for docs with a word reference."""
+def base_counts(docs: DataFrame, *more: str) -> DataFrame:
+    """docs with words, hashed, marked, n_chars and the counts of the base rules, which need no reference; more: other columns to keep."""
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     repeats = let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.size(h) - F.size(F.array_distinct(h)))
-    reference = ["hashes", "shares", "others", "longest"]
-    split = docs.select("doc_id", "lang", *reference, F.coalesce("text", F.lit("")).alias("text")).withColumns({"words": words_of(F.col("text")), "marked": F.regexp_replace("text", _PLAIN, ""), "n_chars": F.char_length("text")})
+    split = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text")).withColumns({"words": words_of(F.col("text")), "marked": F.regexp_replace("text", _PLAIN, ""), "n_chars": F.char_length("text")})
     split = split.withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
-    common = F.filter("hashed", lambda x, i: (F.char_length(F.get("words", i)) <= F.col("longest")) & F.array_contains("hashes", x))
-    n_words = F.size("words")
-    counted = split.select(
+    return split.select(
         "doc_id",
-        "lang",
+        *more,
+        "words",
+        "hashed",
         "n_chars",
         "marked",
-        n_words.cast("long").alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.char_length("marked") - _without(F.col("marked"), SYMBOLS)).cast("long").alias("n_symbols"),
         repeats.cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), F.col("hashed")).cast("long").alias("n_repeat_words"),
-        F.when(n_words >= LEAST_WORDS_COMPARED, words_distance(n_words, common, F.col("hashes"), F.col("shares"), F.col("others"))).alias("words_distance"),
     )
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("classes", class_counts(F.col("n_chars"), F.col("word_chars"), F.col("marked"))).drop("marked")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, the counts of the base rules, base_failed, class counts and words_distance, for docs with a word reference."""
+    reference = ["hashes", "shares", "others", "longest"]
+    common = F.filter("hashed", lambda x, i: (F.char_length(F.get("words", i)) <= F.col("longest")) & F.array_contains("hashes", x))
+    n_words = F.size("words")
+    distance = F.when(n_words >= LEAST_WORDS_COMPARED, words_distance(n_words, common, F.col("hashes"), F.col("shares"), F.col("others"))).alias("words_distance")
+    counted = base_counts(docs, "lang", *reference).select("doc_id", "lang", "n_chars", "marked", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", distance)
+    return counted.withColumn("base_failed", base_failed()).withColumn("classes", class_counts(F.col("n_chars"), F.col("word_chars"), F.col("marked"))).drop("marked")
 
 
 def class_references(found: DataFrame) -> tuple[DataFrame, DataFrame]:

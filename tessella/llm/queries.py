@@ -16,7 +16,7 @@ from .negatives import OP12_SQL, op12_negatives
 from .oracles import DECONTAMINATION_SQL, NEAR_SQL, QUALITY_SQL
 from .packing import op5_packing
 from .phrases import OP13_SQL, op13_phrases
-from .quality import op4_quality
+from .quality import base_counts, base_failed, op4_quality
 from .secrets import op7_secrets
 from .urls import RULES, host_of, op1_urls, path_of, rule_for
 from .warc import OP9_SQL, op9_warc
@@ -46,8 +46,9 @@ select page_id, host, path, case {" ".join(f"when {_fits(r)} then '{r}'" for _,
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base columns of op4_quality."""
-    return op4_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    """The base columns of op4_quality, by its own step, which needs neither references nor distances."""
+    counted = base_counts(read(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"))
 
 
 QUALITY_BASE_SQL = r"""

@@ -86,3 +86,13 @@ def test_windows_whose_hashes_share_their_high_bits(spark):
     text = " ".join([*own[:2000], "x", *own[1000:1500], "y", *own[2000:]])
     (r,) = quality.judge(spark.createDataFrame([(1, text, None)], "doc_id long, text string, lang string")).collect()
     assert r["n_repeat_words"] == 1000
+
+
+def test_base_columns_need_no_references(spark, sf, monkeypatch):
+    from tessella.llm import quality, queries
+
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    want = sorted(map(tuple, queries.op4_quality(spark, sf).select(*names).collect()))
+    monkeypatch.setattr(quality, "word_references", None)
+    found = queries.quality_base(spark, sf)
+    assert found.columns == names and sorted(map(tuple, found.collect())) == want
