@@ -8,15 +8,16 @@ abbreviation, an initial or a number that belongs together, so that nothing ends
 case settles the rest: a word that is mostly written small and here has a capital begins
 something.
 
-The model is what passes the tests, the MOST best of each kind; only that reaches the driver. Cases: null and empty
-texts have no words and no sentences; a language may be learned by itself (`by`), null being one too; a word is what stands between
+The model is all that passes the tests. A kind of at most MOST entries is held in memory, on the driver and in each
+worker; a larger one stays a table, and each text gets by a join what it asks of it, so nothing is left out. Cases: null and
+empty texts have no words and no sentences; a language may be learned by itself (`by`), null being one too; a word is what stands between
 white space, without brackets and quotes around it, in lower case; numbers are one type.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,11 @@ from ..sources.scratch import scratch
 
 #: The thresholds of the published method.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
-MOST = 100_000
 NUMBER = "##number##"
+#: Entries of a kind that are held in memory; more are joined.
+MOST = 100_000
+#: What a model knows, by kind.
+KINDS = "abbreviations", "starters", "pairs", "small"
 
 #: What may stand around a word.
 _OPENING, _CLOSING = "\"'(\\[{«„“‘¿¡*_", "\"')\\]}»“”’*_"
@@ -44,12 +48,16 @@ def _type(core: Column) -> Column:
     return F.when(plain.rlike(f"^{_NUMBER}\\z"), NUMBER).otherwise(F.lower(plain))
 
 
+def _lang(by: Column | None) -> Column:
+    return F.lit("") if by is None else F.coalesce(by.cast("string"), F.lit(""))
+
+
 def words(units: DataFrame, text: str = "text", by: Column | None = None) -> DataFrame:
     """A row per different word, with its follower where it may end something: lang, n, type, period (a single one ends it), stop (an end in any case), upper, next_type, next_upper.
 
     Words are counted as they stand, so all but the split is done once for each different one.
     """
-    lang = F.lit("") if by is None else F.coalesce(by.cast("string"), F.lit(""))
+    lang = _lang(by)
     bare = f"^[{_OPENING}]*+[{_CLOSING},;:]*+\\z"
     split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: ~w.rlike(bare))
     made = units.select(lang.alias("lang"), split.alias("w")).where(F.size("w") > 0)
@@ -97,34 +105,69 @@ def scored_types(counts: DataFrame) -> DataFrame:
 
 
 class Boundaries:
-    """What is known of each language: abbreviations, starters, collocations and words that are mostly small."""
+    """What is known of each language: abbreviations, starters, collocations and words that are mostly small.
+
+    `tables` has the kinds that are too large to be held: lang, type and next_type ('' but for pairs).
+    """
 
-    def __init__(self, abbreviations: set[tuple[str, str]], starters: set[tuple[str, str]], pairs: set[tuple[str, str, str]], small: set[tuple[str, str]]):
+    def __init__(self, abbreviations: set[tuple[str, str]], starters: set[tuple[str, str]], pairs: set[tuple[str, str, str]], small: set[tuple[str, str]], tables: dict[str, DataFrame] | None = None):
         self.abbreviations, self.starters, self.pairs, self.small = abbreviations, starters, pairs, small
+        self.tables = tables or {}
+        self.unknown = frozenset(self.tables)
+
+    def held(self) -> Boundaries:
+        """What goes to the workers: without the tables, whose kinds ends() refuses to do without."""
+        out = Boundaries(self.abbreviations, self.starters, self.pairs, self.small)
+        out.unknown = self.unknown
+        return out
+
+    def told(self, entries: Iterable[Sequence[str]] | None, lang: str | None = None) -> Boundaries:
+        """The model for one text: its entries (kind, type, next_type) stand for the kinds that aren't held."""
+        if not self.unknown:
+            return self
+        own: dict[str, set] = {kind: set() for kind in self.unknown}
+        for kind, *names in entries if entries is not None else ():
+            own[kind].add((lang or "", *names) if kind == "pairs" else (lang or "", names[0]))
+        return Boundaries(**{kind: own.get(kind, getattr(self, kind)) for kind in KINDS})
+
+    def asks(self, text: str | None, lang: str | None = None) -> list[tuple[str, str, str]]:
+        """All that ends() may look up in text of the kinds that aren't held, each once: kind, type, next_type."""
+        lang, out = lang or "", set()
+        for _, core, following in _marks(text or ""):
+            if core[-1] != "." or core.endswith("..") or following[:1].islower():
+                continue
+            kind, then, upper = _kind(core), _kind(following), following[:1].isupper()
+            if "abbreviations" in self.unknown:
+                out.add(("abbreviations", kind, ""))
+            elif not ((lang, kind) in self.abbreviations or _initial(kind) or kind == NUMBER):
+                continue
+            if upper:
+                out.update((k, kind, then) if k == "pairs" else (k, then, "") for k in self.unknown if k != "abbreviations")
+        return sorted(out)
 
     def ends(self, text: str, lang: str | None = None) -> list[int]:
         """Where sentences end in text: after the word and before the white space that follows."""
-        lang, out, low = lang or "", [], 0
-        for m in _MARKED.finditer(text):
-            core, after = _strip(text[low : m.end()].rsplit(None, 1)[-1]), m[1]
-            low = m.end()
+        if self.unknown:
+            raise ValueError(f"too large to be held: {', '.join(sorted(self.unknown))}; sentences() and sentence_chunk_rows() join them")
+        lang, out = lang or "", []
+        for end, core, following in _marks(text):
+            upper = following[:1].isupper()
             if core[-1] != "." or core.endswith(".."):
-                if core[-1] != "." or _strip(after)[:1].isupper():
-                    out.append(m.end())
+                if core[-1] != "." or upper:
+                    out.append(end)
                 continue
-            kind, following = _kind(core), _strip(after)
-            then, upper = _kind(following), following[:1].isupper()
-            initial = len(kind) == 1 and kind.isalpha()
+            kind, then = _kind(core), _kind(following)
+            initial = _initial(kind)
             if (lang, kind) in self.abbreviations or initial or kind == NUMBER:
                 if (lang, kind, then) in self.pairs or not upper:
                     continue
                 starts = (lang, then) in self.starters or (lang, then) in self.small
                 if starts and not (initial and (lang, then) not in self.small):
-                    out.append(m.end())
+                    out.append(end)
                 elif kind == NUMBER and not starts and (lang, kind) not in self.abbreviations:
-                    out.append(m.end())
+                    out.append(end)
             elif upper or not following[:1].islower():
-                out.append(m.end())
+                out.append(end)
         return out
 
     def split(self, text: str | None, lang: str | None = None) -> list[str]:
@@ -151,6 +194,19 @@ def _kind(core: str) -> str:
     return NUMBER if _IS_NUMBER.match(plain) else plain
 
 
+def _initial(kind: str) -> bool:
+    return len(kind) == 1 and kind.isalpha()
+
+
+def _marks(text: str) -> Iterator[tuple[int, str, str]]:
+    """The words that may end a sentence: where each ends, the word and the one that follows, both bare."""
+    low = 0
+    for m in _MARKED.finditer(text):
+        core = _strip(text[low : m.end()].rsplit(None, 1)[-1])
+        low = m.end()
+        yield low, core, _strip(m[1])
+
+
 def _written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
@@ -186,25 +242,57 @@ def tables(units: DataFrame, text: str = "text", by: Column | None = None) -> di
 
 
 def learn(units: DataFrame, text: str = "text", by: Column | None = None, most: int = MOST) -> Boundaries:
+    """The whole model; kinds of more than `most` entries stay tables."""
     made = tables(units, text, by)
-    best = lambda df, least, *c: {tuple(r) for r in df.where(F.col("score") >= least).orderBy(F.desc("score"), *c).limit(most).select(*c).collect()}
-    short = best(made["types"], ABBREVIATION, "lang", "type")
-    starters = best(made["starters"], STARTER, "lang", "type")
-    pairs = best(made["pairs"], COLLOCATION, "lang", "type", "next_type")
-    small = made["counts"].where("n_lower > 2 * n_upper and n >= 3").orderBy(F.desc("n"), "lang", "type").limit(most).select("lang", "type").collect()
-    return Boundaries(short, starters, pairs, {tuple(r) for r in small})
+    scored = {"abbreviations": ("types", ABBREVIATION), "starters": ("starters", STARTER), "pairs": ("pairs", COLLOCATION)}
+    passed = {kind: made[name].where(F.col("score") >= least) for kind, (name, least) in scored.items()}
+    passed["small"] = made["counts"].where("n_lower > 2 * n_upper and n >= 3")
+    held, large = {}, {}
+    for kind, df in passed.items():
+        named = df.select("lang", "type", *(["next_type"] if kind == "pairs" else []))
+        rows = named.limit(most + 1).collect()  # one more shows that they don't fit
+        held[kind] = {tuple(r) for r in rows} if len(rows) <= most else set()
+        if len(rows) > most:
+            large[kind] = _written(named if kind == "pairs" else named.withColumn("next_type", F.lit("")))
+    return Boundaries(**held, tables=large)
+
+
+def told(units: DataFrame, model: Boundaries, text: str = "text", by: Column | None = None) -> DataFrame:
+    """units with `_told`: what the model's tables say to each text's asks, as Boundaries.told() takes it; null if nothing.
+
+    Units are read twice if there are tables. Texts of a language that share a key share their entries,
+    so that like keys of different ones do no harm.
+    """
+    if not model.tables:
+        return units.withColumn("_told", F.lit(None).cast("array<array<string>>"))
+    sent = units.sparkSession.sparkContext.broadcast(model.held())
+
+    @F.pandas_udf("array<array<string>>")
+    def asks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, langs in batches:
+            yield pd.Series([[list(a) for a in sent.value.asks(t, g)] for t, g in zip(texts, langs, strict=True)], dtype=object)
+
+    keyed = {"_key": F.xxhash64(F.col(text)), "_lang": _lang(by)}
+    asked = units.select(*[c.alias(k) for k, c in keyed.items()], F.explode(asks.asNondeterministic()(F.col(text), _lang(by))).alias("ask"))
+    asked = asked.select(*keyed, *[F.col("ask")[i].alias(c) for i, c in enumerate(("kind", "type", "next_type"))])
+    known = None
+    for kind, table in model.tables.items():
+        one = table.select(F.col("lang").alias("_lang"), F.lit(kind).alias("kind"), "type", "next_type")
+        known = one if known is None else known.unionByName(one)
+    found = asked.join(known, ["_lang", "kind", "type", "next_type"]).groupBy(*keyed).agg(F.collect_set(F.array("kind", "type", "next_type")).alias("_told"))
+    return units.withColumns(keyed).join(found, list(keyed), "left").drop(*keyed)
 
 
 def sentences(units: DataFrame, model: Boundaries, text: str = "text", by: Column | None = None) -> DataFrame:
     """units with sentence_no and one sentence as text."""
-    sent = units.sparkSession.sparkContext.broadcast(model)
+    sent = units.sparkSession.sparkContext.broadcast(model.held())
     small_batches(units.sparkSession)
 
     @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, langs in batches:
-            yield pd.Series([sent.value.split(t, g) for t, g in zip(texts, langs, strict=True)], dtype=object)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, langs, known in batches:
+            yield pd.Series([sent.value.told(k, g).split(t, g) for t, g, k in zip(texts, langs, known, strict=True)], dtype=object)
 
-    lang = F.lit("") if by is None else F.coalesce(by.cast("string"), F.lit(""))
     own = [c for c in units.columns if c not in (text, "sentence_no")]
-    return units.withColumn("_cut", cut.asNondeterministic()(F.col(text), lang)).select(*own, F.posexplode("_cut").alias("sentence_no", text))
+    whole = told(units, model, text, by)
+    return whole.withColumn("_cut", cut.asNondeterministic()(F.col(text), _lang(by), F.col("_told"))).select(*own, F.posexplode("_cut").alias("sentence_no", text))

@@ -123,3 +123,27 @@ def test_texts_are_read_once_and_words_counted_as_they_stand(spark):
     assert sorted(map(tuple, made["counts"].select("type", "n", "n_period").collect())) == [("a", 40, 0), ("b", 40, 0), ("x", 40, 40)]
     made["types"].collect(), made["starters"].collect(), made["pairs"].collect()
     assert read.value - before == 40
+
+
+def test_kinds_that_are_too_large_to_hold_are_joined_whole(spark):
+    rows = [(i, None if i == 7 else " ".join(own), "ab"[i % 2] if i % 5 else None) for i, own in enumerate([*labelled(4, 120), *labelled(4, 3)])]
+    texts = spark.createDataFrame(rows, "id long, text string, lang string").repartition(3)
+    whole, by = learn(texts, by=F.col("lang")), F.col("lang")
+    assert not whole.tables and min(len(getattr(whole, kind)) for kind in module.KINDS) > 6
+    want = [(i, n, s) for i, t, g in rows for n, s in enumerate(whole.split(t, g))]
+    for most in (0, 6, len(whole.abbreviations)):
+        model = learn(texts, by=by, most=most)
+        large = {kind for kind in module.KINDS if len(getattr(whole, kind)) > most}
+        assert set(model.tables) == large and all(model.tables[kind].count() == len(getattr(whole, kind)) for kind in large)
+        assert all(getattr(model, kind) == getattr(whole, kind) for kind in module.KINDS if kind not in large)
+        assert sorted(map(tuple, sentences(texts, model, by=by).select("id", "sentence_no", "text").collect())) == want
+        with pytest.raises(ValueError):
+            model.ends("One. Two.")
+
+
+def test_chunks_by_a_model_that_is_too_large_to_hold(spark):
+    texts = spark.createDataFrame([(i, " ".join(own)) for i, own in enumerate(labelled(3, 20, 40))], "id long, text string")
+    whole, none = learn(texts), learn(texts, most=0)
+    assert set(none.tables) == set(module.KINDS) and not none.abbreviations
+    made = [sorted(map(tuple, sentence_chunk_rows(texts, 40, 5, model=m).select("id", "chunk_idx", "text").collect())) for m in (whole, none)]
+    assert made[0] == made[1] and len(made[0]) > 20
