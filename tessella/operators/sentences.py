@@ -9,7 +9,8 @@ case settles the rest: a word that is mostly written small and here has a capita
 something.
 
 The model is all that passes the tests. A kind of at most MOST entries is held in memory, on the driver and in each
-worker; a larger one stays a table, and each text gets by a join what it asks of it, so nothing is left out. Cases: null and
+worker; of a larger one, which stays a table, what the texts at hand ask is held if it is no more than that, and else each
+text gets by a join what it asks. Nothing is left out. Cases: null and
 empty texts have no words and no sentences; a language may be learned by itself (`by`), null being one too; a word is what stands between
 white space, without brackets and quotes around it, in lower case; numbers are one type.
 """
@@ -110,9 +111,9 @@ class Boundaries:
     `tables` has the kinds that are too large to be held: lang, type and next_type ('' but for pairs).
     """
 
-    def __init__(self, abbreviations: set[tuple[str, str]], starters: set[tuple[str, str]], pairs: set[tuple[str, str, str]], small: set[tuple[str, str]], tables: dict[str, DataFrame] | None = None):
+    def __init__(self, abbreviations: set[tuple[str, str]], starters: set[tuple[str, str]], pairs: set[tuple[str, str, str]], small: set[tuple[str, str]], tables: dict[str, DataFrame] | None = None, most: int = MOST):
         self.abbreviations, self.starters, self.pairs, self.small = abbreviations, starters, pairs, small
-        self.tables = tables or {}
+        self.tables, self.most = tables or {}, most
         self.unknown = frozenset(self.tables)
 
     def held(self) -> Boundaries:
@@ -127,7 +128,7 @@ class Boundaries:
             return self
         own: dict[str, set] = {kind: set() for kind in self.unknown}
         for kind, *names in entries if entries is not None else ():
-            own[kind].add((lang or "", *names) if kind == "pairs" else (lang or "", names[0]))
+            own[kind].add((lang or "", *names[: 2 if kind == "pairs" else 1]))
         return Boundaries(**{kind: own.get(kind, getattr(self, kind)) for kind in KINDS})
 
     def asks(self, text: str | None, lang: str | None = None) -> list[tuple[str, str, str]]:
@@ -254,18 +255,20 @@ def learn(units: DataFrame, text: str = "text", by: Column | None = None, most:
         held[kind] = {tuple(r) for r in rows} if len(rows) <= most else set()
         if len(rows) > most:
             large[kind] = _written(named if kind == "pairs" else named.withColumn("next_type", F.lit("")))
-    return Boundaries(**held, tables=large)
+    return Boundaries(**held, tables=large, most=most)
 
 
-def told(units: DataFrame, model: Boundaries, text: str = "text", by: Column | None = None) -> DataFrame:
-    """units with `_told`: what the model's tables say to each text's asks, as Boundaries.told() takes it; null if nothing.
+def told(units: DataFrame, model: Boundaries, text: str = "text", by: Column | None = None) -> tuple[DataFrame, Boundaries]:
+    """units with `_told`, what Boundaries.told() takes, and the model that it goes with, without tables.
 
-    Units are read twice if there are tables. Texts of a language that share a key share their entries,
-    so that like keys of different ones do no harm.
+    If the model has tables, units are read first for what they ask; if the answers are few, the model holds them and `_told`
+    is null. Texts of a language that share a key share their entries, so that like keys of different ones do no harm.
     """
+    plain = units.withColumn("_told", F.lit(None).cast("array<array<string>>"))
     if not model.tables:
-        return units.withColumn("_told", F.lit(None).cast("array<array<string>>"))
+        return plain, model
     sent = units.sparkSession.sparkContext.broadcast(model.held())
+    small_batches(units.sparkSession)
 
     @F.pandas_udf("array<array<string>>")
     def asks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -273,19 +276,29 @@ def told(units: DataFrame, model: Boundaries, text: str = "text", by: Column | N
             yield pd.Series([[list(a) for a in sent.value.asks(t, g)] for t, g in zip(texts, langs, strict=True)], dtype=object)
 
     keyed = {"_key": F.xxhash64(F.col(text)), "_lang": _lang(by)}
+    entry = ["_lang", "kind", "type", "next_type"]
     asked = units.select(*[c.alias(k) for k, c in keyed.items()], F.explode(asks.asNondeterministic()(F.col(text), _lang(by))).alias("ask"))
-    asked = asked.select(*keyed, *[F.col("ask")[i].alias(c) for i, c in enumerate(("kind", "type", "next_type"))])
+    asked = _written(asked.select(*keyed, *[F.col("ask")[i].alias(c) for i, c in enumerate(entry[1:])]))
     known = None
     for kind, table in model.tables.items():
         one = table.select(F.col("lang").alias("_lang"), F.lit(kind).alias("kind"), "type", "next_type")
         known = one if known is None else known.unionByName(one)
-    found = asked.join(known, ["_lang", "kind", "type", "next_type"]).groupBy(*keyed).agg(F.collect_set(F.array("kind", "type", "next_type")).alias("_told"))
-    return units.withColumns(keyed).join(found, list(keyed), "left").drop(*keyed)
+    needed = _written(asked.select(*entry).distinct().join(known, entry))
+    rows = needed.limit(model.most + 1).collect()
+    if len(rows) <= model.most:
+        own: dict[str, set] = {kind: set() for kind in model.tables}
+        for lang, kind, *names in rows:
+            own[kind].add((lang, *names[: 2 if kind == "pairs" else 1]))
+        return plain, Boundaries(**{kind: own.get(kind, getattr(model, kind)) for kind in KINDS})
+    # written, so that Spark may split what many copies of a text share
+    found = _written(asked.join(needed, entry).groupBy(*keyed).agg(F.collect_set(F.array(*entry[1:])).alias("_told")))
+    return units.withColumns(keyed).join(found, list(keyed), "left").drop(*keyed), model.held()
 
 
 def sentences(units: DataFrame, model: Boundaries, text: str = "text", by: Column | None = None) -> DataFrame:
     """units with sentence_no and one sentence as text."""
-    sent = units.sparkSession.sparkContext.broadcast(model.held())
+    whole, model = told(units, model, text, by)
+    sent = units.sparkSession.sparkContext.broadcast(model)
     small_batches(units.sparkSession)
 
     @F.pandas_udf("array<string>")
@@ -294,5 +307,4 @@ def sentences(units: DataFrame, model: Boundaries, text: str = "text", by: Colum
             yield pd.Series([sent.value.told(k, g).split(t, g) for t, g, k in zip(texts, langs, known, strict=True)], dtype=object)
 
     own = [c for c in units.columns if c not in (text, "sentence_no")]
-    whole = told(units, model, text, by)
     return whole.withColumn("_cut", cut.asNondeterministic()(F.col(text), _lang(by), F.col("_told"))).select(*own, F.posexplode("_cut").alias("sentence_no", text))

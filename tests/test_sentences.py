@@ -131,7 +131,7 @@ def test_kinds_that_are_too_large_to_hold_are_joined_whole(spark):
     whole, by = learn(texts, by=F.col("lang")), F.col("lang")
     assert not whole.tables and min(len(getattr(whole, kind)) for kind in module.KINDS) > 6
     want = [(i, n, s) for i, t, g in rows for n, s in enumerate(whole.split(t, g))]
-    for most in (0, 6, len(whole.abbreviations)):
+    for most in (0, 6):
         model = learn(texts, by=by, most=most)
         large = {kind for kind in module.KINDS if len(getattr(whole, kind)) > most}
         assert set(model.tables) == large and all(model.tables[kind].count() == len(getattr(whole, kind)) for kind in large)
@@ -139,6 +139,10 @@ def test_kinds_that_are_too_large_to_hold_are_joined_whole(spark):
         assert sorted(map(tuple, sentences(texts, model, by=by).select("id", "sentence_no", "text").collect())) == want
         with pytest.raises(ValueError):
             model.ends("One. Two.")
+        model.most = 10_000  # what the texts ask of the tables is held, and they are cut where they lie
+        cut = sentences(texts, model, by=by)
+        assert sorted(map(tuple, cut.select("id", "sentence_no", "text").collect())) == want
+        assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_chunks_by_a_model_that_is_too_large_to_hold(spark):
